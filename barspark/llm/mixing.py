@@ -97,7 +97,7 @@ def land(chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def _fly(seed: int, last: bool):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc", "size"], kind="stable")
-        rng = np.random.default_rng([seed, int(pdf["source_hash"].iloc[0]) & 0xFFFFFFFF, int(pdf["grp"].iloc[0]), len(pdf)])
+        rng = np.random.default_rng([seed + 1_000_000 * last, int(pdf["source_hash"].iloc[0]) & 0xFFFFFFFF, int(pdf["grp"].iloc[0]), len(pdf)])
         chance = flight(pdf["chance"].to_numpy(), pdf["size"].to_numpy(), rng)
         return pdf.assign(chance=land(chance, rng) if last else chance)[["row", "source_hash", "size", "order", "doc", "chance"]]
 
@@ -120,7 +120,7 @@ def choose(rows: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
         done.append(flown.filter(~open_).select("row", "chance"))
         rows, level = flown.filter(open_), level + 1
         most = rows.groupBy("source_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    last = rows.withColumn("grp", F.lit(-1)).groupBy("source_hash").applyInPandas(_fly(seed + level, True), _FLOWN).select("row", "chance")
+    last = rows.withColumn("grp", F.lit(0)).groupBy("source_hash").applyInPandas(_fly(seed + level, True), _FLOWN).select("row", "chance")
     for part in done:
         last = last.unionByName(part)
     return last

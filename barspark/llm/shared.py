@@ -33,5 +33,5 @@ def kept(df: DataFrame, what: str) -> DataFrame:
 
 
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    """A key of the row by its id and text; equal rows have equal keys. Never null."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """A key of the row by its id and text (null: empty); equal rows have equal keys. Never null."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit("")))

@@ -1,9 +1,21 @@
+"""All queries of the package and their SQL twins."""
+
 from __future__ import annotations
 
+from barspark.plans import signal_queries
+
+MODULES = (signal_queries,)
+
 
 def queries() -> dict:
-    return {}
+    out = {"flagship_breakout": signal_queries.flagship}
+    for m in MODULES:
+        out |= m.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {"flagship_breakout": signal_queries.FLAGSHIP_SQL}
+    for m in MODULES:
+        out |= m.oracle_sql()
+    return out

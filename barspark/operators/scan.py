@@ -18,7 +18,7 @@ def affine_scans(df: DataFrame, keys: list[str], order: str, scans: dict[str, tu
     A series is cut into blocks of BLOCK rows. Each block is summed on its own; a block's start then follows from the last values of
     the blocks before it, of which there is one row for each, so the rows of a long series are worked on in parallel.
     """
-    block, place = "_block", "_place"
+    block, place = "_scan_block", "_scan_place"
     df = df.withColumn(block, F.floor(F.col(order) / BLOCK)).withColumn(place, F.col(order) % BLOCK)
     inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({f"_own_{n}": F.sum(x * F.pow(F.lit(1 / a), F.col(place))).over(inside) * F.pow(F.lit(a), F.col(place)) for n, (x, a) in scans.items()})

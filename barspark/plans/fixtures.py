@@ -9,7 +9,7 @@ from barspark.functions.calendar import add_sessions
 from barspark.operators.features import with_lagged_atr
 from barspark.operators.quality import gap_columns
 
-BAR_SECONDS, IRREGULAR, COOLDOWN = 3600, 3 * 3600, 20
+BAR_SECONDS, IRREGULAR, COOLDOWN = 3600, 5400, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barspark.plans import signal_queries
+from barspark.plans import bar_queries, signal_queries
 
-MODULES = (signal_queries,)
+MODULES = (bar_queries, signal_queries)
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.store import checkpointed
+
 BLOCK = 256
 #: Chains of more candidates for a key than this are found by pointer doubling.
 FOLD_LIMIT = 5_000
@@ -97,13 +99,13 @@ def _doubling(df: DataFrame, keys: list[str], start: str, end: str, gap: int) ->
     """Each row points to the first row that may follow it; rows reached from the first row of a key are found in steps of 1, 2, 4, ... pointers."""
     spans = df.select(*keys, F.col(start).cast("long").alias("s"), (F.col(end).cast("long") + gap).alias("free"))
     follow = asof(spans, spans.select(*keys, F.col("s").alias("next")), keys, "free", "next", [], forward=True)
-    jump = follow.select(*keys, "s", F.col("next")).checkpoint()
-    reached = spans.groupBy(*keys).agg(F.min("s").alias("s")).checkpoint()
+    jump = checkpointed(follow.select(*keys, "s", F.col("next")))
+    reached = checkpointed(spans.groupBy(*keys).agg(F.min("s").alias("s")))
     while True:
         more = reached.join(jump, [*keys, "s"]).filter("next is not null").select(*keys, F.col("next").alias("s"))
-        grown = reached.unionByName(more).distinct().checkpoint()
+        grown = checkpointed(reached.unionByName(more).distinct())
         hop = jump.select(*keys, F.col("s").alias("next"), F.col("next").alias("after"))
-        jump = jump.join(hop, [*keys, "next"]).select(*keys, "s", F.col("after").alias("next")).filter("next is not null").checkpoint()
+        jump = checkpointed(jump.join(hop, [*keys, "next"]).select(*keys, "s", F.col("after").alias("next")).filter("next is not null"))
         if jump.isEmpty():
             return df.join(grown.select(*keys, F.col("s").alias("_kept")), [*(df[k].eqNullSafe(grown[k]) for k in keys), F.col(start).cast("long") == F.col("_kept")], "left_semi")
         reached = grown

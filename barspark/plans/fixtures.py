@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.calendar import add_sessions
+from barspark.functions.prices import round_price
 from barspark.operators.features import with_lagged_atr
 from barspark.operators.quality import gap_columns
 
@@ -63,7 +64,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
     price = F.col("l_extendedprice")
     risk = price * 0.01
-    net = F.round(price * (F.col("l_discount") - F.col("l_tax")), 2)
+    net = round_price(price * (F.col("l_discount") - F.col("l_tax")))
     return t.select(
         F.col("l_suppkey").alias("experiment_id"), F.row_number().over(order).cast("long").alias("trade_seq"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("broker_date"),
         F.when(F.col("l_returnflag") == "N", -1).otherwise(1).alias("direction"), net.alias("net_pnl"), (net / risk).alias("pnl_r"), F.col("l_quantity").alias("hold_minutes"),
@@ -111,6 +112,8 @@ raw AS (SELECT * REPLACE (CASE WHEN bar_idx % 101 = 100 THEN low - 1 ELSE high E
 
 TICKS_SQL = "ticks AS (SELECT event_type AS symbol, epoch_ms(ts) AS time_msc, value AS bid, round(value + 0.05, 2) AS ask, strftime(ts, '%Y-%m-%d') AS broker_date, event_id FROM events)"
 
-TRADES_SQL = """trades AS (SELECT l_suppkey AS experiment_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS trade_seq, strftime(l_shipdate, '%Y-%m-%d') AS broker_date,
-  CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END AS direction, round(l_extendedprice * (l_discount - l_tax), 2) AS net_pnl, round(l_extendedprice * (l_discount - l_tax), 2) / (l_extendedprice * 0.01) AS pnl_r,
+NET_SQL = "l_extendedprice * (l_discount - l_tax)"
+NET_SQL = f"CASE WHEN {NET_SQL} >= 0 THEN floor({NET_SQL} * 100 + 0.5 + 1e-9) ELSE ceil({NET_SQL} * 100 - 0.5 - 1e-9) END / 100"
+TRADES_SQL = f"""trades AS (SELECT l_suppkey AS experiment_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS trade_seq, strftime(l_shipdate, '%Y-%m-%d') AS broker_date,
+  CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END AS direction, {NET_SQL} AS net_pnl, {NET_SQL} / (l_extendedprice * 0.01) AS pnl_r,
   l_quantity AS hold_minutes, l_quantity * 0.06 AS commission, l_quantity * 0.02 AS spread_cost, l_quantity * 0.1 AS slippage_cost, l_extendedprice * 0.01 AS planned_risk FROM lineitem)"""

@@ -422,6 +422,11 @@ def test_near_duplicates(spark, docs, odd, empty):
     for i, g in zip(ids, want):
         mates = {texts[j] for j, x in zip(ids, want) if x == g}
         assert (got[i].n_links > 0) == (len(mates) > 1), (i, alone[g])
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in rows[-60:]}
+    for i, a in sets.items():
+        assert got[i].n_links == len({texts[j] for j, b in sets.items() if texts[j] != texts[i] and len(a & b) >= 0.8 * len(a | b)})
+    small = {r.doc_id: r for r in jaccard.near_duplicates(df, block=16).collect()}
+    assert all((small[i].class_id, small[i].n_links) == (got[i].class_id, got[i].n_links) for i in ids)
     kept_rows = jaccard.keep_one_of_each(df)
     assert sorted(r.doc_id for r in kept_rows.collect()) == sorted(least.values())
     found = jaccard.near_duplicates(odd).collect()

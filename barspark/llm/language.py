@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def _count(batches):
     """Counts of the grams of each order, by language."""
     for batch in batches:
         for lang in set(batch["lang"].to_pylist()):
-            rows = batch.filter(pa.compute.equal(batch["lang"], lang))
+            rows = batch.filter(pc.equal(batch["lang"], lang))
             raw, at = _join([b for t in rows["text"].to_pylist() if (b := normal(t))])
             if len(raw) <= ORDER:
                 continue

@@ -60,7 +60,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("m", F.least(F.size("item"), F.col("length") - F.col("shift")) - F.col("lo")).filter(F.col("m") >= WINDOW)
     ask = F.struct("item_id", (F.col("lo") + F.col("shift") + 1).alias("at"), "m", F.slice("item", F.col("lo") + 1, F.col("m")).alias("item"))
     asked = kept(pairs.groupBy("row_key").agg(F.collect_list(ask).alias("asks")), "asked")
-    beside = rows.join(asked, "row_key").select("row_key", "doc_id", "asks", token_hashes(F.col("text")).alias("hashes"))
+    # The list grows with the corpus, so it is always joined by shuffle, and the plan is the same at every size.
+    beside = rows.join(asked.hint("merge"), "row_key").select("row_key", "doc_id", "asks", token_hashes(F.col("text")).alias("hashes"))
 
     def best(ask: Column, hashes: Column) -> Column:
         same = F.zip_with(F.slice(hashes, ask["at"], ask["m"]), ask["item"], lambda a, b: (a == b).cast("int"))

@@ -116,7 +116,7 @@ def annotate(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 def choose_trades(cands: DataFrame, bars: DataFrame) -> DataFrame:
     """The candidates with a lot, with their outcomes, one position at a time for each experiment and symbol."""
-    able = cands.filter("lot is not null")
+    able = checkpointed(cands.filter("lot is not null"))  # it is read once for each horizon
     ended = able.join(outcomes(able, bars), KEY)
     return non_overlapping(checkpointed(ended), ["experiment_id", "symbol"], "entry_idx", "exit_idx", gap=1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.functions import prices
+from barspark.functions.store import checkpointed
 from barspark.operators import metrics, signals, trades
 from barspark.plans import fixtures as fx
 from barspark.plans.bar_queries import BREAK, r, rs
@@ -108,7 +109,7 @@ def t4(spark, sf):
 
 def _outcomes(spark, sf):
     cands, market = _cands(spark, sf)
-    able = cands.filter("lot is not null")
+    able = checkpointed(cands.filter("lot is not null"))
     return able.join(trades.outcomes(able, market), ID)
 
 

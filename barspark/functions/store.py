@@ -14,3 +14,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_folder(spark, what: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    checkpointed(spark.range(0))  # makes sure that the folder is set
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"

@@ -110,7 +110,7 @@ raw_1 AS (SELECT * FROM raw_0 UNION ALL SELECT * REPLACE (ingest_seq + 1 AS inge
 raw AS (SELECT * REPLACE (CASE WHEN bar_idx % 101 = 100 THEN low - 1 ELSE high END AS high, CASE WHEN bar_idx % 101 = 100 THEN high ELSE low END AS low,
     CASE WHEN bar_idx % 107 = 106 THEN -1 ELSE tick_volume END AS tick_volume, CASE WHEN bar_idx % 103 = 102 THEN -1 ELSE spread END AS spread) FROM raw_1)"""
 
-TICKS_SQL = "ticks AS (SELECT event_type AS symbol, epoch_ms(ts) AS time_msc, value AS bid, round(value + 0.05, 2) AS ask, strftime(ts, '%Y-%m-%d') AS broker_date, event_id FROM events)"
+TICKS_SQL = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS time_msc, value AS bid, round(value + 0.05, 2) AS ask, strftime(ts, '%Y-%m-%d') AS broker_date, event_id FROM events)"
 
 NET_SQL = "l_extendedprice * (l_discount - l_tax)"
 NET_SQL = f"CASE WHEN {NET_SQL} >= 0 THEN floor({NET_SQL} * 100 + 0.5 + 1e-9) ELSE ceil({NET_SQL} * 100 - 0.5 - 1e-9) END / 100"

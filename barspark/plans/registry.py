@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barspark.plans import bar_queries, research_queries, signal_queries, trade_queries
+from barspark.plans import bar_queries, ledger_queries, research_queries, signal_queries, trade_queries
 
-MODULES = (bar_queries, signal_queries, trade_queries, research_queries)
+MODULES = (bar_queries, signal_queries, trade_queries, research_queries, ledger_queries)
 
 
 def queries() -> dict:

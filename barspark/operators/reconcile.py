@@ -57,13 +57,12 @@ def construction_check(ledger: DataFrame, states: DataFrame, stop_atr: float = 1
 def lifecycle_check(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 0.011) -> DataFrame:
     """The n-th trade of left against the n-th of right (keys, exit_time, reason, net, balance): same_reason, same_time, balance_step_ok, and rows that one side lacks."""
     w = Window.partitionBy(*keys).orderBy("exit_time")
-    number = lambda df: df.withColumn("n", F.row_number().over(w))
-    a = number(left).withColumn("step", c("balance") - F.lag("balance").over(w)).alias("a")
-    b = number(right).alias("b")
-    both = a.join(b, [c(f"a.{k}").eqNullSafe(c(f"b.{k}")) for k in keys] + [c("a.n") == c("b.n")], "full")
+    a = left.select(*keys, F.row_number().over(w).alias("n"), c("exit_time").alias("_time_a"), c("reason").alias("_reason_a"), c("net").alias("_net"), (c("balance") - F.lag("balance").over(w)).alias("_step"), F.lit(True).alias("_in_a"))
+    b = right.select(*keys, F.row_number().over(w).alias("n"), c("exit_time").alias("_time_b"), c("reason").alias("_reason_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, [*keys, "n"], "full")
     return both.select(
-        *(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), F.coalesce("a.n", "b.n").alias("n"), (c("a.reason") == c("b.reason")).alias("same_reason"), (c("a.exit_time") == c("b.exit_time")).alias("same_time"),
-        F.coalesce(F.abs(c("a.step") - c("a.net")) <= tolerance, F.lit(True)).alias("balance_step_ok"), F.when(c("a.n").isNull(), "left").when(c("b.n").isNull(), "right").alias("missing"),
+        *keys, "n", (c("_reason_a") == c("_reason_b")).alias("same_reason"), (c("_time_a") == c("_time_b")).alias("same_time"),
+        F.coalesce(F.abs(c("_step") - c("_net")) <= tolerance, F.lit(True)).alias("balance_step_ok"), F.when(c("_in_a").isNull(), "left").when(c("_in_b").isNull(), "right").alias("missing"),
     )
 
 

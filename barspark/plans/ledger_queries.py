@@ -165,15 +165,18 @@ def l3(spark, sf):
     return reconcile.construction_check(ledger, states).select("key", *r("span_error", "midpoint_error"), "span_ok")
 
 
-@query("l4_lifecycle_check", "WITH a AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n, l_returnflag AS f FROM lineitem), b AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n, CASE WHEN l_quantity = 7 THEN 'X' ELSE l_returnflag END AS f FROM lineitem WHERE l_quantity <> 9) SELECT coalesce(a.k, b.k) AS account, coalesce(a.n, b.n) AS n, a.f = b.f AS same_reason, CASE WHEN a.n IS NULL THEN 'left' WHEN b.n IS NULL THEN 'right' END AS missing FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n")
+LOT = "g AS (SELECT l_suppkey AS k, l_orderkey AS o, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
+
+
+@query("l4_lifecycle_check", f"WITH {LOT}, a AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o) AS n, f FROM g), b AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o) AS n, CASE WHEN q = 7 THEN 'X' ELSE f END AS f FROM g WHERE q <> 9) SELECT coalesce(a.k, b.k) AS account, coalesce(a.n, b.n) AS n, a.f = b.f AS same_reason, CASE WHEN a.n IS NULL THEN 'left' WHEN b.n IS NULL THEN 'right' END AS missing FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n")
 def l4(spark, sf):
-    t = fx.table(spark, sf, "lineitem")
-    rows = t.select(F.col("l_suppkey").alias("account"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exit_time"), F.col("l_returnflag").alias("reason"), F.col("l_tax").alias("net"), F.lit(0.0).alias("balance"), "l_quantity")
-    other = rows.filter("l_quantity != 9").withColumn("reason", F.when(F.col("l_quantity") == 7, "X").otherwise(F.col("reason")))
+    t = fx.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("account"), F.col("l_orderkey").alias("exit_time")).agg(F.min("l_returnflag").alias("reason"), F.min("l_quantity").alias("q"))
+    rows = t.withColumns({"net": F.lit(0.0), "balance": F.lit(0.0)})
+    other = rows.filter("q != 9").withColumn("reason", F.when(F.col("q") == 7, "X").otherwise(F.col("reason")))
     return reconcile.lifecycle_check(rows, other, ["account"]).select("account", F.col("n").cast("long").alias("n"), "same_reason", "missing")
 
 
-BAL = f"{TIMED}, bal AS (SELECT symbol, time AS balance_time, max(value) AS balance FROM tm WHERE event_id % 9 = 0 GROUP BY 1, 2), req AS (SELECT * FROM tm WHERE event_id % 9 = 4), at AS (SELECT req.*, bal.balance_time, bal.balance FROM req ASOF LEFT JOIN bal ON req.symbol = bal.symbol AND req.time >= bal.balance_time)"
+BAL = f"{TIMED}, bal AS (SELECT symbol, time AS balance_time, max(value) AS balance FROM tm WHERE event_id % 9 = 0 GROUP BY 1, 2), req AS (SELECT * FROM tm WHERE event_id % 9 = 4), seen AS (SELECT req.*, bal.balance_time, bal.balance FROM req ASOF LEFT JOIN bal ON req.symbol = bal.symbol AND req.time >= bal.balance_time)"
 
 
 def _balances(spark, sf):
@@ -181,13 +184,13 @@ def _balances(spark, sf):
     return t.filter("event_id % 9 = 4"), t.filter("event_id % 9 = 0").groupBy("symbol", "time").agg(F.max("value").alias("balance"))
 
 
-@query("l5_balance_asof", f"WITH {BAL} SELECT event_id, balance_time, {rs('balance')} FROM at")
+@query("l5_balance_asof", f"WITH {BAL} SELECT event_id, balance_time, {rs('balance')} FROM seen")
 def l5(spark, sf):
     events, balances = _balances(spark, sf)
     return reconcile.balance_asof(events, balances, ["symbol"]).select("event_id", "balance_time", *r("balance"))
 
 
-@query("l6_volume_check", f"WITH {BAL}, v AS (SELECT event_id, round(floor(balance * 50 * 0.002 / (0.05 * 100) / 0.01 + 1e-9) * 0.01, 10) AS e, CASE WHEN event_id % 2 = 0 THEN 0.5 END AS volume FROM at) SELECT event_id, {rs('e AS expected_volume')}, coalesce(abs(coalesce(volume, 0) - e) < 1e-9, false) AS volume_ok FROM v")
+@query("l6_volume_check", f"WITH {BAL}, v AS (SELECT event_id, round(floor(balance * 50 * 0.002 / (0.05 * 100) / 0.01 + 1e-9) * 0.01, 10) AS e, CASE WHEN event_id % 2 = 0 THEN 0.5 END AS volume FROM seen) SELECT event_id, {rs('e AS expected_volume')}, coalesce(abs(coalesce(volume, 0) - e) < 1e-9, false) AS volume_ok FROM v")
 def l6(spark, sf):
     events, balances = _balances(spark, sf)
     asked = events.withColumn("stop_distance", F.lit(0.05)).withColumn("volume", F.when(F.col("event_id") % 2 == 0, 0.5))

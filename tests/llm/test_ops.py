@@ -247,6 +247,21 @@ def test_language(spark, odd, empty):
     assert language.keep_identified(odd).columns == odd.columns
 
 
+def test_language_learns_from_the_bounded_sample(spark, docs):
+    many = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 100_000)).filter("lang is not null and text is not null")
+    rows = [(r.lang, r.text, r.doc_id) for r in many.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    own = {}
+    for lang, text, i in rows:
+        own.setdefault(lang, []).append((i, text))
+    hashes = {r.doc_id: r.h for r in many.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    model = language.train(many, train_docs=5)
+    assert model.langs == sorted(own)
+    for lang, (key_, cost, context, escape) in zip(model.langs, model.levels[0][1]):
+        picked = [t for _, t in sorted(own[lang], key=lambda x: hashes[x[0]])[:5]]
+        raw, at = language._join([b for t in picked if (b := language.normal(t))])
+        assert sorted(set(language.grams(raw, at[:-1], 3).tolist())) == key_.tolist()
+
+
 def test_language_code_lengths_by_hand():
     texts = [b" abracadabra ", b" banana "]
     raw, at = language._join(texts)

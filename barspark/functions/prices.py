@@ -34,7 +34,7 @@ def floor_to_step(value: Column, step: float) -> Column:
 
 def lot_for_stop(entry: Column, stop: Column, preferred_risk: Column, hard_risk: Column, max_lot: Column, contract: float = 1.0, lot_min: float = 0.01, lot_max: float = 100.0, lot_step: float = 0.01) -> Column:
     """Lot that risks the preferred amount, floored to the step; the least lot if its risk is within the hard cap; null if infeasible."""
-    per_lot = F.abs(entry - stop) * contract
+    per_lot = F.nullif(F.abs(entry - stop), F.lit(0.0)) * contract
     cap = F.least(max_lot, F.lit(lot_max))
     wanted = floor_to_step(F.least(preferred_risk / per_lot, cap), lot_step)
     lot = floor_to_step(F.least(F.when(preferred_risk / per_lot < lot_min, F.lit(lot_min)).otherwise(F.greatest(wanted, F.lit(lot_min))), cap), lot_step)

@@ -24,7 +24,7 @@ def settings(spark: SparkSession) -> DataFrame:
 
 def breakouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(market, signals of every experiment)"""
-    market = fx.market(spark, sf_dir)
+    market = checkpointed(fx.market(spark, sf_dir))  # every step of the trades reads it
     s = signals.evaluate(market, "nbar_breakout", {"lookback": 20}).filter("signal != 0").select("symbol", "bar_idx", "signal")
     return market, s.crossJoin(F.broadcast(settings(spark).select("experiment_id")))
 

@@ -92,6 +92,42 @@ FROM pages
 """
 
 
+SPLIT = r"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+OP3_SQL = f"""
+WITH {SPLIT},
+win AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) t(i)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+seen AS (SELECT words.r, p, word, max(dup.i) OVER (PARTITION BY words.r ORDER BY p ROWS 34 PRECEDING) IS NOT NULL AS gone FROM words LEFT JOIN dup ON dup.r = words.r AND dup.i = words.p),
+left_over AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM seen GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (r)
+"""
+
+
+def _covered_sql(n: int) -> str:
+    """Words and characters of each text inside n-word windows that occur in it twice or more."""
+    return f"""win_{n} AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + {n - 1}), ' ')) AS h FROM d, unnest(range(1, len(w) - {n - 2})) t(i)),
+dup_{n} AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS c FROM win_{n}) WHERE c > 1),
+in_{n} AS (SELECT r, count(*) AS words_{n}, sum(length(word)) AS chars_{n} FROM (SELECT words.r, word, max(dup_{n}.i) OVER (PARTITION BY words.r ORDER BY p ROWS {n - 1} PRECEDING) IS NOT NULL AS hit FROM words LEFT JOIN dup_{n} ON dup_{n}.r = words.r AND dup_{n}.i = words.p) WHERE hit GROUP BY r)"""
+
+
+_N = [quality.BASE_WINDOW, *quality.LIMITS]
+_SHARES = {n: f"coalesce(chars_{n}, 0) / greatest(word_chars, 1)" for n in quality.LIMITS}
+_FAILED = f"n_words < {quality.LEAST_WORDS} OR 100 * coalesce(words_{quality.BASE_WINDOW}, 0) > {quality.MOST_REPEATED} * n_words"
+OP7_SQL = rf"""
+WITH {SPLIT}, words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+{", ".join(_covered_sql(n) for n in _N)},
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+later AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[ 	-]+', '', 'g'))) AS line_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM lines WHERE regexp_matches(line, '[^ 	-]')) WHERE nth > 1 GROUP BY r),
+m AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words_{quality.BASE_WINDOW}, 0) AS n_repeat_words, {_FAILED} AS base_failed,
+  {", ".join(f"{x} AS dup_{n}gram_share" for n, x in _SHARES.items())}, coalesce(line_chars, 0) / greatest(word_chars, 1) AS dup_line_share,
+  NOT ({_FAILED}) AND coalesce(line_chars, 0) / greatest(word_chars, 1) <= {quality.LINE_LIMIT} AND {" AND ".join(f"{x} <= {quality.LIMITS[n]}" for n, x in _SHARES.items())} AS kept
+FROM m {" ".join(f"LEFT JOIN in_{n} USING (r)" for n in _N)} LEFT JOIN later USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -100,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL}

@@ -7,7 +7,7 @@ each shard is permuted again, in ranges of a hash, whose places follow from the
 as a whole unless it has few rows; only the matrix (n_parts x n_shards counts) is on the driver.
 
 Defined results: nulls in key columns are ordinary values; rows that are equal in all key columns are dealt apart like others (which is which
-can't be told); an empty table gives no rows; other columns are carried along, but must not be called shard or slot.
+can't be told); an empty table gives no rows; other columns are carried along, and those that are called shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def communication_matrix(part_sizes: list[int], n_shards: int, seed: int) -> np.
 
 def shuffle_into_shards(df: DataFrame, n_shards: int, key: list[str], seed: int = 0) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (0 to the shard's size - 1)."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop("shard", "slot")
 
     def random(stage: int) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(stage), *key)

@@ -281,9 +281,12 @@ def x2(spark, sf):
     return run_stream(streams.dedup(hours)).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("x3_stream_sessions")
+@query("x3_stream_sessions", """WITH n AS (SELECT event_type AS symbol, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 40 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM n), s AS (SELECT symbol, min(ts) AS a, max(ts) + INTERVAL 40 MINUTE AS z, count(*) AS n FROM g GROUP BY symbol, run)
+SELECT symbol, epoch_us(a) AS start_us, epoch_us(z) AS end_us, n FROM s WHERE z <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 10 MINUTE""")
 def x3(spark, sf):
-    return run_stream(streams.activity_sessions(tick_stream(spark, sf), "40 minutes"))
+    df = run_stream(streams.activity_sessions(tick_stream(spark, sf), "40 minutes"))
+    return df.select("symbol", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 def _as_stream(df: DataFrame) -> DataFrame:
@@ -300,7 +303,8 @@ def x4(spark, sf):
     return run_stream(streams.episode_signals(_as_stream(b)))
 
 
-@query("x5_stream_positions")
+@query("x5_stream_positions", f"""WITH RECURSIVE {BARS_SQL}, c AS MATERIALIZED (SELECT symbol, bar_idx AS entry_idx, bar_idx + tick_volume AS exit_idx FROM bars WHERE bar_idx % 3 = 0),
+walk AS (SELECT symbol, min(entry_idx) AS entry_idx FROM c GROUP BY 1 UNION ALL SELECT w.symbol, (SELECT min(n.entry_idx) FROM c n WHERE n.symbol = w.symbol AND n.entry_idx > x.exit_idx) FROM walk w JOIN c x USING (symbol, entry_idx)) SELECT 'E' AS experiment_id, symbol, entry_idx, exit_idx FROM c JOIN walk USING (symbol, entry_idx)""")
 def x5(spark, sf):
     b = fx.bars(spark, sf).filter("bar_idx % 3 = 0").select(F.lit("E").alias("experiment_id"), "symbol", F.col("bar_idx").alias("entry_idx"), (F.col("bar_idx") + F.col("tick_volume")).alias("exit_idx"))
     return run_stream(streams.one_at_a_time(_as_stream(b)))

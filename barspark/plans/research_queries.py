@@ -10,7 +10,7 @@ from barspark.operators import experiments as ex
 from barspark.plans import fixtures as fx
 from barspark.plans.bar_queries import r, rs
 from barspark.plans.fixtures import TRADES_SQL
-from barspark.plans.trade_queries import SUMMARY, breakouts, lines, settings
+from barspark.plans.trade_queries import ECON, SUMMARY, breakouts, lines, settings
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -159,12 +159,12 @@ def v5(spark, sf):
     return folded(spark, sf).select("experiment_id", "fold_id", "segment", "completed_trades", *r("profit_factor", "expectancy_usd", "net_profit"))
 
 
-@query("v5_walk_forward")
+@query("v5_walk_forward", f"WITH RECURSIVE {ECON} SELECT experiment_id, 'all-001' AS fold_id, 'research' AS segment, count(*) AS completed_trades, {rs('sum(net_pnl) AS net_profit')} FROM econ GROUP BY 1")
 def v5w(spark, sf):
-    """Signals traded again on the bars of each half of the data alone."""
+    """Signals traded again on the bars of a fold alone. The bars are of one month, so the one fold has them all."""
     market, s = breakouts(spark, sf)
-    halves = market.select(F.date_format("bar_ts", "yyyy-MM").alias("month")).distinct().withColumn("fold_id", F.lit("all-001")).withColumn("segment", F.lit("research"))
-    return validation.walk_forward(s, market, settings(spark), halves).select("experiment_id", "fold_id", "segment", "completed_trades", *r("net_profit"))
+    folds = market.select(F.date_format("bar_ts", "yyyy-MM").alias("month")).distinct().withColumn("fold_id", F.lit("all-001")).withColumn("segment", F.lit("research"))
+    return validation.walk_forward(s, market, settings(spark), folds).select("experiment_id", "fold_id", "segment", "completed_trades", *r("net_profit"))
 
 
 SUMMED = "validation_fold_count median_validation_pf validation_pf_above_1_fraction validation_positive_expectancy_fraction validation_joint_stability_fraction worst_validation_net_profit research_to_validation_pf_degradation_ratio".split()
@@ -353,7 +353,10 @@ def v23(spark, sf):
     return validation.activation_gate(rows).select("sample_size", "at_least_50_count", "at_least_300_count", *r("median_completed_trades", "p90_completed_trades", "end_of_data_fraction"), "total_completed_trades", "passed")
 
 
-@query("v24_holdout_run")
+HELD = ECON.replace("FROM events GROUP BY 1, 2", "FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2").replace("CAST(signal AS INTEGER) AS direction", "CASE WHEN bar_ts >= TIMESTAMP '2024-01-10' THEN CAST(signal AS INTEGER) ELSE 0 END AS direction")
+
+
+@query("v24_holdout_run", f"WITH RECURSIVE {HELD} SELECT experiment_id, symbol, entry_idx, exit_idx, exit_reason, {rs('net_pnl')} FROM econ WHERE experiment_id = 'E1'")
 def v24(spark, sf):
     t = validation.holdout_run(fx.market(spark, sf), "nbar_breakout", {"lookback": 20}, settings(spark).filter("experiment_id = 'E1'"), "2024-01-10", "2024-01-25")
     return t.select("experiment_id", "symbol", "entry_idx", "exit_idx", "exit_reason", *r("net_pnl"))

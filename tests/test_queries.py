@@ -13,7 +13,7 @@ from barspark.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: The whole chain of trades runs in its last query; the driver compares the others.
-SLOW = {"t5_first_barrier", "t6_trailing_stop", "t7_non_overlapping", "t8_trade_economics", "t9_annotated_trades", "s11_export_trades"}
+SLOW = {"t5_first_barrier", "t6_trailing_stop", "t7_non_overlapping", "t8_trade_economics", "t9_annotated_trades", "s11_export_trades", "v5_walk_forward"}
 
 
 def plain(x):

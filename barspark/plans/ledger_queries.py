@@ -9,7 +9,7 @@ from barspark.functions import calendar as cal
 from barspark.functions.store import shared_folder
 from barspark.operators import features, quality, reconcile
 from barspark.plans import fixtures as fx
-from barspark.plans.bar_queries import r, rs
+from barspark.plans.bar_queries import PLACED, r, rs
 from barspark.plans.fixtures import BARS_SQL, RAW_SQL, TICKS_SQL
 from barspark.sources import bars as bar_files
 from barspark.sources import ledgers, ticks
@@ -53,7 +53,7 @@ def s2(spark, sf):
     return df.select("symbol", "bar_idx", *r("atr"), "broker_date", F.col("meta.digits").alias("digits"))
 
 
-@query("s3_write_features")
+@query("s3_write_features", f"WITH {PLACED} SELECT symbol, CAST(year(bar_ts) AS INTEGER) AS part_year, count(*) AS n, count(*) FILTER (place >= 21) AS n_sma FROM placed GROUP BY 1, 2")
 def s3(spark, sf):
     path = shared_folder(spark, "features")
     bar_files.write_features(features.lagged_features(fx.segmented(spark, sf)), path)

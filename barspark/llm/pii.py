@@ -85,15 +85,18 @@ def more_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
     proposed = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
     proposed += [("card_short", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 15 and luhn(d)]
     proposed += [("phone_local", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
+    covered = bytearray(len(text)) if proposed else bytearray()
+    for a, b in taken:
+        covered[a:b] = b"\x01" * (b - a)
     out = []
     for kind, start, end in proposed:
-        if any(a < end and start < b for a, b in taken):
+        if covered.find(1, start, end) >= 0:
             continue
         near = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT // 2]
         score = SCORES[kind][bool(CONTEXT_WORDS[kind].search(near))]
         if score >= LEAST_SCORE:
             out.append((kind, start, end, score))
-            taken = [*taken, (start, end)]
+            covered[start:end] = b"\x01" * (end - start)
     return sorted(out, key=lambda x: (("iban", "card_short", "phone_local").index(x[0]), x[1]))
 
 

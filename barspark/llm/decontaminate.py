@@ -47,7 +47,7 @@ def seeds_of(rows: DataFrame, *columns: str) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_key, doc_id, item_id, same (tokens of the best window) of each document that holds a window of an item."""
     rows = docs.select("doc_id", "text", row_key().alias("row_key"))
-    items = kept(benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).dropDuplicates(), "items")
+    items = kept(benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).filter(F.size("item") >= WINDOW).dropDuplicates(), "items")
     item_seeds = seeds_of(items.select("item_id", F.col("item").alias("hashes")), "item_id").select("item_id", F.col("place").alias("item_place"), "seed")
     small = item_seeds.count() <= MOST_BROADCAST
     hashed = rows.select("row_key", token_hashes(F.col("text")).alias("hashes"))

@@ -185,7 +185,7 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1) and bits_per_byte (under the predicted language)."""
     model = train(docs) if model is None else model
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(_predict(lambda: sent.value), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 

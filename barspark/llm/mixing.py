@@ -108,7 +108,7 @@ _FLOWN = "row long, source_hash long, size long, order long, doc long, chance do
 
 
 def choose(rows: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
-    """row and chance (0 or 1) of rows (row, source_hash, size, order, doc, chance), balanced within each source_hash."""
+    """row, order and chance (0 or 1) of rows (row, source_hash, size, order, doc, chance), balanced within each source_hash."""
     spark = rows.sparkSession
     done, level = [], 0
     most = rows.groupBy("source_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -117,10 +117,10 @@ def choose(rows: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
         rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + level), "order", "doc"), F.lit(groups)).cast("int"))
         flown = kept(rows.groupBy("source_hash", "grp").applyInPandas(_fly(seed + level, False), _FLOWN), "flight")
         open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
-        done.append(flown.filter(~open_).select("row", "chance"))
+        done.append(flown.filter(~open_).select("row", "order", "chance"))
         rows, level = flown.filter(open_), level + 1
         most = rows.groupBy("source_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    last = rows.withColumn("grp", F.lit(0)).groupBy("source_hash").applyInPandas(_fly(seed + level, True), _FLOWN).select("row", "chance")
+    last = rows.withColumn("grp", F.lit(0)).groupBy("source_hash").applyInPandas(_fly(seed + level, True), _FLOWN).select("row", "order", "chance")
     for part in done:
         last = last.unionByName(part)
     return last
@@ -133,7 +133,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """row, doc_id, source, size, source_size, target, repeats (how often the mix takes it) and taken (words) of every document."""
+    """row and order (the key of the row), doc_id, source, size, source_size, target, repeats (how often the mix takes it) and taken (words) of every document."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size"), F.xxhash64("text").alias("order"))
     sized = kept(_numbered(sized.withColumn("order", F.xxhash64("doc_id", "order"))), "sized")
@@ -144,13 +144,14 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
     rows = kept(rows, "rated")
     open_ = rows.select("row", F.xxhash64("source", F.lit(1)).alias("source_hash"), "size", "order", F.coalesce("doc_id", F.lit(-1)).alias("doc"), (F.col("rate") - F.col("sure")).alias("chance"))
     picked = choose(open_.filter("chance > 1e-9 and size > 0"), seed)
-    out = rows.join(picked, "row", "left").withColumn("repeats", (F.col("sure") + F.coalesce("chance", F.lit(0.0))).cast("int"))
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    # Two hashes name a row, so that no two rows are taken for one.
+    out = rows.join(picked, ["row", "order"], "left").withColumn("repeats", (F.col("sure") + F.coalesce("chance", F.lit(0.0))).cast("int"))
+    return out.select("row", "order", "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    taken = mix_sources(docs, seed).filter("repeats > 0").select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"))
+    taken = mix_sources(docs, seed).filter("repeats > 0").select(F.col("row").alias("_row"), F.col("order").alias("_order"), F.col("repeats").alias("_repeats"))
     carried = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), "source")
-    rows = _numbered(carried).join(taken, F.col("row") == F.col("_row"))
+    rows = _numbered(carried).join(taken, (F.col("row") == F.col("_row")) & (F.col("order") == F.col("_order")))
     return rows.select("whole", F.explode(F.sequence(F.lit(1), "_repeats"))).select("whole.*")

@@ -1,6 +1,6 @@
 """Token-ID files: documents as token ids in independent Zstandard frames, with a seek table and checksums.
 
-``write_token_files`` sorts the documents by id over range partitions and writes one file for each. A frame holds whole
+``write_token_files`` sorts the documents by id over range partitions and writes a file for each, or more files where one would be larger than ``FILE_BYTES``. A frame holds whole
 documents; the record index of a file says for each document its frame, byte offset and number of ids. Readers
 decompress only the frames of the documents that they are asked for.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from barspark.llm.frames import FrameReader, FrameWriter
 from barspark.llm.shared import kept, new_folder
 
-FRAME_BYTES = 1 << 20
+FRAME_BYTES, FILE_BYTES = 1 << 20, 1 << 30
 ENTRY = np.dtype([("id", "<i8"), ("known", "u1"), ("width", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("count", "<u8")])
-MANIFEST = "part int, path string, n_docs long, n_ids long"
+MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 #: Ids of pieces that a Python worker remembers.
 REMEMBERED = 1_000_000
 
@@ -93,33 +93,42 @@ def encoded(tokenizer_path: str):
     return _encoder(tokenizer_path)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Write the documents in ascending id order; return the manifest: part, path, n_docs, n_ids of each file."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", frame_bytes: int = FRAME_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the documents in ascending id order; return the manifest: part, file (its number in the part), path, n_docs, n_ids of each file."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = encoded(tokenizer_path)
         end = np.array([end_id], dtype=width).tobytes()
-        part, out, total = TaskContext.get().partitionId(), None, 0
-        index, frame, filled = [], [], 0
+        part, file, out = TaskContext.get().partitionId(), 0, None
+        index, frame, filled, total = [], [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal file, out, index, frame, filled, total
+            if frame:
+                out.add(b"".join(frame))
+            path = out.close(np.array(index, dtype=ENTRY).tobytes())
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([file], pa.int32()), "path": [path], "n_docs": pa.array([len(index)], pa.int64()), "n_ids": pa.array([total // width.itemsize], pa.int64())})
+            file, out, index, frame, filled, total = file + 1, None, [], [], 0, 0
+            return row
+
         for batch in batches:
             for i, text in zip(batch["id"], batch["text"]):
-                out = out or FrameWriter(folder, f"tokens-{part:06d}")
+                out = out or FrameWriter(folder, f"tokens-{part:06d}-{file:04d}")
                 ids = encode(text.as_py()) + end
                 i = i.as_py()
                 index.append((i or 0, i is not None, width.itemsize, len(out.table), filled, len(ids) // width.itemsize))
                 frame.append(ids)
                 filled += len(ids)
-                total += len(ids) // width.itemsize
+                total += len(ids)
                 if filled >= frame_bytes:
                     out.add(b"".join(frame))
                     frame, filled = [], 0
+                if total >= file_bytes:
+                    yield done()
         if out:
-            if frame:
-                out.add(b"".join(frame))
-            path = out.close(np.array(index, dtype=ENTRY).tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([len(index)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+            yield done()
 
     return kept(rows.mapInArrow(write, MANIFEST), "manifest")
 
@@ -140,7 +149,7 @@ def documents_of(path: str, wanted: set[int] | None = None) -> Iterator[tuple[in
 
 def _files(manifest: DataFrame) -> DataFrame:
     """A row, and a task, for each file, with the ids of all files before it. The manifest has a row for each file only."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     rows = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     return rows.repartition(max(1, manifest.count()))
 

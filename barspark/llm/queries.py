@@ -119,7 +119,9 @@ OP7_SQL = rf"""
 WITH {SPLIT}, words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 {", ".join(_covered_sql(n) for n in _N)},
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
-later AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[ 	-]+', '', 'g'))) AS line_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM lines WHERE regexp_matches(line, '[^ 	-]')) WHERE nth > 1 GROUP BY r),
+later AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[ 	-
+]+', '', 'g'))) AS line_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM lines WHERE regexp_matches(line, '[^ 	-
+]')) WHERE nth > 1 GROUP BY r),
 m AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols FROM d)
 SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words_{quality.BASE_WINDOW}, 0) AS n_repeat_words, {_FAILED} AS base_failed,
   {", ".join(f"{x} AS dup_{n}gram_share" for n, x in _SHARES.items())}, coalesce(line_chars, 0) / greatest(word_chars, 1) AS dup_line_share,
@@ -127,6 +129,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup
 FROM m {" ".join(f"LEFT JOIN in_{n} USING (r)" for n in _N)} LEFT JOIN later USING (r)
 """
 
+#: All pairs of texts that share a gram, their exact similarity, and what is reached by links.
+OP10_SQL = rf"""
+WITH RECURSIVE {SPLIT},
+texts AS (SELECT text, first(w) AS w, min(doc_id) AS text_id, row_number() OVER (ORDER BY text) AS n FROM d GROUP BY text),
+grams AS (SELECT DISTINCT n, array_to_string(list_slice(w, i, i + {jaccard.GRAM - 1}), ' ') AS gram FROM texts, unnest(range(1, greatest(len(w) - {jaccard.GRAM - 2}, least(len(w), 1) + 1))) t(i)),
+sizes AS (SELECT n, count(*) AS k FROM grams GROUP BY n),
+pairs AS (SELECT a.n AS x, b.n AS y, count(*) AS common FROM grams a JOIN grams b USING (gram) WHERE a.n <> b.n GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes s ON s.n = x JOIN sizes t ON t.n = y WHERE 5 * common >= 4 * (s.k + t.k - common)),
+reached(n, m) AS (SELECT n, n FROM texts UNION SELECT y, m FROM reached JOIN links ON x = reached.n),
+classes AS (SELECT reached.n, min(text_id) AS class_id FROM reached JOIN texts ON texts.n = m GROUP BY reached.n),
+counts AS (SELECT x AS n, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, text_id FROM d JOIN texts USING (text) JOIN classes USING (n) LEFT JOIN counts USING (n)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
@@ -136,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL, "op10_jaccard_forest": OP10_SQL}

@@ -201,6 +201,13 @@ def test_token_files(which, request, empty):
     assert token_files.encode_to_files(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_roll_over(docs, tmp_path):
+    whole = token_files.write_token_files(docs, f"file://{tmp_path}/a", queries.tokenizer_path())
+    small = token_files.write_token_files(docs, f"file://{tmp_path}/b", queries.tokenizer_path(), frame_bytes=500, file_bytes=3000)
+    assert small.count() > 3 * whole.count()
+    assert key(token_files.read_digests(small).collect()) == key(token_files.read_digests(whole).collect())
+
+
 def test_token_files_give_single_documents(spark, docs):
     from tokenizers import Tokenizer
 
@@ -398,6 +405,17 @@ def test_personal_data_adds_confirmed_spans():
     assert kinds("call me: 555-123-4567") == ["phone_local"] and kinds("on 555-123-4567") == []
 
 
+def test_personal_data_of_its_own_kinds_does_not_overlap():
+    text = "call " + "555-123-4567 " * 3_000
+    base = [x for v in pii.base_spans(text).values() for x in v]
+    ends = 0
+    found = pii.more_spans(text, base)
+    for _, start, end, _ in found:
+        assert start >= ends and all(end <= a or b <= start for a, b in base[:50])
+        ends = end
+    assert [k for k, *_ in pii.more_spans("GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432", [(0, 4)])] == ["iban"]
+
+
 def groups_by_hand(texts, similar=0.8):
     sets = []
     for t in texts:
@@ -441,6 +459,10 @@ def test_near_duplicates(spark, docs, odd, empty):
     for i, a in sets.items():
         assert got[i].n_links == len({texts[j] for j, b in sets.items() if texts[j] != texts[i] and len(a & b) >= 0.8 * len(a | b)})
     small = {r.doc_id: r for r in jaccard.near_duplicates(df, block=16).collect()}
+    bytes_before, jaccard.BLOCK_BYTES = jaccard.BLOCK_BYTES, 10_000
+    light = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
+    jaccard.BLOCK_BYTES = bytes_before
+    assert light == got
     assert all((small[i].class_id, small[i].n_links) == (got[i].class_id, got[i].n_links) for i in ids)
     kept_rows = jaccard.keep_one_of_each(df)
     assert sorted(r.doc_id for r in kept_rows.collect()) == sorted(least.values())

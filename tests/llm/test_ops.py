@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from barspark.llm import arrays, decontaminate, jaccard, language, mixing, pii, quality, queries, sharding, substring, token_files, warc
@@ -477,6 +478,27 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1000, 400])  # of bytes in a block: two blocks, or three and four
+def test_links_are_counted_once_where_blocks_are_empty(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    texts = [" ".join(f"p{k}x{i}" for i in range(100)) for k in range(12)]
+    rows = [(2 * k + one, t + " tail" * one) for k, t in enumerate(texts) for one in (0, 1)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i, _ in rows}
+
+
+def test_links_of_a_pair_of_blocks():
+    text = " ".join(f"w{i}" for i in range(50))
+    for at in ([0, 0], [1, 1], [2, 2], [0, 1], [0, 2], [1, 2]):  # where two linked texts lie among three blocks
+        found = 0
+        for lo, hi in itertools.combinations_with_replacement(range(3), 2):
+            own = [(9, b, n, lo, hi, text + f" end{n}") for n, b in enumerate(at) if b in (lo, hi)]
+            if own:
+                pdf = pd.DataFrame(own, columns=["cluster", "block", "node", "lo", "hi", "text"])
+                found += int(jaccard._links(0.8)(pdf)["n"].sum())
+        assert found == 2, at
+
+
 def test_depth_reaches_the_recall():
     d = jaccard.depth_for(0.8, jaccard.TREES, jaccard.DEPTH, jaccard.RECALL)
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.functions import calendar as cal
@@ -327,6 +327,110 @@ def x7(spark, sf):
     return df.groupBy("symbol", F.col("direction").alias("signal_id")).agg(F.count("*").alias("n"))
 
 
+# Whole tables: no row is left out. The queries above judge the slice that their SQL twins can follow; these have no twin, tests hold them against plain loops.
+
+
+def _roles(spark, sf) -> DataFrame:
+    """Every event is an entry (even ids) or an exit."""
+    return _timed(spark, sf).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit"))
+
+
+@query("s9_pair_deals_whole")
+def s9_whole(spark, sf):
+    """Every order line is a trade of its supplier (account) and part (symbol), which have several."""
+    pair = Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    t = fx.table(spark, sf, "lineitem").withColumn("at", F.row_number().over(pair).cast("long") * 10)
+    common = [F.col("l_suppkey").alias("account"), F.col("l_partkey").cast("string").alias("symbol")]
+    text = lambda name, x: F.concat(F.lit(" "), F.col(x).cast("string")).alias(name)
+    ins = t.select(*common, F.col("at").alias("time"), F.lit("in").alias("entry"), F.lit("buy").alias("side"), text("volume", "l_quantity"), text("price", "l_extendedprice"), (-F.col("l_discount")).cast("string").alias("commission"), F.lit("0").alias("profit"))
+    outs = t.select(*common, (F.col("at") + 5).alias("time"), F.lit("out").alias("entry"), F.lit("sell").alias("side"), text("volume", "l_quantity"), text("price", "l_extendedprice"), F.lit(None).cast("string").alias("commission"), text("profit", "l_tax"))
+    return ledgers.pair_deals(ins.unionByName(outs)).select("account", "symbol", "entry_time", *r("volume", "net"))
+
+
+@query("l1_classify_signals_whole")
+def l1_whole(spark, sf):
+    """Every event is a signal, two in three are ledger entries too and one in six is a guard."""
+    t, k = _roles(spark, sf), F.col("event_id")
+    guards = t.filter(k % 6 == 0).select("symbol", F.floor(F.col("time") / 300).alias("bucket"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("reason"))
+    ledger = t.filter(k % 3 > 0).select("symbol", "time", (F.col("direction") * F.when(k % 5 == 0, -1).otherwise(1)).alias("direction"))
+    intervals = reconcile.open_intervals(t.select("symbol", "time", "kind"), ["symbol"]).filter("entry_time < exit_time")
+    return reconcile.classify_signals(t.select("symbol", "time", "direction"), ledger, intervals, guards)
+
+
+@query("l2_open_intervals_whole")
+def l2_whole(spark, sf):
+    return reconcile.open_intervals(_roles(spark, sf).select("symbol", "time", "kind"), ["symbol"])
+
+
+@query("l3_construction_check_whole")
+def l3_whole(spark, sf):
+    t, k = _timed(spark, sf), F.col("event_id")
+    shift = F.when(k % 2 == 0, 0.5).otherwise(0.0)
+    ledger = t.select(k.alias("key"), F.col("value").alias("entry_price"), (F.col("value") - 3 + shift).alias("stop"), (F.col("value") + 3 + shift).alias("target"))
+    states = t.select(k.alias("key"), (F.lit(2.0) + F.when(k % 5 == 0, 0.1).otherwise(0.0)).alias("atr"), F.col("value").alias("planned_entry"))
+    return reconcile.construction_check(ledger, states).select("key", *r("span_error", "midpoint_error"), "span_ok")
+
+
+def _all_balances(spark, sf):
+    """Odd ids are requests, even ones balances."""
+    t = _timed(spark, sf)
+    return t.filter("event_id % 2 = 1"), t.filter("event_id % 2 = 0").groupBy("symbol", "time").agg(F.max("value").alias("balance"))
+
+
+@query("l5_balance_asof_whole")
+def l5_whole(spark, sf):
+    requests, balances = _all_balances(spark, sf)
+    return reconcile.balance_asof(requests, balances, ["symbol"]).select("event_id", "balance_time", *r("balance"))
+
+
+@query("l6_volume_check_whole")
+def l6_whole(spark, sf):
+    requests, balances = _all_balances(spark, sf)
+    asked = requests.withColumn("stop_distance", F.lit(0.05)).withColumn("volume", F.when(F.col("event_id") % 4 == 1, 0.5))
+    return reconcile.volume_check(asked, balances.withColumn("balance", F.col("balance") * 50), ["symbol"]).select("event_id", *r("expected_volume"), "volume_ok")
+
+
+@query("l7_entry_tick_whole")
+def l7_whole(spark, sf):
+    t = fx.ticks(spark, sf)
+    trades = t.select(F.col("event_id").alias("trade_id"), "symbol", F.floor(F.col("time_msc") / 1000).alias("entry_time"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("ask").alias("entry_price"))
+    return reconcile.entry_tick(trades, t)
+
+
+@query("l8_first_trigger_whole")
+def l8_whole(spark, sf):
+    t, way = fx.ticks(spark, sf), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
+    trades = t.select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("anchor_msc"), way.alias("direction"), (F.col("bid") - way * 40).alias("stop_price"), (F.col("bid") + way * 60).alias("target_price"))
+    return reconcile.first_trigger(trades, t, 6 * 3_600_000)
+
+
+@query("l9_delay_endpoints_whole")
+def l9_whole(spark, sf):
+    t = fx.ticks(spark, sf)
+    return reconcile.delay_endpoints(t.select("event_id", "symbol", "time_msc", F.col("bid").alias("fill")), t, 600_000).select("event_id", "before_msc", "after_msc")
+
+
+@query("l11_cost_rates_whole")
+def l11_whole(spark, sf):
+    t = fx.table(spark, sf, "lineitem")
+    rows = t.select(F.when(F.col("l_returnflag") == "N", -1).otherwise(1).alias("direction"), F.col("l_discount").alias("commission"), F.col("l_tax").alias("swap"), F.col("l_quantity").alias("volume"))
+    return reconcile.cost_rates(rows)
+
+
+@query("x5_stream_positions_whole")
+def x5_whole(spark, sf):
+    b = fx.bars(spark, sf).select(F.lit("E").alias("experiment_id"), "symbol", F.col("bar_idx").alias("entry_idx"), (F.col("bar_idx") + F.col("tick_volume")).alias("exit_idx"))
+    return run_stream(streams.one_at_a_time(_as_stream(b)))
+
+
+@query("x7_stream_signal_ticks_whole")
+def x7_whole(spark, sf):
+    s = tick_stream(spark, sf).select("symbol", F.col("ts").alias("signal_ts"), F.col("event_id").alias("direction"))
+    t = tick_stream(spark, sf).select("symbol", "ts", "value")
+    df = run_stream(streams.signals_with_ticks(s, t, "30 minutes", "1 day"))
+    return df.groupBy("symbol", F.col("direction").alias("signal_id")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return Q
 

@@ -16,9 +16,9 @@ def c(name: str) -> Column:
 # Folds
 
 
-def months(rows: DataFrame, date: str = "broker_date") -> DataFrame:
-    """month (YYYY-MM) and its place (1, 2, ...)."""
-    found = rows.select(F.substring(date, 1, 7).alias("month")).distinct()
+def months(rows: DataFrame, date: str = "broker_date", length: int = 7) -> DataFrame:
+    """month (YYYY-MM; with a length of 10 a day) and its place (1, 2, ...)."""
+    found = rows.select(F.substring(date, 1, length).alias("month")).distinct()
     return found.withColumn("place", F.row_number().over(Window.orderBy("month")))
 
 
@@ -37,8 +37,8 @@ def _short(found: DataFrame, scheme: str, needed: int) -> DataFrame:
     return _fold_rows(scheme, spans, found)
 
 
-def rolling_folds(rows: DataFrame, research: int = 12, validation: int = 3, step: int = 3) -> DataFrame:
-    found = months(rows)
+def rolling_folds(rows: DataFrame, research: int = 12, validation: int = 3, step: int = 3, length: int = 7) -> DataFrame:
+    found = months(rows, length=length)
     n = found.agg(F.count("*").alias("n")).filter(c("n") >= research + validation)
     starts = n.select(F.explode(F.sequence(F.lit(1), c("n") - research - validation + 1, F.lit(step))).alias("s"))
     spans = starts.select(((c("s") - 1) / step + 1).cast("int").alias("number"), c("s").alias("research_from"), (c("s") + research - 1).alias("research_to"), (c("s") + research + validation - 1).alias("validation_to"))
@@ -61,11 +61,11 @@ def fold_metrics(trades: DataFrame, folds: DataFrame, keys: list[str]) -> DataFr
     return out.select(*own, "completed_trades", "profit_factor", "expectancy_usd", "net_profit", "max_drawdown_pct", "positive_day_fraction")
 
 
-def walk_forward(signals: DataFrame, bars: DataFrame, settings: DataFrame, folds: DataFrame) -> DataFrame:
+def walk_forward(signals: DataFrame, bars: DataFrame, settings: DataFrame, folds: DataFrame, period: str = "yyyy-MM") -> DataFrame:
     """Trades of each fold and segment on its bars alone, so that none runs over the end of its slice, and their metrics. signals: experiment_id, symbol, bar_idx, signal."""
     from barspark.operators.trades import signals_to_trades
 
-    dated = bars.withColumn("month", F.date_format("bar_ts", "yyyy-MM")).join(F.broadcast(folds), "month")
+    dated = bars.withColumn("month", F.date_format("bar_ts", period)).join(F.broadcast(folds), "month")
     part = F.concat_ws("|", "symbol", "fold_id", "segment")
     w = Window.partitionBy("part").orderBy("bar_idx")
     sliced = dated.withColumn("part", part).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))

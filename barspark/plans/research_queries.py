@@ -167,6 +167,15 @@ def v5w(spark, sf):
     return validation.walk_forward(s, market, settings(spark), folds).select("experiment_id", "fold_id", "segment", "completed_trades", *r("net_profit"))
 
 
+@query("v5_walk_forward_days")
+def v5_days(spark, sf):
+    """Rolling folds of 12 days of research and 3 of validation. No twin: a slice of bars is a market of its own."""
+    market, s = breakouts(spark, sf)
+    days = market.select(F.date_format("bar_ts", "yyyy-MM-dd").alias("broker_date"))
+    out = validation.walk_forward(s, market, settings(spark), validation.rolling_folds(days, length=10), "yyyy-MM-dd")
+    return out.select("experiment_id", "fold_id", "segment", "completed_trades", *r("net_profit"))
+
+
 SUMMED = "validation_fold_count median_validation_pf validation_pf_above_1_fraction validation_positive_expectancy_fraction validation_joint_stability_fraction worst_validation_net_profit research_to_validation_pf_degradation_ratio".split()
 FSUM = f"""{FOLDED}, fsum AS (SELECT experiment_id, count(*) FILTER (segment = 'validation') AS validation_fold_count, median(profit_factor) FILTER (segment = 'validation') AS median_validation_pf, count(*) FILTER (segment = 'validation' AND profit_factor > 1) / count(*) FILTER (segment = 'validation') AS validation_pf_above_1_fraction,
  count(*) FILTER (segment = 'validation' AND expectancy_usd > 0) / count(*) FILTER (segment = 'validation') AS validation_positive_expectancy_fraction, count(*) FILTER (segment = 'validation' AND profit_factor > 1 AND expectancy_usd > 0) / count(*) FILTER (segment = 'validation') AS validation_joint_stability_fraction,
@@ -228,6 +237,19 @@ def v11(spark, sf):
     return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"], 10, 5).select("experiment_id", *r(*(f"max_drawdown_p{q}" for q in (5, 50, 95))))
 
 
+# The resampling over the reference's 5,000 samples, which the twins of v10 and v11 (20 and 10) can't follow.
+
+
+@query("v10_bootstrap_days_5000")
+def v10_whole(spark, sf):
+    return validation.bootstrap_days(lines(spark, sf), ["experiment_id"]).select("experiment_id", *r(*BOOTED))
+
+
+@query("v11_order_monte_carlo_5000")
+def v11_whole(spark, sf):
+    return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"]).select("experiment_id", *r(*(f"max_drawdown_p{q}" for q in (5, 50, 95))))
+
+
 PFX = "sum(CASE WHEN net_pnl > 0 AND {w} THEN net_pnl ELSE 0 END) / nullif(abs(sum(CASE WHEN net_pnl < 0 THEN net_pnl ELSE 0 END)), 0)"
 REMOVED = f"{TRADES_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY net_pnl DESC, trade_seq) AS k FROM trades), rm AS (SELECT experiment_id, c AS removed, sum(net_pnl) AS net0, {PFX.format(w='true')} AS pf0, sum(CASE WHEN k > c OR net_pnl <= 0 THEN net_pnl ELSE 0 END) AS net_profit, {PFX.format(w='k > c')} AS profit_factor FROM rk, (VALUES (1), (5), (10)) t(c) GROUP BY 1, 2)"
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 
+import numpy as np
 import pytest
 
+from barspark.operators import trades
 from barspark.plans import fixtures as fx
-from barspark.plans import registry
+from barspark.plans import registry, research_queries, trade_queries
 
 QUERIES = registry.queries()
 
@@ -140,3 +143,46 @@ def test_streams(spark, sf, of):
     times = {r.event_id: r.ts for r in fx.events(spark, sf).collect()}
     near = {(s, t["event_id"]): sum(0 <= (times[x["event_id"]] - times[t["event_id"]]).total_seconds() <= 1800 for x in own) for s, own in of.items() for t in own}
     assert {(x.symbol, x.signal_id): x.n for x in rows(spark, sf, "x7_stream_signal_ticks_whole")} == near
+
+
+def test_resampling_has_the_full_number_of_samples(spark, sf, monkeypatch):
+    """Registered queries over trades of one experiment, against loops over all 5,000 samples."""
+    rng, n, seed = np.random.default_rng(3), 5000, 9216000
+    rows_ = [(1, i + 1, f"2024-01-{1 + i // 2:02d}", float(np.round(rng.normal(5, 50), 2))) for i in range(12)]
+    small = spark.createDataFrame(rows_, "experiment_id long, trade_seq long, broker_date string, net_pnl double")
+    monkeypatch.setattr(research_queries, "lines", lambda *_: small)
+    unit = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:7], 16) / 2**28
+    days = [rows_[2 * k][3] + rows_[2 * k + 1][3] for k in range(6)]
+    drawn = np.array([[days[int(unit(seed, 1, i, k) * 6)] for k in range(6)] for i in range(n)])
+    got = rows(spark, sf, "v10_bootstrap_days_5000")[0].asDict()
+    for q in (5, 50, 95):
+        assert got[f"mean_daily_p{q}"] == pytest.approx(np.percentile(drawn.mean(1), q), abs=1e-5)
+        assert got[f"total_pnl_p{q}"] == pytest.approx(np.percentile(drawn.sum(1), q), abs=1e-5)
+    falls = []
+    for i in range(n):
+        order = sorted(rows_, key=lambda x: hashlib.md5(f"{seed}|1|{i}|{x[1]}".encode()).hexdigest())
+        equity = np.cumsum([0.0, *(x[3] for x in order)])
+        falls.append((np.maximum.accumulate(equity) - equity).max())
+    got = rows(spark, sf, "v11_order_monte_carlo_5000")[0].asDict()
+    for q in (5, 50, 95):
+        assert got[f"max_drawdown_p{q}"] == pytest.approx(np.percentile(falls, q), abs=1e-5)
+
+
+def test_walk_forward_has_validation_segments(spark, sf):
+    found = rows(spark, sf, "v5_walk_forward_days")
+    assert {x.segment for x in found} == {"research", "validation"} and len({x.fold_id for x in found}) > 1
+    # One slice by hand: the bars of the first fold's days of validation, renumbered, as a market of their own.
+    market, s = trade_queries.breakouts(spark, sf)
+    bars = collections.defaultdict(list)
+    for b in sorted(market.collect(), key=lambda b: b.bar_idx):
+        bars[b.symbol].append(b)
+    days = sorted({b.bar_ts.date() for own in bars.values() for b in own})[12:15]
+    own = {x: [b for b in bars[x] if b.bar_ts.date() in days] for x in bars}
+    place = {(x, b.bar_idx): i for x in own for i, b in enumerate(own[x])}
+    slice_ = spark.createDataFrame([b.asDict() | {"bar_idx": place[x, b.bar_idx]} for x in own for b in own[x]], market.schema)
+    signalled = spark.createDataFrame([(x.experiment_id, x.symbol, place[x.symbol, x.bar_idx], x.signal) for x in s.collect() if (x.symbol, x.bar_idx) in place], s.select("experiment_id", "symbol", "bar_idx", "signal").schema)
+    totals = collections.defaultdict(list)
+    for t in trades.signals_to_trades(signalled, slice_, trade_queries.settings(spark)).collect():
+        totals[t.experiment_id].append(t.net_pnl)
+    got = {x.experiment_id: (x.completed_trades, x.net_profit) for x in found if (x.fold_id, x.segment) == ("rolling-001", "validation")}
+    assert got == {e: (len(v), pytest.approx(sum(v), abs=1e-4)) for e, v in totals.items()} and got

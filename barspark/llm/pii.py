@@ -116,8 +116,8 @@ def _find(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-#: Every span of the method's own kinds has two digits in a row.
-_HINT = re.compile(r"[0-9][0-9]")
+#: Every span of the method's own kinds has two digits in a row, or with one space or hyphen between them, as in a short card.
+_HINT = re.compile(r"[0-9][\x20-]?[0-9]")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

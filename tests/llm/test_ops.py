@@ -406,6 +406,12 @@ def test_personal_data_adds_confirmed_spans():
     assert kinds("call me: 555-123-4567") == ["phone_local"] and kinds("on 555-123-4567") == []
 
 
+def test_personal_data_finds_cards_of_single_digits(spark):
+    texts = ["my card 3-7-8-2-8-2-2-4-6-3-1-0-0-0-5", "my card 3 7 8 2 8 2 2 4 6 3 1 0 0 0 5"]
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == {0: "card_short:8:37", 1: "card_short:8:37"}
+
+
 def test_personal_data_of_its_own_kinds_does_not_overlap():
     text = "call " + "555-123-4567 " * 3_000
     base = [x for v in pii.base_spans(text).values() for x in v]

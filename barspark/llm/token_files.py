@@ -5,7 +5,8 @@ documents; the record index of a file says for each document its frame, byte off
 decompress only the frames of the documents that they are asked for.
 
 Defined results: a null text is empty and gives only the end id; null ids come first; rows with equal ids come in the
-order of their texts; an empty table gives no file. Other columns are ignored.
+order of their texts; an empty table gives no file. Other columns are ignored. A name of an added token in a text, such as <|endoftext|>, gives
+the one id that the library's plain call gives.
 """
 
 from __future__ import annotations
@@ -65,20 +66,21 @@ _RUN = re.compile("[\\s᠎﻿][ \n]")
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str, literal: bool):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = literal
+    added = [] if literal else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     width = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     pieces = PieceIds(tokenizer, width)
 
     def encode(text: str) -> bytes:
         """The tokenizer splits a text before every space or line feed that follows a non-space anyway, so the ids of the text are those of its pieces."""
-        if _RUN.search(text):
+        if _RUN.search(text) or any(name in text for name in added):
             return pieces.encode(text)
         parts = text.replace("\n", " \n").split(" ")
         if len(parts) == 1:
@@ -88,9 +90,9 @@ def _encoder(path: str):
     return encode, width
 
 
-def encoded(tokenizer_path: str):
-    """(text -> bytes of ids, dtype of an id) for a byte-level BPE file that cuts words at spaces."""
-    return _encoder(tokenizer_path)
+def encoded(tokenizer_path: str, literal: bool = True):
+    """(text -> bytes of ids, dtype of an id) for a byte-level BPE file that cuts words at spaces. Names of added tokens are ordinary text if literal, else one id each, as in the library's plain call."""
+    return _encoder(tokenizer_path, literal)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", frame_bytes: int = FRAME_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -99,7 +101,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoded(tokenizer_path)
+        encode, width = encoded(tokenizer_path, literal=False)
         end = np.array([end_id], dtype=width).tobytes()
         part, file, out = TaskContext.get().partitionId(), 0, None
         index, frame, filled, total = [], [], 0, 0

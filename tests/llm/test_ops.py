@@ -238,6 +238,20 @@ def test_pieces_match_the_tokenizer():
         assert np.frombuffer(encode(text), dtype=width).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_token_files_name_added_tokens_as_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a text", "a<|endoftext|>b", "<|endoftext|>", "some words <|endoftext|>, more words\nand <|endoftext|><|endoftext|> end", "<|endoftext| >", "behind"]
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert want[2][2] == 2 and key(token_files.encode_to_files(df, queries.tokenizer_path()).collect()) == key(want)
+
+
 def test_language(spark, odd, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in df.collect()}

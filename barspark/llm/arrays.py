@@ -1,7 +1,7 @@
 """Vectorised text helpers that run inside Spark tasks, on the buffers of Arrow string columns.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]+``. All separators are ASCII, so words can be cut on UTF-8 bytes.
-Hashes are 64-bit polynomial prefix hashes with a final mix; they are the same on every machine and in every run.
+Words are hashed by SipHash of their bytes under two keys; the hashes are the same on every machine and in every run.
 """
 
 from __future__ import annotations
@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 21
 U64 = np.uint64
+#: Keys of the two word hashes, 16 characters each.
+HASH_KEYS = ("barspark words 1", "barspark words 2")
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,33 +32,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=U64))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0x9E3779B97F4A7C15) + b)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 12)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _powers[base] = (both[0], both[1])
-    return have
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n codes from each place on (len(codes) - n + 1 places), built from hashes of 1, 2, 4, ... codes.
 
-
-class Prefix:
-    """Hashes of any slice of a sequence of 64-bit codes in constant time."""
-
-    def __init__(self, codes: np.ndarray, base: int):
-        self.inverse = powers(base, len(codes) + 1)[1]
-        self.sums = np.zeros(len(codes) + 1, dtype=U64)
-        np.cumsum(codes * powers(base, len(codes) + 1)[0][: len(codes)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
+    Every step scrambles, so no sum runs over a whole gram: patterned texts collide no more often than others.
+    """
+    if len(codes) < n:
+        return np.zeros(0, dtype=U64)
+    part, size, out, done = codes, 1, None, 0
+    while True:
+        if n & size:
+            out = part if out is None else _joined(out[: len(part) - done], part[done:])
+            done += size
+        if size * 2 > n:
+            return out[: len(codes) - n + 1]
+        part, size = _joined(part[:-size], part[size:]), size * 2
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +85,26 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def value_codes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings that lie side by side in ``data``, as numbers (equal strings, equal numbers), and the distinct strings."""
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    values = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+
+
+def value_hashes(data: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """SipHash under two keys of each of the byte strings that lie side by side in ``data``: two independent 64-bit hashes."""
+    code, distinct = value_codes(data, sizes)
+    return [pd.util.hash_array(distinct, hash_key=key, categorize=False)[code] if len(code) else np.zeros(0, dtype=U64) for key in HASH_KEYS]
+
+
 class Words:
     """Words of a run of texts: byte spans, hashes, and the first word of each text (``first`` has one more entry)."""
 
     def __init__(self, raw: np.ndarray, at: np.ndarray):
         self.raw, self.at = raw, at
-        solid = ~_SEP[raw]
+        self.solid = solid = ~_SEP[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[at] = True
         begins = solid.copy()
@@ -108,8 +115,9 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return Prefix(_BYTE_CODE[self.raw], _BYTE_BASE)(self.start, self.end)
+    def hashes(self) -> list[np.ndarray]:
+        """Two independent 64-bit hashes of each word's bytes."""
+        return value_hashes(self.raw[self.solid], self.end - self.start)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -122,14 +130,6 @@ def gram_starts(words: Words, n: int) -> np.ndarray:
     return at[at + n <= last]
 
 
-def word_prefix(codes: np.ndarray) -> Prefix:
-    return Prefix(codes, _WORD_BASE)
-
-
-def word_prefix_2(codes: np.ndarray) -> Prefix:
-    return Prefix(mix(codes + U64(0x51ED270B)), _WORD_BASE_2)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's signed long."""
     return x.view(np.int64)

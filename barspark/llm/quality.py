@@ -1,5 +1,7 @@
 """Repetition coverage: characters inside duplicated word n-grams and lines, by rolling hashes in numpy.
 
+Grams are compared by 64 bits, made of strong hashes of their words; lines are compared by their bytes.
+
 Each document is judged alone. A document fails the base rules if it has fewer than 20 words, or more than 30 % of its words lie in
 8-word windows that occur twice or more in it. The method's verdict asks in addition that the characters inside duplicated
 n-grams, for each n of ``LIMITS``, and inside duplicated lines stay within the given shares of the characters of its words.
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.arrays import U64, _BYTE_BASE, _BYTE_CODE, Prefix, Words, chunks, covered, gram_starts, mix, repeated, word_prefix
+from barspark.llm.arrays import U64, Words, chunks, covered, gram_hashes, gram_starts, mix, repeated, value_codes
 
 #: n-gram length: largest share of characters inside duplicated n-grams.
 LIMITS = {5: 0.30, 10: 0.25, 16: 0.20}
@@ -40,12 +42,11 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     size = chars[words.end] - chars[words.start]
     out = {"n_words": words.count.astype(np.int64), "word_chars": _per_text(size, words.first), "n_symbols": _per_text(_SYMBOL[raw], at)}
 
-    by_byte = Prefix(_BYTE_CODE[raw], _BYTE_BASE)
-    prefix = word_prefix(by_byte(words.start, words.end))
+    codes = words.hashes()[0]
     salt = mix(np.arange(1, len(at), dtype=U64))
     for n in (BASE_WINDOW, *LIMITS):
         start = gram_starts(words, n)
-        again = start[repeated(prefix(start, start + n) ^ salt[text[start]])]
+        again = start[repeated(gram_hashes(codes, n)[start] ^ salt[text[start]])]
         inside = covered(again, again + n, len(words.start)) if len(again) else np.zeros(len(words.start), dtype=bool)
         out[f"words_{n}"] = _per_text(inside, words.first)
         out[f"chars_{n}"] = _per_text(np.where(inside, size, 0), words.first)
@@ -56,11 +57,12 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         return out | {"n_dup_lines": zero, "line_chars": zero}
     lo, hi = cut[:-1], cut[1:]
     hi = hi - (raw[hi - 1] == 0x0A)
+    line, distinct = value_codes(raw[raw != 0x0A], hi - lo)
     w_lo, w_hi = np.searchsorted(words.start, lo), np.searchsorted(words.start, hi)
     full = w_hi > w_lo
     lo, hi, w_lo, w_hi = lo[full], hi[full], w_lo[full], w_hi[full]
     owner = np.searchsorted(at, lo, side="right") - 1
-    key = by_byte(lo, hi) ^ salt[owner] if len(lo) else np.zeros(0, dtype=U64)
+    key = owner * (len(distinct) + 1) + line[full]
     order = np.argsort(key, kind="stable")  # equal lines stay in order
     later = np.zeros(len(key), dtype=bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]

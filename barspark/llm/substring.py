@@ -7,7 +7,7 @@ extended both ways for all occurrences of an anchor at once instead of pair by p
 run of words match over its whole extent; of the others, one of each distinct run is opened into its windows, and equal
 windows are counted. The union of the repeated windows of a document gives its maximal repeats. The work follows the words, not the pairs.
 
-Windows are compared by 128 bits of hash (anchor and window).
+Windows are compared by 128 bits: the anchor's hash comes from one hash of each word, the window's from another that is independent of it.
 
 Defined results: a null or blank text has no words and keeps the empty string; texts of fewer than ``length`` words keep all;
 rows that are equal in id and text repeat each other; null ids are kept; an empty table gives no rows. Other columns are ignored.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.arrays import U64, Words, chunks, covered, gram_starts, mix, signed, word_prefix
+from barspark.llm.arrays import U64, Words, chunks, covered, gram_hashes, gram_starts, mix, signed
 from barspark.llm.shared import kept, row_key
 
 LENGTH, ANCHOR = 35, 8
@@ -34,14 +34,14 @@ _PLACE = 28
 
 def runs_of_anchors(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, anchor hash, hash of all words of the run) for each anchor occurrence."""
-    prefix = word_prefix(words.hashes())
     at = gram_starts(words, length)
     if not len(at):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty.astype(U64), empty.astype(U64)
+    codes, others = words.hashes()
     n, width = len(words.start), length - anchor + 1
     grams = np.arange(n - anchor + 1)
-    hashes = prefix(grams, grams + anchor)
+    hashes, windows = gram_hashes(codes, anchor), gram_hashes(others, length)
     order = hashes >> U64(_PLACE) << U64(_PLACE) | (U64((1 << _PLACE) - 1) - (grams.astype(U64) & U64((1 << _PLACE) - 1)))
     least, reach = order, 1
     while reach * 2 <= width:  # the least of 1, 2, 4, ... grams
@@ -58,7 +58,8 @@ def runs_of_anchors(words: Words, length: int, anchor: int) -> tuple[np.ndarray,
     base = first & ~((1 << _PLACE) - 1)
     place = (1 << _PLACE) - 1 - (chosen[opens] & U64((1 << _PLACE) - 1)).astype(np.int64) + base
     place = np.where(place < first, place + (1 << _PLACE), place)
-    return first, size, hashes[place], prefix(first, first + size + length - 1)
+    # The first and the last window of a run cover all its words, for there are not more windows in it than words in a window.
+    return first, size, hashes[place], mix((windows[first] ^ size.astype(U64)) * U64(0xD6E8FEB86659FD93) + windows[first + size - 1])
 
 
 def _occurrences(length: int, anchor: int):
@@ -83,7 +84,7 @@ def _open_windows(length: int):
             lists = batch["runs"]
             for lo, hi, raw, at in chunks(batch["text"]):
                 words = Words(raw, at)
-                prefix = word_prefix(words.hashes())
+                windows = gram_hashes(words.hashes()[1], length)
                 part = lists.slice(lo, hi - lo)
                 each = part.flatten()
                 text = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
@@ -91,8 +92,7 @@ def _open_windows(length: int):
                 first, size = words.first[text] + (span >> 8), span & 255
                 which = np.repeat(np.arange(len(size)), size)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-                start = first[which] + place
-                window = mix(prefix(start, start + length) ^ U64(length))
+                window = windows[first[which] + place]
                 yield pa.RecordBatch.from_arrays([pa.array(seeds[which]), pa.array(run[which]), pa.array(place.astype(np.int64)), pa.array(signed(window))], names=["anchor", "run", "place", "window"])
 
     return find
@@ -101,10 +101,11 @@ def _open_windows(length: int):
 def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """row_key, span (first window << 8 | number of windows) and mask (bit j: window j is repeated) wherever a document has a repeated window."""
     rows = docs.select("row_key", "text")
-    found = rows.mapInArrow(_occurrences(length, anchor), "row_key long, span long, anchor long, run long")
+    found = kept(rows.mapInArrow(_occurrences(length, anchor), "row_key long, span long, anchor long, run long"), "anchors")
     seeds = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("least"), F.max("run").alias("most")).filter("n > 1")
-    seeds = seeds.select("anchor", (F.col("least") == F.col("most")).alias("alike"))
-    shared = kept(found.join(seeds, "anchor"), "shared-anchors")
+    seeds = kept(seeds.select("anchor", (F.col("least") == F.col("most")).alias("alike")), "seeds")
+    # Both sides are read from tables, so that the one with a frequent anchor can be split; a seed is one row.
+    shared = kept(found.join(seeds.hint("merge"), "anchor"), "shared-anchors")
 
     unlike = shared.filter(~F.col("alike"))
     runs = unlike.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.first("row_key").alias("row_key"), F.first("span").alias("span"))

@@ -498,8 +498,8 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("size", [1000, 400])  # of bytes in a block: two blocks, or three and four
-def test_links_are_counted_once_where_blocks_are_empty(spark, monkeypatch, size):
+@pytest.mark.parametrize("size", [1000, 400])  # of bytes in a block
+def test_links_are_counted_once_over_small_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     texts = [" ".join(f"p{k}x{i}" for i in range(100)) for k in range(12)]
     rows = [(2 * k + one, t + " tail" * one) for k, t in enumerate(texts) for one in (0, 1)]
@@ -507,27 +507,56 @@ def test_links_are_counted_once_where_blocks_are_empty(spark, monkeypatch, size)
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i, _ in rows}
 
 
-def test_links_of_a_pair_of_blocks():
-    text = " ".join(f"w{i}" for i in range(50))
-    for at in ([0, 0], [1, 1], [2, 2], [0, 1], [0, 2], [1, 2]):  # where two linked texts lie among three blocks
-        found = 0
-        for lo, hi in itertools.combinations_with_replacement(range(3), 2):
-            own = [(9, b, n, lo, hi, text + f" end{n}") for n, b in enumerate(at) if b in (lo, hi)]
-            if own:
-                pdf = pd.DataFrame(own, columns=["cluster", "block", "node", "lo", "hi", "text"])
-                found += int(jaccard._links(0.8)(pdf)["n"].sum())
-        assert found == 2, at
-
-
-def test_depth_reaches_the_recall():
-    d = jaccard.depth_for(0.8, jaccard.TREES, jaccard.DEPTH, jaccard.RECALL)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_links_of_blocks_add_up_to_those_of_all(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = [f"c{i}" for i in range(80)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.choice(80, int(rng.integers(0, 5)), replace=False):
+            own[at] = f"d{k}-{at}"
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    frame = pd.DataFrame({"cluster": 7, "node": range(len(texts)), "text": texts, "wide": True, "block": [k // 17 for k in range(len(texts))]})
+    whole = jaccard._own_links(0.8, f"file://{tmp_path}")(frame.assign(wide=False))
+    parts = [jaccard._own_links(0.8, f"file://{tmp_path}")(own) for _, own in frame.groupby("block")]
+    paths = {int(r.block): r.path for p in parts for r in p.itertuples() if isinstance(r.path, str)}
+    pairs = pd.DataFrame([(7, paths[x], paths[y]) for x, y in itertools.combinations(sorted(paths), 2)], columns=["cluster", "lo_path", "hi_path"])
+    parts += list(jaccard._cross_links(0.8)([pairs]))
+
+    def result(frames):
+        rows = pd.concat(frames)
+        counts = rows[rows["n"] > 0].groupby("a")["n"].sum().to_dict()
+        root = {n: n for n in range(len(texts))}
+        for _ in texts:
+            for r in rows[rows["b"].notna()].itertuples():
+                root[r.a] = root[r.b] = min(root[r.a], root[r.b])
+        return counts, root
+
+    assert len(paths) > 2 and result([whole]) == result(parts)
+
+
+def test_depths_reach_the_recall(spark):
+    least = jaccard.least_depth(0.8, jaccard.TREES, jaccard.DEPTH, jaccard.RECALL)
+    assert jaccard.meeting(0.8, jaccard.TREES, least) >= jaccard.RECALL > jaccard.meeting(0.8, jaccard.TREES, least + 1)
+    far, near = [[f"{k}a{i}" for i in range(400)] for k in range(2)]
+    rows = [(k, " ".join([*far[: k % 45], *(f"n{k}-{i}" for i in range(4)), *far[k % 45 :]])) for k in range(60)]
+    rows += [(100 + k, " ".join([*near[:40], f"m{k}"])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample, deeper in ((10_000, True), (0, False)):
+        forest = docs.selectExpr("doc_id", "text", "doc_id as row_key", "xxhash64(text) as node", "1L as size")
+        signed = forest.mapInArrow(jaccard._sign(jaccard.TREES, jaccard.DEPTH, 0.8), "doc_id long, row_key long, node long, size long, small int, large int, labels binary")
+        rows_ = signed.selectExpr("node", "explode(sequence(small, large)) as grp", "labels").selectExpr("grp", "node", f"posexplode(transform(sequence(0, {jaccard.TREES - 1}), t -> substring(labels, t * {jaccard.DEPTH} + 1, {jaccard.DEPTH}))) as (tree, key)")
+        order = ["grp", "tree", "key", "node"]
+        runs = rows_.repartitionByRange(3, *order).sortWithinPartitions(*order).mapInArrow(jaccard._runs(least, jaccard.DEPTH, sample / 120), jaccard._FOREST)
+        depths = jaccard.fit_depths(runs, forest.select("node", "text"), 0.8, jaccard.TREES, least, jaccard.DEPTH, jaccard.RECALL)
+        assert min(depths) == least and (max(depths) > least) == deeper
 
 
 def test_hashes_are_the_same_for_equal_slices():
     raw = np.frombuffer(b"abc abc xabc abc", dtype=np.uint8)
     w = arrays.Words(raw, np.array([0, 7, 16]))
-    h = w.hashes()
+    h = w.hashes()[0]
     assert w.count.tolist() == [2, 2] and h[0] == h[1] == h[3] != h[2]
 
 

@@ -54,10 +54,11 @@ def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    dealt = sharding.shuffle_into_shards(docs, SHARDS, ["doc_id", "text"])
     text = F.coalesce("text", F.lit(""))
-    return dealt.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    # The texts stay where they are: size, checksum and hash stand for them in the shuffle.
+    dealt = sharding.shuffle_into_shards(docs, SHARDS, ["doc_id", "text_crc32", "text_hash"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-The rows lie in ``n_parts`` parts by a hash of their key. Given the sizes of the parts and of the shards (at most one row apart), the
+The rows lie in ``n_parts`` parts by a hash of their key; rows of equal keys are numbered first, and the number is part of the key. Given the sizes of the parts and of the shards (at most one row apart), the
 number of rows that go from each part to each shard is drawn from the multivariate hypergeometric law, so that every way to
 deal out the rows is equally likely. Each part is permuted and cut by its row of the matrix; the rows are exchanged;
 each shard is permuted again, in ranges of a hash, whose places follow from the counts of the ranges. No shard and no part is ever in one task
 as a whole unless it has few rows; only the matrix (n_parts x n_shards counts) is on the driver.
 
-Defined results: nulls in key columns are ordinary values; rows that are equal in all key columns are dealt apart like others (which is which
-can't be told); an empty table gives no rows; other columns are carried along, and those that are called shard or slot are replaced.
+Defined results: nulls in key columns are ordinary values; rows that are equal in all key columns are dealt apart like others (which of them goes where
+is open); an empty table gives no rows; other columns are carried along, and those that are called shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -17,17 +17,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barspark.llm.shared import kept, number_copies
+
 ROWS_PER_PART, MOST_PARTS = 2_000, 1 << 15
 _UNIT = float(1 << 63)
 
 
 def communication_matrix(part_sizes: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Counts from part to shard: rows sum to the part sizes, columns to shard sizes that are at most one apart."""
-    rng, total = np.random.default_rng(seed), sum(part_sizes)
+    rng, wide, total = np.random.default_rng(seed), np.random.RandomState(seed), sum(part_sizes)
     left = np.array([total // n_shards + (s < total % n_shards) for s in range(n_shards)], dtype=np.int64)
     rows = []
     for size in part_sizes:
-        draw = rng.multivariate_hypergeometric(left, size, method="marginals")
+        if left.sum() < 10**9:
+            draw = rng.multivariate_hypergeometric(left, size, method="marginals")
+        else:  # the law above takes no more; shard by shard, each against the rest, is the same law, drawn in double precision
+            draw, rest, open_ = np.zeros(n_shards, dtype=np.int64), int(left.sum()), size
+            for s in range(n_shards):
+                rest -= int(left[s])
+                draw[s] = min(open_, int(left[s])) if not open_ or not rest else wide.hypergeometric(int(left[s]), rest, open_)
+                open_ -= int(draw[s])
         left -= draw
         rows.append(draw)
     return np.array(rows, dtype=np.int64).reshape(len(part_sizes), n_shards)
@@ -36,6 +45,8 @@ def communication_matrix(part_sizes: list[int], n_shards: int, seed: int) -> np.
 def shuffle_into_shards(df: DataFrame, n_shards: int, key: list[str], seed: int = 0) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (0 to the shard's size - 1)."""
     spark, df = df.sparkSession, df.drop("shard", "slot")
+    columns, df = df.columns, kept(number_copies(df, key, "_copy"), "numbered")
+    key = [*key, "_copy"]
 
     def random(stage: int) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(stage), *key)
@@ -60,4 +71,4 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, key: list[str], seed: int
     before = counts.select("shard", "_range", (F.sum("n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("shard", "_range").orderBy(random(2), *key)
     placed = dealt.withColumn("_rank", F.row_number().over(order)).join(before, ["shard", "_range"])
-    return placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*df.columns, "shard", "slot")
+    return placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*columns, "shard", "slot")

@@ -4,9 +4,10 @@ A source's target is its weighted share of all words, at most ``MOST_REPEATS`` t
 the others by weight. A document is taken floor(f) times for sure, f = target / source size, and once more with probability
 f - floor(f). Which ones is chosen by the cube method: the vector of probabilities moves along the null space of the
 constraints (number of documents and number of words of the source), to one of the two ends of its line by chance, so that
-both totals stay what they are while more and more probabilities become 0 or 1. Groups of a few thousand
-documents of a source fly apart from each other; the two or three documents that each leaves open fly again in groups of such, until one
-group for each source is left, whose last open documents (the landing) are drawn one by one.
+both totals stay what they are while more and more probabilities become 0 or 1. Each move is led by the largest open document and made up for by all the others,
+so the large ones are decided first and small ones are left. Groups of a few thousand
+documents of a source fly apart from each other; the two documents at most that each leaves open fly again in groups of such, until one
+group for each source is left. Its last open documents (the landing) are taken or left, whichever brings the words nearest to the target.
 
 Defined results: a null or blank text has size 0 and is taken 0 words; null sources are one source, which comes last; a
 source without words has target 0; rows that are equal in id and text are separate documents of equal chances; an empty table gives no rows. Other columns are
@@ -15,82 +16,112 @@ ignored. Equal tables and seeds give equal results.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barspark.llm.shared import kept
+from barspark.llm.shared import kept, number_copies
 
 MOST_REPEATS, WEIGHTS = 3, (1, 2, 3)
-GROUP = 4096
+GROUP = 2048
+
+
+def _places(df: DataFrame, column: str) -> DataFrame:
+    """df with _place, 0, 1, 2, ... in the order of a column, nulls last. Only a count for each partition comes to the driver."""
+    order = F.col(column).asc_nulls_last()
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+
+    def number(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = pa.array(np.arange(n, n + batch.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int32()), at], names=[*batch.schema.names, "_part", "_at"])
+            n += batch.num_rows
+
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    placed = kept(ranged.mapInArrow(number, schema), "places")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, before))
+        before += sizes[part]
+    starts = df.sparkSession.createDataFrame(rows, "_part int, _before long")
+    return placed.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """source, source_size, n_docs, target of each source of sized (source, size).
 
-    Targets are least(most_repeats x size, weight x level), with the level at which they add up to all words: sources are reached by their caps in
-    order of cap / weight, so running sums give it. There is a row for each source here, no more.
+    Targets are least(most_repeats x size, weight x level), with the level at which they add up to all words. The level is raised step by step: what the sources
+    above their caps leave is shared among the others by weight, until none is above. Each step is a sum over the sources, of which there may be many.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    rows = sizes.withColumn("weight", F.get(cycle, (rank - 1) % len(weights))).withColumn("cap", F.col("source_size") * float(most_repeats))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_rows = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("level", (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(onward))
-    # The first source whose cap is not below the level has the true level; those before it are at their caps.
-    rows = rows.withColumn("level", F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(all_rows)["level"])
-    target = F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap"))
-    return rows.select("source", "source_size", "n_docs", target.alias("target"))
+    rows = _places(sizes, "source").withColumn("weight", F.get(cycle, F.col("_place") % len(weights))).withColumn("cap", F.col("source_size") * float(most_repeats))
+    rows = kept(rows.drop("_place"), "sources")
+    level = 0.0
+    while True:
+        open_ = F.col("cap") > F.col("weight") * level
+        left = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(~open_, F.col("cap"))).alias("capped"), F.sum(F.when(open_, F.col("weight"))).alias("weights")).first()
+        if not left["weights"]:
+            break
+        raised = ((left["all"] or 0) - (left["capped"] or 0.0)) / left["weights"]
+        if raised <= level:
+            break
+        level = raised
+    return rows.select("source", "source_size", "n_docs", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities along the null space of (1, size) until at most two are open, three at a time."""
+    """Move probabilities along the null space of (1, size) until at most two are open. Each move is led by the largest document that can move; the others make up for it in proportion to p (1 - p)."""
     chance = chance.astype(float).copy()
-    draws = iter(rng.random(len(chance) + 8))
-    queue = [int(i) for i in np.flatnonzero((chance > 0) & (chance < 1))][::-1]
-    hand: list[int] = []
-    while True:
-        while len(hand) < 3 and queue:
-            hand.append(queue.pop())
-        if len(hand) == 2 and size[hand[0]] == size[hand[1]]:
-            move = (1.0, -1.0)
-        elif len(hand) < 3:
-            return chance
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    scaled = size / max(1.0, float(size.max(initial=0)))
+    while len(open_) > 1:
+        p, x = chance[open_], scaled[open_]
+        w = p * (1 - p)
+        s0, s1, s2 = w.sum(), (w * x).sum(), (w * x * x).sum()
+        det = s0 * s2 - s1 * s1
+        alike = det <= 1e-10 * s0 * s2 or x[0] - x[-1] < 1e-12  # all of one size: one constraint
+        for lead in range(min(len(open_), 3)):
+            if alike:
+                move = -w / s0
+            else:
+                move = -w * ((s2 - s1 * x[lead]) + (s0 * x[lead] - s1) * x) / det
+            move[lead] += 1
+            if move[lead] > 1e-9:
+                break
         else:
-            a, b, c = (float(size[i]) for i in hand)
-            move = (c - b, a - c, b - a) if not a == b == c else (1.0, -1.0, 0.0)
-        up = down = float("inf")
-        for i, m in zip(hand, move):
-            if m > 0:
-                up, down = min(up, (1 - chance[i]) / m), min(down, chance[i] / m)
-            elif m < 0:
-                up, down = min(up, chance[i] / -m), min(down, (1 - chance[i]) / -m)
-        step = up if next(draws) * (up + down) < down else -down
-        left = []
-        for i, m in zip(hand, move):
-            p = chance[i] + step * m
-            chance[i] = p = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
-            if 0 < p < 1:
-                left.append(i)
-        if len(left) == len(hand):  # rounding kept the end away: take the nearest one there
-            i = min(left, key=lambda j: min(chance[j], 1 - chance[j]))
-            chance[i] = float(round(chance[i]))
-            left.remove(i)
-        hand = left
-
-
-def land(chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Draw what is still open, one by one, carrying the rest on so that the number of documents stays within one."""
-    chance, carry = chance.copy(), 0.0
-    for i in np.flatnonzero((chance > 0) & (chance < 1)):
-        p = min(1.0, max(0.0, chance[i] + carry))
-        took = float(rng.random() < p)
-        carry += chance[i] - took
-        chance[i] = took
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(move > 0, (1 - p) / move, np.where(move < 0, p / -move, np.inf)).min()
+            down = np.where(move > 0, p / move, np.where(move < 0, (1 - p) / -move, np.inf)).min()
+        p = p + (up if rng.random() * (up + down) < down else -down) * move
+        p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
+        chance[open_] = p
+        still = (p > 0) & (p < 1)
+        if still.all():  # rounding kept the end away: take the nearest one there
+            i = int(np.minimum(p, 1 - p).argmin())
+            chance[open_[i]] = float(round(p[i]))
+            still[i] = False
+        open_ = open_[still]
+    return chance
+
+
+def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of all ways to decide what is still open, the one that is nearest in words, then in documents."""
+    chance = chance.copy()
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    p, x = chance[open_], size[open_].astype(float)
+    ways = itertools.product((0.0, 1.0), repeat=len(open_))
+    chance[open_] = min(ways, key=lambda way: (abs(((way - p) * x).sum()), abs((way - p).sum())))
     return chance
 
 
@@ -98,28 +129,28 @@ def _fly(seed: int, last: bool):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc", "size"], kind="stable")
         rng = np.random.default_rng([seed + 1_000_000 * last, int(pdf["source_hash"].iloc[0]) & 0xFFFFFFFF, int(pdf["grp"].iloc[0]), len(pdf)])
-        chance = flight(pdf["chance"].to_numpy(), pdf["size"].to_numpy(), rng)
-        return pdf.assign(chance=land(chance, rng) if last else chance)[["row", "source_hash", "size", "order", "doc", "chance"]]
+        size = pdf["size"].to_numpy()
+        chance = flight(pdf["chance"].to_numpy(), size, rng)
+        return pdf.assign(chance=land(chance, size) if last else chance)[["row", "source_hash", "n", "size", "order", "doc", "chance"]]
 
     return fly
 
 
-_FLOWN = "row long, source_hash long, size long, order long, doc long, chance double"
+_FLOWN = "row long, source_hash long, n long, size long, order long, doc long, chance double"
 
 
 def choose(rows: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
-    """row, order and chance (0 or 1) of rows (row, source_hash, size, order, doc, chance), balanced within each source_hash."""
-    spark = rows.sparkSession
+    """row, order and chance (0 or 1) of rows (row, source_hash, n, size, order, doc, chance), balanced within each source_hash, which has n rows at most."""
     done, level = [], 0
-    most = rows.groupBy("source_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = rows.agg(F.max("n")).first()[0] or 0
     while most > group:
-        groups = int(-(-most // group))
-        rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + level), "order", "doc"), F.lit(groups)).cast("int"))
+        groups = F.ceil(F.col("n") / group)
+        rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + level), "order", "doc"), groups).cast("int"))
         flown = kept(rows.groupBy("source_hash", "grp").applyInPandas(_fly(seed + level, False), _FLOWN), "flight")
         open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
         done.append(flown.filter(~open_).select("row", "order", "chance"))
-        rows, level = flown.filter(open_), level + 1
-        most = rows.groupBy("source_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        rows, level = flown.filter(open_).withColumn("n", 2 * groups), level + 1  # each group leaves two at most
+        most = 2 * -(-most // group)
     last = rows.withColumn("grp", F.lit(0)).groupBy("source_hash").applyInPandas(_fly(seed + level, True), _FLOWN).select("row", "order", "chance")
     for part in done:
         last = last.unionByName(part)
@@ -128,8 +159,7 @@ def choose(rows: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
 
 def _numbered(df: DataFrame) -> DataFrame:
     """df (order, doc_id, source, ...) with a key of its own for each row; rows that are equal in the three are told apart by a count."""
-    same = Window.partitionBy("order", "doc_id", "source").orderBy(F.lit(1))
-    return df.withColumn("row", F.xxhash64("order", "doc_id", "source", F.row_number().over(same)))
+    return number_copies(df, ["order", "doc_id", "source"], "_nth").withColumn("row", F.xxhash64("order", "doc_id", "source", "_nth")).drop("_nth")
 
 
 def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
@@ -142,7 +172,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", F.least(rate, F.lit(float(most_repeats)))).withColumn("sure", F.floor(F.col("rate") + 1e-12))
     rows = kept(rows, "rated")
-    open_ = rows.select("row", F.xxhash64("source", F.lit(1)).alias("source_hash"), "size", "order", F.coalesce("doc_id", F.lit(-1)).alias("doc"), (F.col("rate") - F.col("sure")).alias("chance"))
+    open_ = rows.select("row", F.xxhash64("source", F.lit(1)).alias("source_hash"), F.col("n_docs").alias("n"), "size", "order", F.coalesce("doc_id", F.lit(-1)).alias("doc"), (F.col("rate") - F.col("sure")).alias("chance"))
     picked = choose(open_.filter("chance > 1e-9 and size > 0"), seed)
     # Two hashes name a row, so that no two rows are taken for one.
     out = rows.join(picked, ["row", "order"], "left").withColumn("repeats", (F.col("sure") + F.coalesce("chance", F.lit(0.0))).cast("int"))

@@ -5,12 +5,13 @@ context that has seen it; each context that has not costs an escape (escape prob
 and after the shortest every byte is equally likely. The statistics are frozen before scoring, so the code length of a text
 is exact and does not depend on other texts. The language of least code length wins; the score compares it with the others.
 
-Texts are lower-cased, and each run of other than letters is one space, with one space before and behind.
+Texts are lower-cased, and each run of other than letters (Unicode category L) is one space, with one space before and behind. ``ORDER`` zero bytes
+stand before each text as the contexts of its first bytes, so that every byte is charged, the first ones too.
 
 The trees are learned from at most ``TRAIN_DOCS`` labelled documents of each language, chosen by a hash of id and text (whole texts), so the model is
 of bounded size for a fixed set of languages; every document is scored. Documents whose crc32(doc_id as text) mod 5 is 0, that have no label, or no id, are never learned from.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; a null id counts as held out; rows are scored one by one, so ids
+Defined results: null texts and texts without a letter (½, Ⅷ and ² are none) are ``und`` with score 0; a null id counts as held out; rows are scored one by one, so ids
 may repeat; without any labelled document every prediction is ``und``; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -29,17 +30,20 @@ TRAIN_DOCS = 1500
 HELD_OUT = 5
 CHUNK = 1 << 20
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numbers such as ½, ² and Ⅷ, which \w holds though they are neither letters nor digits.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_START = "\0" * ORDER
 
 
 def normal(text: str) -> bytes:
-    """Lower-cased letters, single spaces around each run; b"" if there is no letter."""
+    """Lower-cased letters, single spaces around each run, behind the start mark; b"" if there is no letter."""
     words = _OTHER.sub(" ", text.lower()).strip()
-    return f" {words} ".encode() if words else b""
+    return f"{_START} {words} ".encode() if words else b""
 
 
 def grams(raw: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """For each byte behind the first ``order`` of its text, the codes of the order + 1 bytes that end in it."""
+    """For each byte behind the first ``order`` of its text (the start mark), the codes of the order + 1 bytes that end in it."""
     code = np.zeros(len(raw) - order, dtype=np.uint32)
     for i in range(order + 1):
         code = code << np.uint32(8) | raw[i : len(raw) - order + i]
@@ -107,7 +111,7 @@ class Model:
         return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text, from its ORDER + 1st byte on, for each language; texts without such a byte have 0."""
+        """Bits of each text (all its bytes behind the start mark) for each language; empty texts have 0."""
         raw, at = _join(texts)
         if len(raw) <= ORDER:
             return np.zeros((len(texts), len(self.langs)))

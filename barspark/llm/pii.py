@@ -3,6 +3,7 @@
 The base kinds email, ip, card and phone are always reported where their pattern and check hold. The method adds spans of
 further kinds: ``iban`` (mod-97), ``card_short`` (13 to 15 digits that pass Luhn) and ``phone_local`` (no plus sign); these start at
 a score for their evidence, and words around the span raise it; those that reach ``LEAST_SCORE`` and do not overlap a base span stay.
+Base spans stay whatever is around them, so their score is 1 and context does not change it. IBANs may be in small letters.
 
 Offsets are code points, ends are exclusive. Defined results: a null text is empty and has no spans; rows are read one by one, so ids
 may repeat or be null; an empty table gives no rows. Other columns are ignored. All scans take time in proportion to the text.
@@ -26,7 +27,16 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})[0-9]{2}(?=\x20?[A-Za-z0-9])")
+#: The length of an IBAN in each country of the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN_BODY = {n: re.compile(rf"(?:\x20?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")
 _TO_DIGITS = str.maketrans("", "", " ().-+")
 
@@ -52,7 +62,17 @@ def luhn(digits: str) -> bool:
 
 def mod97(iban: str) -> bool:
     iban = iban.replace(" ", "")
-    return 15 <= len(iban) <= 34 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans of as many letters and digits as the country has, single spaces between them, that pass mod-97. What follows, a word in capitals for instance, is not read."""
+    out = []
+    for head in _IBAN_HEAD.finditer(text):
+        if n := IBAN_LENGTHS.get(head[1].upper()):
+            if (body := _IBAN_BODY[n].match(text, head.end())) and mod97(text[head.start() : body.end()]):
+                out.append((head.start(), body.end()))
+    return out
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -82,7 +102,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def more_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of the method's own spans."""
-    proposed = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    proposed = [("iban", *span) for span in ibans(text)]
     proposed += [("card_short", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 15 and luhn(d)]
     proposed += [("phone_local", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     covered = bytearray(len(text)) if proposed else bytearray()

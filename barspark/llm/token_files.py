@@ -66,15 +66,14 @@ _RUN = re.compile("[\\s᠎﻿][ \n]")
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, literal: bool):
+def _encoder(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = literal
-    added = [] if literal else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     width = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     pieces = PieceIds(tokenizer, width)
 
@@ -90,9 +89,9 @@ def _encoder(path: str, literal: bool):
     return encode, width
 
 
-def encoded(tokenizer_path: str, literal: bool = True):
-    """(text -> bytes of ids, dtype of an id) for a byte-level BPE file that cuts words at spaces. Names of added tokens are ordinary text if literal, else one id each, as in the library's plain call."""
-    return _encoder(tokenizer_path, literal)
+def encoded(tokenizer_path: str):
+    """(text -> bytes of ids, dtype of an id) for a byte-level BPE file that cuts words at spaces. Names of added tokens are one id each, as in the library's plain call."""
+    return _encoder(tokenizer_path)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", frame_bytes: int = FRAME_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -101,7 +100,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoded(tokenizer_path, literal=False)
+        encode, width = encoded(tokenizer_path)
         end = np.array([end_id], dtype=width).tobytes()
         part, file, out = TaskContext.get().partitionId(), 0, None
         index, frame, filled, total = [], [], 0, 0

@@ -11,8 +11,7 @@ NUDGE = 1e-9
 def round_price(x: Column, digits: int = 2) -> Column:
     """Half away from zero at the given digits, with a nudge that takes binary fractions up."""
     scale = 10.0**digits
-    y = x * scale
-    return F.when(y >= 0, F.floor(y + 0.5 + NUDGE)).otherwise(F.ceil(y - 0.5 - NUDGE)).cast("double") / scale
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5 + NUDGE).cast("double") / scale + 0.0  # no minus zero
 
 
 def entry_price(bid: Column, spread: Column, direction: Column, slippage: Column, point: float = 0.01, digits: int = 2) -> Column:

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary folder."""
+    """df, written to ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary folder, but on a local master only."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

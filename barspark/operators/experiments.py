@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.store import checkpointed
+from barspark.operators.scan import running_total
+
 SAMPLER_VERSION = "v1"
 
 
@@ -48,13 +51,13 @@ def hashed_unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
-def latin_hypercube(spark: SparkSession, n: int, dims: list[str], seed: int) -> DataFrame:
-    """row (0 to n - 1), dim, unit: each dim has one value in each of n equal strata. Strata are dealt by the order of a hash."""
-    rows = spark.range(n).withColumn("dim", F.explode(F.array(*(F.lit(d) for d in dims))))
-    order = Window.partitionBy("dim").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "dim", c("id").cast("string"))), "id")
-    stratum = F.row_number().over(order) - 1
-    jitter = hashed_unit(F.lit(f"{seed}j"), c("dim"), c("id"))
-    return rows.select(c("id").alias("row"), "dim", ((stratum + jitter) / n).alias("unit"))
+def latin_hypercube(rows: DataFrame, dims: list[str], seed: int) -> DataFrame:
+    """row, dim, unit of rows (row: a key of each): each dim has one value in each of as many equal strata as there are rows. Strata are dealt by the order of a hash."""
+    each = rows.select("row", F.explode(F.array(*(F.lit(d) for d in dims))).alias("dim"))
+    order = Window.partitionBy("dim").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "dim", c("row").cast("string"))), "row")
+    stratum, n = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy("dim"))
+    jitter = hashed_unit(F.lit(f"{seed}j"), c("dim"), c("row"))
+    return each.select("row", "dim", ((stratum + jitter) / n).alias("unit"))
 
 
 def map_to_domain(unit: Column, low: Column, high: Column, whole: Column) -> Column:
@@ -63,11 +66,11 @@ def map_to_domain(unit: Column, low: Column, high: Column, whole: Column) -> Col
     return F.when(whole, integer).otherwise(low + unit * (high - low))
 
 
-def catalog(spark: SparkSession, n: int, domains: DataFrame, seed: int) -> DataFrame:
-    """n experiments of each rule of domains (strategy, param, low, high, whole): experiment_id, strategy, row, params, params_json."""
+def catalog(rows: DataFrame, domains: DataFrame, seed: int) -> DataFrame:
+    """An experiment of each rule of domains (strategy, param, low, high, whole) for each of rows (row): experiment_id, strategy, row, params, params_json."""
     keys = domains.select(F.concat_ws(".", "strategy", "param").alias("dim"), "*")
     dims = [r["dim"] for r in keys.select("dim").orderBy("dim").collect()]  # the domains table is small
-    cube = latin_hypercube(spark, n, dims, seed).join(F.broadcast(keys), "dim")
+    cube = latin_hypercube(rows, dims, seed).join(F.broadcast(keys), "dim")
     value = map_to_domain(c("unit"), c("low"), c("high"), c("whole"))
     rows = cube.groupBy("strategy", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", value.alias("value"))))).alias("params"))
     rows = rows.withColumn("params_json", canonical_json(c("params"), F.lit(None).cast("map<string,string>")))
@@ -80,27 +83,39 @@ def domains_table(spark: SparkSession, rules: dict) -> DataFrame:
     return spark.createDataFrame(rows, "strategy string, param string, low double, high double, whole boolean")
 
 
-def family_catalog(spark: SparkSession, rules: dict, family: str, n: int, seed: int, exits: DataFrame) -> DataFrame:
-    """A catalog of the rules of one family, dealt over the rows of exits (exit_id, ...)."""
+def family_catalog(rows: DataFrame, rules: dict, family: str, seed: int, exits: DataFrame) -> DataFrame:
+    """A catalog of the rules of one family for rows (row), dealt over the rows of exits (exit_id, ...)."""
     own = {k: r for k, r in rules.items() if r.family == family}
-    rows = catalog(spark, n, domains_table(spark, own), seed)
+    rows = catalog(rows, domains_table(rows.sparkSession, own), seed)
     kinds = exits.count()
     return rows.withColumn("exit_id", (c("row") % kinds).cast("int")).join(F.broadcast(exits), "exit_id")
 
 
 def allocate_quota(buckets: DataFrame, total: int, least_one: bool = False) -> DataFrame:
-    """bucket, quota of buckets (bucket, size, place): floors of the shares, the rest by largest remainder, then by place. least_one moves one from the bucket that is most above its share to each empty one."""
+    """bucket, quota of buckets (bucket, size, place), a small table: floors of the shares, the rest by largest remainder, then by place. A total of less than 1 or more than all sizes raises an error.
+
+    least_one gives one to each empty bucket, where the total is enough for all: one by one, each from the bucket that is then most above its share (then the larger, then the first)
+    and has more than one.
+    """
+    if total < 1:
+        raise ValueError("the total must be positive")
     all_ = Window.partitionBy(F.lit(1))
-    raw = c("size") * total / F.sum("size").over(all_)
+    size = F.sum("size").over(all_)
+    size = F.when(size >= total, size).otherwise(F.raise_error(F.lit("the total is larger than all buckets")).cast("long"))
+    raw = c("size") * total / size
     df = buckets.withColumn("raw", raw).withColumn("base", F.floor("raw"))
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c("raw") - c("base")), "place"))
     df = df.withColumn("quota", c("base") + (rank <= total - F.sum("base").over(all_)).cast("int"))
     if not least_one:
         return df.select("bucket", "quota")
-    empty = F.count_if(c("quota") == 0).over(all_)
-    donors = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.when(c("quota") > 1, c("quota") - c("raw"))), F.desc("quota"), "place")
-    df = df.withColumn("gives", F.when((c("quota") > 1) & (F.row_number().over(donors) <= empty), 1).otherwise(0))
-    return df.select("bucket", F.when(c("quota") == 0, 1).otherwise(c("quota") - c("gives")).alias("quota"))
+    wanted = F.when(F.count("*").over(all_) <= total, F.count_if(c("quota") == 0).over(all_)).otherwise(0)
+    df = checkpointed(df.withColumn("wanted", wanted))
+    # What a bucket gives away leaves it nearer to its share, so its next gift ranks lower: the gifts are the first ones of all that could be given.
+    gifts = df.filter("quota > 1 and wanted > 0").withColumn("before", F.explode(F.sequence(F.lit(2), c("quota"))))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(c("before") - c("raw")), F.desc("before"), "place")
+    given = gifts.withColumn("nth", F.row_number().over(order)).filter("nth <= wanted").groupBy(c("bucket").alias("donor")).agg(F.count("*").alias("gives"))
+    out = df.join(given, c("bucket").eqNullSafe(c("donor")), "left")
+    return out.select("bucket", (F.when((c("quota") == 0) & (c("wanted") > 0), 1).otherwise(c("quota")) - F.coalesce("gives", F.lit(0))).alias("quota"))
 
 
 def stratified_sample(rows: DataFrame, quotas: DataFrame, order: str) -> DataFrame:
@@ -109,12 +124,15 @@ def stratified_sample(rows: DataFrame, quotas: DataFrame, order: str) -> DataFra
     return rows.withColumn("_place", place).join(F.broadcast(quotas), "bucket").filter(c("_place") <= c("quota")).drop("_place", "quota")
 
 
-def spread_sample(spark: SparkSession, budget: int, k: int) -> DataFrame:
-    """k indexes spread evenly over 0 to budget - 1, halves rounded to even."""
+def spread_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
+    """k of rows, with their place idx (0, 1, ... in the order), spread evenly over all places, halves rounded to even."""
+    placed = running_total(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one", "idx", "_all").drop("_one")
+    budget = rows.count()
     if not 0 < k <= budget:
         raise ValueError("the sample must be positive and within the budget")
     step = (budget - 1) / (k - 1) if k > 1 else 0.0
-    return spark.range(k).select(F.rint(c("id") * step).cast("long").alias("idx"))
+    wanted = rows.sparkSession.range(k).select(F.rint(c("id") * step).cast("long").alias("idx")).distinct()
+    return placed.join(F.broadcast(wanted), "idx").select(*rows.columns, "idx")  # k rows
 
 
 def catalog_violations(rows: DataFrame, expected: dict[str, str]) -> DataFrame:
@@ -134,7 +152,20 @@ def historical_matches(experiments: DataFrame, history: DataFrame) -> DataFrame:
     left = experiments.select("experiment_id", normal_name(c("strategy")).alias("name"), "params")
     right = history.filter("historical_id is not null").select("historical_id", normal_name(c("strategy_name")).alias("name"), c("params").alias("past"))
     close = lambda k: F.coalesce(F.abs(c("past")[k] - c("params")[k]) <= F.greatest(F.lit(1e-12), 1e-10 * F.greatest(F.abs(c("past")[k]), F.abs(c("params")[k]))), F.lit(True))
-    found = left.join(right, "name").filter(F.forall(F.map_keys("params"), close))
+    # Pairs that share a parameter meet on one of equal value, in narrow steps of its logarithm; what is small is one step.
+    step = lambda x: F.when(F.abs(x) < 1e-3, F.lit(0)).otherwise(F.signum(x) * F.floor(F.log(F.abs(x)) * 1e8)).cast("long")
+    key = F.map_filter("params", lambda k, v: v.isNotNull())
+    own = left.select("*", F.explode(key).alias("param", "value"))
+    steps = F.when(F.abs("value") < 1e-3, F.array(F.lit(0).cast("long"))).otherwise(F.array(*(step(c("value")) + d for d in (-1, 0, 1)), *([F.when(F.abs("value") < 1.1e-3, F.lit(0).cast("long"))])))
+    own = own.withColumn("step", F.explode(F.array_distinct(F.array_compact(steps)))).drop("value")
+    shown = right.select("*", F.explode(F.map_filter("past", lambda k, v: v.isNotNull())).alias("param", "value")).withColumn("step", step(c("value"))).drop("value")
+    shared = own.join(shown, ["name", "param", "step"]).filter(F.forall(F.map_keys("params"), close)).select("experiment_id", "historical_id")
+    # Pairs that share none match by name alone: all of two sets of parameter names that do not meet.
+    names = lambda m: F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull())))
+    left, right = left.withColumn("has", names("params")), right.withColumn("had", names("past"))
+    kinds = left.select("name", "has").distinct().join(right.select("name", "had").distinct(), "name").filter(~F.arrays_overlap("has", "had"))
+    apart = left.join(kinds, ["name", "has"]).join(right, ["name", "had"]).select("experiment_id", "historical_id")
+    found = shared.unionByName(apart)
     return found.groupBy("experiment_id").agg(F.array_sort(F.collect_set("historical_id")).alias("matches"))
 
 

@@ -71,13 +71,26 @@ def concentration(trades: DataFrame, keys: list[str], top: int = 5) -> DataFrame
     return wins.groupBy(*keys).agg((F.sum(F.when(c("_place") <= top, c("net_pnl"))) / F.sum("net_pnl")).alias(f"top_{top}_trade_profit_fraction"))
 
 
-def summarize(trades: DataFrame, keys: list[str], equity: float = EQUITY) -> DataFrame:
-    """All metrics. Every part is a row for each key, so the joins are small."""
+def summarize(trades: DataFrame, keys: list[str], equity: float = EQUITY, everyone: DataFrame | None = None) -> DataFrame:
+    """All metrics, of keys with trades or of all keys of everyone. Every part is a row for each key, so the joins are small."""
     out = totals(trades, keys)
     for part in (loss_streaks(trades, keys), drawdowns(trades, keys, equity), calendar_rollup(trades, keys), concentration(trades, keys)):
         out = out.join(part, keys, "left")
     best = F.when(c("gross_profit") > 0, F.greatest(F.lit(0.0), c("best_month")) / c("gross_profit"))
-    return out.withColumn("best_month_profit_fraction", best).drop("best_month")
+    out = out.withColumn("best_month_profit_fraction", best).drop("best_month")
+    return out if everyone is None else with_idle(out, everyone, keys)
+
+
+#: What a key without trades has: no trades, no money moved, no fall. What has no meaning without trades stays null.
+ZERO_COUNTS = ("completed_trades", "wins", "losses", "long_trades", "short_trades", "max_loss_streak", "active_days", "active_months")
+ZERO_SUMS = ("gross_profit", "gross_loss", "net_profit", "commission_cost", "spread_cost", "slippage_cost", "max_drawdown_usd", "max_drawdown_pct")
+
+
+def with_idle(found: DataFrame, everyone: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics found, with a row for each key of everyone, of whom some had no trades."""
+    out = everyone.select(*keys).distinct().join(found, keys, "left")
+    zeros = {n: F.lit(0).cast(found.schema[n].dataType) for n in (*ZERO_COUNTS, *ZERO_SUMS) if n in found.columns}
+    return out.withColumns({n: F.coalesce(c(n), zero) for n, zero in zeros.items()})
 
 
 def positive_day_fraction(trades: DataFrame, keys: list[str]) -> DataFrame:

@@ -99,12 +99,12 @@ def research_window(bars: DataFrame, start: str = RESEARCH_START) -> DataFrame:
 
 
 def research_prefix(bars: DataFrame, n: int, start: str = RESEARCH_START) -> DataFrame:
-    """The first n bars of each symbol in the research window; raises an error where there are fewer."""
-    w = Frames("symbol", order="bar_ts")
-    rows = research_window(bars, start).withColumn("_place", F.row_number().over(w.base)).filter(F.col("_place") <= n)
-    counted = rows.withColumn("_n", F.max("_place").over(Window.partitionBy("symbol")))
-    short = F.assert_true(F.col("_n") == n, F.lit("fewer bars than asked for"))
-    return counted.filter(short.isNull()).drop("_place", "_n")
+    """The first n bars of each symbol in the research window; raises an error where there are fewer, also where a symbol has bars before the window only."""
+    inside = F.col("bar_ts") >= F.lit(start).cast("timestamp_ntz")
+    counted = bars.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(Window.partitionBy("symbol")))
+    short = F.assert_true(F.col("_n") >= n, F.lit("fewer bars than asked for"))
+    w = Window.partitionBy("symbol").orderBy(F.desc("_in"), "bar_ts")
+    return counted.filter(short.isNull()).withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_in", "_n", "_place")
 
 
 def gap_columns(bars: DataFrame, bar_seconds: int = 60, irregular_over: int = 300, cooldown: int = 200) -> DataFrame:

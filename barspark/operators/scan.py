@@ -38,6 +38,15 @@ def affine_scans(df: DataFrame, keys: list[str], order: str, scans: dict[str, tu
     return out.drop(block, place, *(f"_{k}_{n}" for n in scans for k in ("own", "carry")))
 
 
+def running_total(df: DataFrame, order: str, amount: str, before: str, total: str) -> DataFrame:
+    """df with the sum of the amounts before a row in an order (nulls first), and of all. Rows are sorted in ranges; only a sum for each range is added up in one place."""
+    ranged = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+    starts = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(1))).alias(total))
+    inside = F.sum(amount).over(Window.partitionBy("_range").orderBy(order)) - F.col(amount)
+    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(before, F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
+
+
 def seeded_input(x: str, place: Column, n: int, share: float, frame_keys: list[str], order: str, skip: int = 0) -> Column:
     """Input of an average that starts at place skip + n - 1 with the mean of n values and takes share of each later value."""
     seed = F.avg(x).over(Window.partitionBy(*frame_keys).orderBy(order).rowsBetween(-(n - 1), 0))

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.operators.frames import Frames, full, highest, known, lowest, mean, quantile, side, slope, std
+from barspark.functions.store import checkpointed
+from barspark.operators.frames import Frames, full, highest, known, lowest, mean, side, sliding, slope, std, with_quantile
 from barspark.operators.scan import asof, non_overlapping, with_runs
 
 Domain = tuple
@@ -76,9 +78,14 @@ def ema_slope(df, p, w):
     """The average starts anew at the first close of each window."""
     n = p["lookback"]
     alpha = 2.0 / (n + 1)
-    closes = F.collect_list("close").over(w.own(n))
-    folded = F.aggregate(F.slice("_closes", 2, n), F.get("_closes", F.lit(0)), lambda a, x: alpha * x + (1 - alpha) * a)
-    df = df.withColumn("_closes", full(closes, "close", n, w.own(n))).withColumn("_m", folded)
+
+    def folded(windows: np.ndarray) -> np.ndarray:
+        out = windows[:, 0]
+        for k in range(1, n):
+            out = alpha * windows[:, k] + (1 - alpha) * out
+        return out
+
+    df = sliding(df, "close", n, w, "_m", folded, own=True)
     rise = c("_m") - w.lag("_m", p["slope_horizon"])
     least = p.get("threshold_atr", 0.0) * c("atr")
     return _signal(df, rise > least, rise < -least, _atr_known())
@@ -140,7 +147,7 @@ def true_range(w: Frames) -> Column:
 @rule("range_expansion", "breakout", median_lookback=(5, 100), range_multiple=(1.1, 3.0))
 def range_expansion(df, p, w):
     n = p["median_lookback"]
-    df = df.withColumn("_tr", true_range(w)).withColumn("_mid", quantile("_tr", 0.5, n, w.prior(n)))
+    df = with_quantile(df.withColumn("_tr", true_range(w)), "_tr", 0.5, n, w, "_mid")
     wide = (c("_mid") > 0) & (c("_tr") / c("_mid") >= p["range_multiple"])
     return _signal(df, wide & (_body() > 0), wide & (_body() < 0))
 
@@ -149,7 +156,8 @@ def range_expansion(df, p, w):
 def bollinger_expansion(df, p, w):
     n, k = p["lookback"], p["std_multiplier"]
     df = df.withColumns({"_m": mean("close", n, w.own(n)), "_s": std("close", n, w.own(n))})
-    df = df.withColumn("_width", F.when(c("_m") != 0, 2 * k * c("_s") / F.abs("_m"))).withColumn("_q", quantile("_width", p["bandwidth_percentile"], n, w.prior(n)))
+    df = df.withColumn("_width", F.when(c("_m") != 0, 2 * k * c("_s") / F.abs("_m")))
+    df = with_quantile(df, "_width", p["bandwidth_percentile"], n, w, "_q")
     wide = c("_width") >= c("_q")
     return _signal(df, wide & (c("close") > c("_m") + k * c("_s")), wide & (c("close") < c("_m") - k * c("_s")))
 
@@ -250,8 +258,15 @@ def stochastic_extreme(df, p, w):
 def cci_extreme(df, p, w):
     n, k = p["lookback"], p["threshold"]
     df = df.withColumn("_t", (c("high") + c("low") + c("close")) / 3)
-    df = df.withColumns({"_m": mean("_t", n, w.own(n)), "_all": F.collect_list("_t").over(w.own(n))})
-    df = df.withColumn("_dev", F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.abs(x - c("_m"))) / n)
+    df = df.withColumn("_m", mean("_t", n, w.own(n)))
+
+    def deviation(windows: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(windows))
+        for k in range(n):
+            out = out + np.abs(windows[:, k] - middle)
+        return out / n
+
+    df = sliding(df, "_t", n, w, "_dev", deviation, own=True, beside=("_m",))
     cci = F.when(c("_dev") > 0, (c("_t") - c("_m")) / (0.015 * c("_dev")))
     return _signal(df, cci <= -k, cci >= k)
 
@@ -356,7 +371,7 @@ def opening_range_breakout(df, p, w):
 
 @rule("atr_percentile_regime", "volatility", lookback=(10, 200), percentile=(0.5, 0.95))
 def atr_percentile_regime(df, p, w):
-    df = df.withColumn("_q", quantile("atr", p["percentile"], p["lookback"], w.prior(p["lookback"])))
+    df = with_quantile(df, "atr", p["percentile"], p["lookback"], w, "_q")
     high = c("atr") >= c("_q")
     return _signal(df, high & (_body() > 0), high & (_body() < 0))
 
@@ -364,7 +379,7 @@ def atr_percentile_regime(df, p, w):
 @rule("volatility_expansion_direction", "volatility", lookback=(5, 100), range_multiple=(1.1, 3.0))
 def volatility_expansion_direction(df, p, w):
     n = p["lookback"]
-    df = df.withColumn("_range", c("high") - c("low")).withColumn("_q", quantile("_range", 0.5, n, w.prior(n)))
+    df = with_quantile(df.withColumn("_range", c("high") - c("low")), "_range", 0.5, n, w, "_q")
     wide = (c("_q") > 0) & (c("_range") >= p["range_multiple"] * c("_q"))
     return _signal(df, wide & (_body() > 0), wide & (_body() < 0))
 
@@ -372,7 +387,7 @@ def volatility_expansion_direction(df, p, w):
 @rule("volatility_contraction_reversion", "volatility", lookback=(10, 200), percentile=(0.05, 0.4))
 def volatility_contraction_reversion(df, p, w):
     n = p["lookback"]
-    df = df.withColumn("_range", c("high") - c("low")).withColumn("_q", quantile("_range", p["percentile"], n, w.prior(n)))
+    df = with_quantile(df.withColumn("_range", c("high") - c("low")), "_range", p["percentile"], n, w, "_q")
     quiet = c("_range") <= c("_q")
     return _signal(df, quiet & (_body() < 0), quiet & (_body() > 0))
 
@@ -591,6 +606,57 @@ def evaluate_many(bars: DataFrame, experiments: list[tuple[str, str, dict]], key
     return out
 
 
+#: Shares of sliding quantiles; Spark takes them as constants only.
+_SHARES = ("percentile", "bandwidth_percentile", "compression_percentile")
+
+
+def _frame_params(name: str) -> list[str]:
+    """The parameters of a rule that say how far its frames reach, which session it reads, or which quantile it takes."""
+    return [k for k, d in RULES[name].domain.items() if not isinstance(d[0], float) or k in _SHARES]
+
+
+def evaluate_table(bars: DataFrame, experiments: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """experiment_id, keys, bar_idx, signal of the non-zero signals of a table of experiments (experiment_id, strategy, params map, and perhaps cat_params map).
+
+    Thresholds are columns: experiments that differ in them only share one plan, in which each experiment and series is a partition of its own. A plan is made for each set of
+    frame lengths, of which the domains hold a bounded number; those are all that the driver sees. A value outside of its domain raises an error.
+    """
+    texts = c("cat_params") if "cat_params" in experiments.columns else F.lit(None).cast("map<string,string>")
+    rows = experiments.select("experiment_id", "strategy", c("params").alias("_params"), texts.alias("_texts"))
+    named = F.array_sort(F.concat(F.map_keys("_params"), F.coalesce(F.map_keys("_texts"), F.array().cast("array<string>"))))
+    rows = checkpointed(rows.withColumn("_names", named))
+    out = None
+    for name in sorted(r["strategy"] for r in rows.select("strategy").distinct().collect()):
+        if name not in RULES:
+            raise ValueError(f"there is no rule {name!r}")
+        own, domain = rows.filter(c("strategy") == name), RULES[name].domain
+        value = {k: c("_texts")[k] if isinstance(d[0], str) else c("_params")[k] for k, d in domain.items()}
+        frames = _frame_params(name)
+        for group in own.select("_names", *(value[k].alias(k) for k in frames)).distinct().collect():
+            params: dict = {}
+            members = own.filter(c("_names") == F.array(*map(F.lit, group["_names"])) if group["_names"] else F.size("_names") == 0)
+            taken = ["experiment_id"]
+            for k in group["_names"]:
+                if k not in domain:
+                    raise ValueError(f"{name} has no parameter {k!r}")
+                if k in frames:
+                    members = members.filter(value[k] == F.lit(group[k]))
+                    params[k] = int(group[k]) if isinstance(domain[k][0], int) else group[k]
+                else:
+                    inside = F.when(value[k].between(*domain[k]), value[k]).otherwise(F.raise_error(F.lit(f"{k} is outside of its domain in {name}")).cast("double"))
+                    taken.append(inside.alias(f"_{k}"))
+                    params[k] = c(f"_{k}")
+            check_params(name, {k: v for k, v in params.items() if k in frames})
+            each = bars.crossJoin(members.select(*taken))
+            found = evaluate(each, name, params, ("experiment_id", *keys)).filter("signal != 0").select("experiment_id", *keys, "bar_idx", "signal")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        kinds = dict(bars.dtypes)
+        none = [F.lit(None).cast(experiments.schema["experiment_id"].dataType).alias("experiment_id"), *(F.lit(None).cast(kinds[k]).alias(k) for k in keys)]
+        out = bars.limit(0).select(*none, "bar_idx", F.lit(0).alias("signal"))
+    return out
+
+
 def direction_filter(signals: DataFrame, mode: Column | str) -> DataFrame:
     """Keep long, short or both (combined) signals; mode may be a column."""
     mode = F.lit(mode) if isinstance(mode, str) else mode

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.store import checkpointed
 from barspark.operators import metrics
-from barspark.operators.experiments import hashed_unit
+from barspark.operators.scan import running_total
 
 
 def c(name: str) -> Column:
@@ -53,16 +58,23 @@ def expanding_folds(rows: DataFrame, validation: int = 3, least: int = 12) -> Da
     return _fold_rows("expanding", spans, found).unionByName(_short(found, "expanding", least + validation))
 
 
-def fold_metrics(trades: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics of the trades of each fold and segment. folds is small: one row for each fold and month."""
+def _each_segment(everyone: DataFrame, folds: DataFrame) -> DataFrame:
+    """Each row of everyone in each fold and segment, of which there are few."""
+    return everyone.distinct().crossJoin(F.broadcast(folds.select("fold_id", "segment").distinct()))
+
+
+def fold_metrics(trades: DataFrame, folds: DataFrame, keys: list[str], everyone: DataFrame | None = None) -> DataFrame:
+    """Metrics of the trades of each fold and segment, for each key of everyone (or of the trades), also where it had no trades. folds is small: one row for each fold and month."""
+    everyone = trades if everyone is None else everyone
     rows = trades.withColumn("month", F.substring("broker_date", 1, 7)).join(F.broadcast(folds), "month")
     own = [*keys, "fold_id", "segment"]
     out = metrics.totals(rows, own).join(metrics.drawdowns(rows, own), own).join(metrics.positive_day_fraction(rows, own), own)
+    out = metrics.with_idle(out, _each_segment(everyone.select(*keys), folds), own)
     return out.select(*own, "completed_trades", "profit_factor", "expectancy_usd", "net_profit", "max_drawdown_pct", "positive_day_fraction")
 
 
 def walk_forward(signals: DataFrame, bars: DataFrame, settings: DataFrame, folds: DataFrame, period: str = "yyyy-MM") -> DataFrame:
-    """Trades of each fold and segment on its bars alone, so that none runs over the end of its slice, and their metrics. signals: experiment_id, symbol, bar_idx, signal."""
+    """Trades of each fold and segment on its bars alone, so that none runs over the end of its slice, and their metrics: a row for each experiment of settings, fold and segment. signals: experiment_id, symbol, bar_idx, signal."""
     from barspark.operators.trades import signals_to_trades
 
     dated = bars.withColumn("month", F.date_format("bar_ts", period)).join(F.broadcast(folds), "month")
@@ -75,7 +87,7 @@ def walk_forward(signals: DataFrame, bars: DataFrame, settings: DataFrame, folds
     t = t.withColumn("fold_id", F.split_part("symbol", F.lit("|"), F.lit(2))).withColumn("segment", F.split_part("symbol", F.lit("|"), F.lit(3)))
     keys = ["experiment_id", "fold_id", "segment"]
     seq = F.row_number().over(Window.partitionBy(*keys).orderBy("entry_ts", "symbol"))
-    return metrics.summarize(t.withColumn("trade_seq", seq), keys)
+    return metrics.summarize(t.withColumn("trade_seq", seq), keys, everyone=_each_segment(settings.select("experiment_id"), folds))
 
 
 def summarize_folds(folded: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +114,7 @@ def cost_scenarios(spark: SparkSession) -> DataFrame:
 
 
 def cost_stress(signals: DataFrame, bars: DataFrame, settings: DataFrame) -> DataFrame:
-    """Metrics of each experiment under each scenario; all scenarios run as one job. A scenario's spreads are rounded half to even."""
+    """Metrics of each experiment of settings under each scenario, also without trades; all scenarios run as one job. A scenario's spreads are rounded half to even."""
     from barspark.operators.trades import signals_to_trades
 
     scenarios = cost_scenarios(bars.sparkSession)
@@ -112,12 +124,29 @@ def cost_stress(signals: DataFrame, bars: DataFrame, settings: DataFrame) -> Dat
     for m in SPREAD:
         stressed = bars.withColumn("spread", F.rint(c("spread") * m))
         mine = own.filter(c("spread_multiplier") == m)
-        s = signals.join(F.broadcast(mine.select("experiment_id", "label")), "experiment_id")
+        s = signals.join(mine.select("experiment_id", "label"), "experiment_id")
         t = signals_to_trades(label(s), stressed, label(mine.drop("slippage_new", "commission_new", "spread_multiplier")))
         out = t if out is None else out.unionByName(t)
     out = out.withColumn("label", F.split_part("experiment_id", F.lit("|"), F.lit(2))).withColumn("experiment_id", F.split_part("experiment_id", F.lit("|"), F.lit(1)))
     keys = ["experiment_id", "label"]
-    return metrics.totals(out, keys).join(metrics.drawdowns(out, keys), keys)
+    found = metrics.totals(out, keys).join(metrics.drawdowns(out, keys), keys)
+    return metrics.with_idle(found, settings.select("experiment_id").crossJoin(F.broadcast(scenarios.select("label"))), keys)
+
+
+def parameter_stress(bars: DataFrame, experiments: DataFrame, settings: DataFrame, domains: DataFrame) -> DataFrame:
+    """experiment_id, param, value and the metrics of each experiment (experiment_id, strategy, params) with one parameter moved at a time (see parameter_neighbors), also without trades."""
+    from barspark.operators.experiments import parameter_neighbors
+    from barspark.operators.signals import evaluate_table
+    from barspark.operators.trades import signals_to_trades
+
+    near = parameter_neighbors(experiments, domains).join(experiments.select("experiment_id", "strategy"), "experiment_id")
+    near = checkpointed(near.withColumn("run", F.concat_ws("|", c("experiment_id").cast("string"), "param", c("value").cast("string"))))
+    signals = evaluate_table(bars, near.select(c("run").alias("experiment_id"), "strategy", "params"))
+    own = settings.join(near.select("experiment_id", "run"), "experiment_id").drop("experiment_id").withColumnRenamed("run", "experiment_id")
+    t = signals_to_trades(signals, bars, own)
+    found = metrics.totals(t, ["experiment_id"]).join(metrics.drawdowns(t, ["experiment_id"]), "experiment_id")
+    found = metrics.with_idle(found, near.select(c("run").alias("experiment_id")), ["experiment_id"]).withColumnRenamed("experiment_id", "run")
+    return near.select("experiment_id", "param", "value", "run").join(found, "run").drop("run")
 
 
 def stress_report(stressed: DataFrame) -> DataFrame:
@@ -140,24 +169,65 @@ def _quantiles(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataF
     return df.groupBy(*keys).agg(*(F.percentile(src, F.lit(q)).alias(f"{name}_p{round(q * 100)}") for src, name in columns.items() for q in QUANTILES))
 
 
+#: Of the samples and values of a key, about so many are in memory at once.
+_DRAWN = 2_000_000
+_PRIME = (1 << 31) - 1
+
+
+def _draws(base: np.ndarray | int, sample: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A pseudo-random integer below _PRIME for each sample and place, by integer arithmetic that SQL has too."""
+    x = (base * 1_000_003 + sample) % _PRIME
+    x = (x * 48_271 + place) % _PRIME
+    x = (x ^ (x >> 13)) * 69_621 % _PRIME
+    return (x ^ (x >> 11)) * 16_807 % _PRIME
+
+
+def _resampled(values: DataFrame, keys: list[str], n: int, seed: int, columns: list[str], one: Callable) -> DataFrame:
+    """keys, sample and columns of n samples of each key. values: keys and an array of its values in order; an array goes to a task for each block of samples, so nothing is joined and no sample is a row before it is summed up."""
+    base = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(c(k).cast("string") for k in keys))), 1, 7), 16, 10).cast("long")
+    block = F.greatest(F.lit(1), F.floor(F.lit(_DRAWN) / F.greatest(F.size("values"), F.lit(1)))).cast("int")
+    rows = values.withColumn("_base", base).withColumn("_block", F.least(block, F.lit(max(1, n // 8))))
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), c("_block"))))
+    tasks = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, *keys, "_from")
+    kinds = ", ".join(f"`{k}` {t}" for k, t in values.select(*keys).dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(len(pdf)):
+                row = pdf.iloc[at]
+                data = np.asarray(row["values"], dtype=float)
+                sample = np.arange(row["_from"], min(n, row["_from"] + row["_block"]))
+                found = one(data, int(row["_base"]), sample)
+                yield pd.DataFrame({k: [row[k]] * len(sample) for k in keys} | {"sample": sample} | dict(zip(columns, found)))
+
+    return rows.mapInPandas(run, f"{kinds}, sample long, " + ", ".join(f"{x} double" for x in columns))
+
+
 def bootstrap_days(trades: DataFrame, keys: list[str], n: int = 5000, seed: int = 9216000) -> DataFrame:
     """Quantiles of mean and total of n resamples of whole days. A sample's day at a place is drawn by a hash, so the draws need no state."""
     days = trades.groupBy(*keys, "broker_date").agg(F.sum("net_pnl").alias("d"))
-    days = days.withColumns({"_place": F.row_number().over(Window.partitionBy(*keys).orderBy("broker_date")) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    draws = days.select(*keys, "_n", c("_place").alias("_k")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_place", F.floor(hashed_unit(F.lit(seed), *(c(k) for k in keys), c("sample"), c("_k")) * c("_n")))
-    drawn = draws.select(*keys, "sample", "_place").join(days.select(*keys, "_place", "d"), [*keys, "_place"])
-    samples = drawn.groupBy(*keys, "sample").agg(F.avg("d").alias("m"), F.sum("d").alias("t"))
-    return _quantiles(samples, keys, {"m": "mean_daily", "t": "total_pnl"})
+    listed = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("broker_date", "d"))).alias("x")).select(*keys, c("x.d").alias("values"))
+
+    def one(d: np.ndarray, base: int, sample: np.ndarray):
+        place = _draws(base, sample[:, None], np.arange(len(d))[None, :]) * len(d) // _PRIME
+        drawn = d[place]
+        return drawn.mean(axis=1), drawn.sum(axis=1)
+
+    return _quantiles(_resampled(listed, keys, n, seed, ["m", "t"], one), keys, {"m": "mean_daily", "t": "total_pnl"})
 
 
 def order_monte_carlo(trades: DataFrame, keys: list[str], n: int = 5000, seed: int = 9216000) -> DataFrame:
     """Quantiles of the drawdown from 0 over n shuffles of the trades."""
-    rows = trades.select(*keys, "trade_seq", "net_pnl").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *(c(k).cast("string") for k in keys), c("sample").cast("string"), c("trade_seq").cast("string"))))
-    w = Window.partitionBy(*keys, "sample").orderBy("_h", "trade_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_equity", F.sum("net_pnl").over(w)).withColumn("_fall", F.greatest(F.lit(0.0), F.max("_equity").over(w)) - c("_equity"))
-    return _quantiles(rows.groupBy(*keys, "sample").agg(F.max("_fall").alias("dd")), keys, {"dd": "max_drawdown"})
+    listed = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trade_seq", "net_pnl"))).alias("x")).select(*keys, c("x.net_pnl").alias("values"))
+
+    def one(net: np.ndarray, base: int, sample: np.ndarray):
+        order = np.argsort(_draws(base, sample[:, None], np.arange(len(net))[None, :]), axis=1, kind="stable")
+        equity = np.cumsum(net[order], axis=1)
+        peak = np.maximum(np.maximum.accumulate(equity, axis=1), 0.0)
+        return ((peak - equity).max(axis=1),)
+
+    return _quantiles(_resampled(listed, keys, n, seed, ["dd"], one), keys, {"dd": "max_drawdown"})
 
 
 def top_trade_removal(trades: DataFrame, keys: list[str], counts: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -218,12 +288,19 @@ def score(m: DataFrame) -> DataFrame:
 
 
 def tie_averaged_percentile(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """df with daily_percentile: the mean place of equal values over n - 1; 1 for a single row."""
-    part = Window.partitionBy(*(keys or [F.lit(1)]))
-    n = F.count("*").over(part)
-    ties = F.count("*").over(Window.partitionBy(*(keys or []), value))
-    place = F.rank().over(part.orderBy(value)) - 1 + (ties - 1) / 2
-    return df.withColumn("daily_percentile", F.when(n == 1, F.lit(1.0)).otherwise(place / (n - 1)))
+    """df with daily_percentile: the mean place of equal values over n - 1; 1 for a single row. Only the distinct values are put in order."""
+    keys = keys or []
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    if keys:
+        part = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("_ties").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("_before", before).withColumn("_all", F.sum("_ties").over(part))
+    else:
+        placed = running_total(counts, value, "_ties", "_before", "_all")
+    placed = placed.withColumnsRenamed({k: f"_{k}_" for k in (*keys, value)})
+    same = [c(k).eqNullSafe(c(f"_{k}_")) for k in (*keys, value)]
+    place = c("_before") + (c("_ties") - 1) / 2
+    return df.join(placed, same).withColumn("daily_percentile", F.when(c("_all") == 1, F.lit(1.0)).otherwise(place / (c("_all") - 1))).select(*df.columns, "daily_percentile")
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:

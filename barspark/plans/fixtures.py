@@ -58,15 +58,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("symbol", F.floor(t / 1000).alias("time_msc"), F.col("value").alias("bid"), F.round(F.col("value") + 0.05, 2).alias("ask"), F.date_format("ts", "yyyy-MM-dd").alias("broker_date"), "event_id")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of each supplier's order lines."""
+def trades(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
+    """Trades of each supplier's (or another key's) order lines."""
     t = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    order = Window.partitionBy(key).orderBy("l_shipdate", "l_orderkey", "l_linenumber")
     price = F.col("l_extendedprice")
     risk = price * 0.01
     net = round_price(price * (F.col("l_discount") - F.col("l_tax")))
     return t.select(
-        F.col("l_suppkey").alias("experiment_id"), F.row_number().over(order).cast("long").alias("trade_seq"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("broker_date"),
+        F.col(key).alias("experiment_id"), F.row_number().over(order).cast("long").alias("trade_seq"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("broker_date"),
         F.when(F.col("l_returnflag") == "N", -1).otherwise(1).alias("direction"), net.alias("net_pnl"), (net / risk).alias("pnl_r"), F.col("l_quantity").alias("hold_minutes"),
         (F.col("l_quantity") * 0.06).alias("commission"), (F.col("l_quantity") * 0.02).alias("spread_cost"), (F.col("l_quantity") * 0.1).alias("slippage_cost"), risk.alias("planned_risk"),
     )

@@ -94,15 +94,20 @@ def s7(spark, sf):
     return df.select("symbol", "time", *r("close"), F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("local"))
 
 
-@query("s8_history", "SELECT CAST(c_custkey AS VARCHAR) AS historical_id, c_mktsegment AS strategy_name, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 6) END AS net_profit, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS source_file FROM customer WHERE c_custkey % 5 > 0")
+@query("s8_history", """SELECT CAST(c_custkey AS VARCHAR) AS historical_id, 'historical_mt5' AS origin, c_mktsegment AS strategy_name, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 6) END AS net_profit, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal - 1, 6) END AS after_cost_profit,
+CASE WHEN c_custkey % 2 = 0 THEN 1.5::DOUBLE END AS after_cost_pf, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 7 END AS trades, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS source_file, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '_manifest.json' END AS manifest_file, CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '_results.json' END AS results_file,
+'{' || CASE WHEN c_custkey % 3 = 0 THEN '"build":' || c_nationkey || ',' ELSE '' END || '"reason":"' || CASE WHEN c_custkey % 3 = 0 THEN 'of the manifest' ELSE c_mktsegment END || '"}' AS evidence_notes FROM customer WHERE c_custkey % 5 > 0""")
 def s8(spark, sf):
     t = fx.table(spark, sf, "customer")
     k = F.col("c_custkey").cast("string")
-    good = F.to_json(F.struct(k.alias("lab_id"), F.col("c_mktsegment").alias("strategy")))
+    good = F.to_json(F.struct(k.alias("lab_id"), F.col("c_mktsegment").alias("strategy"), F.col("c_mktsegment").alias("reason")))
     lines = t.select(F.when(F.col("c_custkey") % 5 > 0, good).otherwise("not json").alias("text"))
-    results = t.filter("c_custkey % 2 = 0").select(k.alias("historical_id"), F.to_json(F.struct(F.col("c_acctbal").alias("profit"))).alias("text"))
-    manifests = t.filter("c_custkey % 3 = 0").select(k.alias("historical_id"), F.to_json(F.struct(F.col("c_name").alias("report_file"))).alias("text"))
-    return ledgers.history(lines, results, manifests).select("historical_id", "strategy_name", *r("net_profit"), "source_file")
+    figures = F.struct(F.col("c_acctbal").alias("profit"), (F.col("c_acctbal") - 1).alias("after_cost_pnl"), F.lit(1.5).alias("after_cost_pf"), (F.col("c_custkey") % 7).alias("completed_trades"))
+    results = t.filter("c_custkey % 2 = 0").select(k.alias("historical_id"), F.to_json(figures).alias("text"), F.concat(k, F.lit("_results.json")).alias("file"))
+    said = F.struct(F.col("c_name").alias("report_file"), F.col("c_nationkey").alias("build"), F.lit("of the manifest").alias("reason"))
+    manifests = t.filter("c_custkey % 3 = 0").select(k.alias("historical_id"), F.to_json(said).alias("text"), F.concat(k, F.lit("_manifest.json")).alias("file"))
+    out = ledgers.history(lines, results, manifests)
+    return out.select("historical_id", "origin", "strategy_name", *r("net_profit", "after_cost_profit", "after_cost_pf"), "trades", "source_file", "manifest_file", "results_file", "evidence_notes")
 
 
 @query("s9_pair_deals", "SELECT l_orderkey AS account, CAST(l_partkey AS VARCHAR) AS symbol, epoch_ms(l_shipdate) // 1000 * 10 + l_linenumber AS entry_time, round(l_quantity, 6) AS volume, round(l_tax - l_discount, 6) AS net FROM lineitem WHERE l_linenumber = 1")
@@ -124,6 +129,29 @@ def s10(spark, sf):
     return ledgers.parse_log(lines).groupBy("source", "kind", "reason").agg(F.count("*").alias("n"))
 
 
+@query("s10_log_trades", """WITH e AS (SELECT event_id, event_type AS source, date_trunc('second', ts) AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT a.source, epoch_ms(a.t) // 1000 AS entry_s, epoch_ms(b.t) // 1000 AS exit_s, CASE WHEN a.event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, 0.25::DOUBLE AS volume, round(a.value, 6) AS stop, round(a.value, 6) AS target, CASE b.event_id % 3 WHEN 0 THEN 'SL' WHEN 1 THEN 'TP' ELSE 'END_OF_TEST' END AS exit_reason
+FROM e a JOIN e b ON b.source = a.source AND b.k = a.k + 1 WHERE a.k % 2 = 1""")
+def s10_trades(spark, sf):
+    """Every two events are an entry and an exit; a start marker stands before them and a new run's end behind them."""
+    e, k = fx.events(spark, sf), F.col("event_id")
+    w = Window.partitionBy("symbol").orderBy("event_id")
+    e = e.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    value = F.col("value").cast("string")
+    entry = F.concat(F.when(k % 2 == 0, "RULE_BUY").otherwise("RULE_SELL"), F.lit(" | volume=0.25 | ATR=1.5 | SL="), value, F.lit(" | TP="), value)
+    phrases = list(ledgers.EXIT_PHRASES)
+    exit_ = F.when(k % 3 == 0, phrases[0]).when(k % 3 == 1, phrases[1]).otherwise(phrases[2])
+    whole = e.filter((F.col("k") % 2 == 0) | (F.col("k") < F.col("n")))  # an odd last event has no exit
+    body = F.when(F.col("k") % 2 == 1, entry).otherwise(exit_)
+    lines = whole.select(F.col("symbol").alias("source"), F.col("k").cast("long").alias("line_no"), F.concat(F.date_format("ts", "yyyy.MM.dd HH:mm:ss"), F.lit(" "), body).alias("text"))
+    marks = e.filter("k = 1").select(F.col("symbol").alias("source"), "n")
+    lines = lines.unionByName(marks.select("source", F.lit(0).cast("long").alias("line_no"), F.lit("run started").alias("text")))
+    lines = lines.unionByName(marks.select("source", (F.col("n") + 1).cast("long").alias("line_no"), F.lit(ledgers.RUN_END).alias("text")))
+    lines = lines.unionByName(marks.select("source", (F.col("n") + 2).cast("long").alias("line_no"), F.lit("2030.01.01 00:00:00 ENTRY of no run").alias("text")))
+    t = ledgers.log_trades(ledgers.parse_log(lines))
+    return t.select("source", cal.epoch(F.col("entry_time")).alias("entry_s"), cal.epoch(F.col("exit_time")).alias("exit_s"), "direction", "volume", *r("stop", "target"), "exit_reason")
+
+
 # Reconciliation
 
 

@@ -10,7 +10,8 @@ from barspark.operators import experiments as ex
 from barspark.plans import fixtures as fx
 from barspark.plans.bar_queries import r, rs
 from barspark.plans.fixtures import TRADES_SQL
-from barspark.plans.trade_queries import ECON, SUMMARY, breakouts, lines, settings
+from barspark.plans.trade_queries import COSTS, ECON, SUMMARY, VALUES, breakouts, lines, settings
+from barspark.plans.trade_queries import SCHEMA as SETTING_SCHEMA
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -54,18 +55,23 @@ def e2(spark, sf):
 
 
 def _units(spark, sf):
-    n = fx.table(spark, sf, "supplier").count()
-    return ex.latin_hypercube(spark, n, ["a", "b"], 7)
+    return ex.latin_hypercube(experiments(spark, sf).select("row"), ["a", "b"], 7)
 
 
-@query("e3_latin_hypercube", """WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, count(*) OVER () AS n FROM supplier), d AS (SELECT *, unnest(['a', 'b']) AS dim FROM n),
+@query("e3_latin_hypercube", """WITH n AS (SELECT s_suppkey AS row, count(*) OVER () AS n FROM supplier), d AS (SELECT *, unnest(['a', 'b']) AS dim FROM n),
 s AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY md5('7|' || dim || '|' || row), row) - 1 AS k, ('0x' || substr(md5('7j|' || dim || '|' || row), 1, 7))::BIGINT / 268435456.0 AS j FROM d) SELECT row, dim, round((k + j) / n, 6) AS unit FROM s""")
 def e3(spark, sf):
     return _units(spark, sf).select("row", "dim", *r("unit"))
 
 
 BUCKETS = "b AS (SELECT s_nationkey AS bucket, count(*) AS size, s_nationkey AS place FROM supplier GROUP BY 1)"
-QUOTA = f"{BUCKETS}, q0 AS (SELECT *, size * 30 / sum(size) OVER () AS raw FROM b), q1 AS (SELECT *, floor(raw) AS base FROM q0), q2 AS (SELECT bucket, CAST(base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, place) <= 30 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1)"
+#: Three of ten experiments, at least one.
+TOTAL = "(SELECT greatest(1, count(*) * 3 // 10) FROM supplier)"
+QUOTA = f"{BUCKETS}, q0 AS (SELECT *, size * {TOTAL} / sum(size) OVER () AS raw FROM b), q1 AS (SELECT *, floor(raw) AS base FROM q0), q2 AS (SELECT bucket, CAST(base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, place) <= {TOTAL} - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1)"
+
+
+def _total(spark, sf) -> int:
+    return max(1, fx.table(spark, sf, "supplier").count() * 3 // 10)
 
 
 def _buckets(spark, sf):
@@ -74,28 +80,46 @@ def _buckets(spark, sf):
 
 @query("e4_allocate_quota", f"WITH {QUOTA} SELECT bucket, quota FROM q2")
 def e4(spark, sf):
-    return ex.allocate_quota(_buckets(spark, sf), 30)
+    return ex.allocate_quota(_buckets(spark, sf), _total(spark, sf))
+
+
+#: Line numbers are less and less frequent, so some of the buckets get nothing at first.
+SKEWED = "b AS (SELECT l_discount::VARCHAR || '/' || l_linenumber AS bucket, count(*) AS size, row_number() OVER (ORDER BY l_linenumber, l_discount) AS place FROM lineitem GROUP BY l_discount, l_linenumber), q0 AS (SELECT *, size * 77 / sum(size) OVER () AS raw FROM b)"
+
+
+@query("e4_quota_of_all_buckets", f"""WITH {SKEWED}, q1 AS (SELECT *, floor(raw) AS base FROM q0), q2 AS (SELECT bucket, place, raw, CAST(base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, place) <= 77 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1),
+w AS (SELECT CASE WHEN count(*) <= 77 THEN count(*) FILTER (quota = 0) ELSE 0 END AS wanted FROM q2), g AS (SELECT bucket, row_number() OVER (ORDER BY k - raw DESC, k DESC, place) AS nth FROM q2, range(2, 100) t(k) WHERE k <= quota)
+SELECT bucket, quota + CASE WHEN quota = 0 AND (SELECT wanted FROM w) > 0 THEN 1 ELSE 0 END - (SELECT count(*) FROM g WHERE g.bucket = q2.bucket AND nth <= (SELECT wanted FROM w)) AS quota FROM q2""")
+def e4_all(spark, sf):
+    b = fx.table(spark, sf, "lineitem").groupBy("l_discount", "l_linenumber").agg(F.count("*").alias("size"))
+    b = b.withColumn("place", F.struct("l_linenumber", "l_discount")).withColumn("bucket", F.concat_ws("/", F.col("l_discount").cast("string"), F.col("l_linenumber").cast("string")))
+    return ex.allocate_quota(b.select("bucket", "size", "place"), 77, least_one=True).select("bucket", F.col("quota").cast("long").alias("quota"))
 
 
 @query("e5_stratified_sample", f"WITH {QUOTA}, {EXP_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row) AS place FROM ex) SELECT experiment_id, bucket FROM k JOIN q2 USING (bucket) WHERE place <= quota")
 def e5(spark, sf):
-    return ex.stratified_sample(experiments(spark, sf), ex.allocate_quota(_buckets(spark, sf), 30), "row").select("experiment_id", "bucket")
+    return ex.stratified_sample(experiments(spark, sf), ex.allocate_quota(_buckets(spark, sf), _total(spark, sf)), "row").select("experiment_id", "bucket")
 
 
-@query("e6_spread_sample", "SELECT CAST(round_even(i * ((SELECT count(*) FROM customer) - 1) / 63.0, 0) AS BIGINT) AS idx FROM range(64) t(i)")
+@query("e6_spread_sample", "SELECT c_custkey, idx, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer) WHERE idx IN (SELECT CAST(round_even(i * ((SELECT count(*) FROM customer) - 1) / 63.0, 0) AS BIGINT) FROM range(64) t(i))")
 def e6(spark, sf):
-    return ex.spread_sample(spark, fx.table(spark, sf, "customer").count(), 64)
+    return ex.spread_sample(fx.table(spark, sf, "customer"), "c_custkey", 64).select("c_custkey", "idx", "c_acctbal")
+
 
+FAMILIES = ("edge_b_trend_pullback", "edge_b_trend_pullback_v2", "edge_c_compression_retest", "edge_c_compression_retest_v2", "edge_d_session_sweep")
+DOMAIN_ROWS = ", ".join(f"('{rule.family}', '{name}', '{k}', {float(d[0])}::DOUBLE, {float(d[1])}::DOUBLE, {str(isinstance(d[0], int)).lower()})" for name, rule in signals.RULES.items() if rule.family in FAMILIES for k, d in rule.domain.items() if not isinstance(d[0], str))
 
-@query("e7_family_catalogs")
+
+@query("e7_family_catalogs", f"""WITH dom AS (SELECT * FROM (VALUES {DOMAIN_ROWS}) t(family, strategy, param, low, high, whole)), k AS (SELECT *, s_suppkey AS row, strategy || '.' || param AS dim FROM dom, supplier),
+u AS (SELECT *, (row_number() OVER (PARTITION BY dim ORDER BY md5('11|' || dim || '|' || row), row) - 1 + ('0x' || substr(md5('11j|' || dim || '|' || row), 1, 7))::BIGINT / 268435456.0) / count(*) OVER (PARTITION BY dim) AS unit FROM k)
+SELECT family, strategy, row, param, round(CASE WHEN whole THEN least(high, low + floor(unit * (high - low + 1))) ELSE low + unit * (high - low) END, 6) AS value, CASE WHEN row % 2 = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS target_r FROM u""")
 def e7(spark, sf):
     exits = spark.createDataFrame([(0, 1.0), (1, 2.0)], "exit_id int, target_r double")
-    n = fx.table(spark, sf, "supplier").count()
     out = None
-    for family in ("edge_b_trend_pullback", "edge_b_trend_pullback_v2", "edge_c_compression_retest", "edge_c_compression_retest_v2", "edge_d_session_sweep"):
-        rows = ex.family_catalog(spark, signals.RULES, family, n, 11, exits).select(F.lit(family).alias("family"), "experiment_id", "strategy", "row", "params_json", "target_r")
+    for family in FAMILIES:
+        rows = ex.family_catalog(experiments(spark, sf).select("row"), signals.RULES, family, 11, exits).select(F.lit(family).alias("family"), "strategy", "row", F.explode("params").alias("param", "value"), "target_r")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select("family", "strategy", "row", "param", *r("value"), "target_r")
 
 
 @query("e8_catalog_violations", "SELECT s_suppkey % 50 AS experiment_id, 'duplicate_id' AS problem FROM supplier GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT s_suppkey % 50, 'wrong_nation' FROM supplier WHERE s_nationkey <> 3")
@@ -146,7 +170,15 @@ def v4(spark, sf):
 
 
 FOLDED = f"""{ROLLING}, ft AS (SELECT t.*, f.fold_id, f.segment FROM trades t JOIN folds f ON left(t.broker_date, 7) = f.month),
-folded AS (SELECT experiment_id, fold_id, segment, count(*) AS completed_trades, sum(CASE WHEN net_pnl > 0 THEN net_pnl ELSE 0 END) / nullif(abs(sum(CASE WHEN net_pnl < 0 THEN net_pnl ELSE 0 END)), 0) AS profit_factor, avg(net_pnl) AS expectancy_usd, sum(net_pnl) AS net_profit FROM ft GROUP BY 1, 2, 3)"""
+folded AS (SELECT experiment_id, fold_id, segment, count(ft.net_pnl) AS completed_trades, sum(CASE WHEN net_pnl > 0 THEN net_pnl ELSE 0 END) / nullif(abs(sum(CASE WHEN net_pnl < 0 THEN net_pnl ELSE 0 END)), 0) AS profit_factor, avg(net_pnl) AS expectancy_usd, coalesce(sum(net_pnl), 0) AS net_profit
+ FROM (SELECT * FROM (SELECT DISTINCT experiment_id FROM trades), (SELECT DISTINCT fold_id, segment FROM folds)) LEFT JOIN ft USING (experiment_id, fold_id, segment) GROUP BY 1, 2, 3)"""
+#: Parts are ordered too seldom to have a trade in every fold.
+RARE = lambda sql: sql.replace("SELECT l_suppkey AS experiment_id", "SELECT l_partkey AS experiment_id").replace("PARTITION BY l_suppkey", "PARTITION BY l_partkey")
+
+
+def rare_folded(spark, sf):
+    t = fx.trades(spark, sf, "l_partkey").withColumnRenamed("commission", "commission_cost")
+    return validation.fold_metrics(t, validation.rolling_folds(t), ["experiment_id"])
 
 
 def folded(spark, sf):
@@ -159,6 +191,11 @@ def v5(spark, sf):
     return folded(spark, sf).select("experiment_id", "fold_id", "segment", "completed_trades", *r("profit_factor", "expectancy_usd", "net_profit"))
 
 
+@query("v5_fold_metrics_of_rare_trades", RARE(f"WITH {FOLDED} SELECT experiment_id, fold_id, segment, completed_trades, {rs('profit_factor', 'expectancy_usd', 'net_profit')} FROM folded"))
+def v5_rare(spark, sf):
+    return rare_folded(spark, sf).select("experiment_id", "fold_id", "segment", "completed_trades", *r("profit_factor", "expectancy_usd", "net_profit"))
+
+
 @query("v5_walk_forward", f"WITH RECURSIVE {ECON} SELECT experiment_id, 'all-001' AS fold_id, 'research' AS segment, count(*) AS completed_trades, {rs('sum(net_pnl) AS net_profit')} FROM econ GROUP BY 1")
 def v5w(spark, sf):
     """Signals traded again on the bars of a fold alone. The bars are of one month, so the one fold has them all."""
@@ -187,24 +224,47 @@ def v6(spark, sf):
     return validation.summarize_folds(folded(spark, sf), ["experiment_id"]).select("experiment_id", "validation_fold_count", *r(*SUMMED[1:]))
 
 
-@query("v7_cost_stress")
+@query("v6_summarize_folds_of_rare_trades", RARE(f"WITH {FSUM} SELECT experiment_id, validation_fold_count, {rs(*SUMMED[1:])} FROM fsum"))
+def v6_rare(spark, sf):
+    return validation.summarize_folds(rare_folded(spark, sf), ["experiment_id"]).select("experiment_id", "validation_fold_count", *r(*SUMMED[1:]))
+
+
+ECON_DD = """, eq AS (SELECT *, 5000 + sum(net_pnl) OVER (PARTITION BY experiment_id ORDER BY trade_seq ROWS UNBOUNDED PRECEDING) AS equity FROM econ), fall AS (SELECT *, greatest(5000, max(equity) OVER (PARTITION BY experiment_id ORDER BY trade_seq ROWS UNBOUNDED PRECEDING)) AS peak FROM eq)"""
+
+
+def run_sql(econ: str, label: str) -> str:
+    """Metrics of all settings in one run of the trades."""
+    return f"(WITH RECURSIVE {econ}{ECON_DD} SELECT s.experiment_id, {label}, count(f.net_pnl) AS completed_trades, {rs('coalesce(sum(net_pnl), 0) AS net_profit', 'coalesce(max((peak - equity) / peak * 100), 0) AS max_drawdown_pct')} FROM settings s LEFT JOIN fall f ON f.experiment_id = s.experiment_id GROUP BY 1)"
+
+
+#: The experiments of the settings beside one whose stop is wider than any risk allows: it never trades.
+IDLE = ("E6", 1000.0, 1.0, None, None)
+IDLE_ECON = ECON.replace(VALUES, VALUES + ", ('E6', 1000.0, 1.0, NULL, NULL)")
+COST_RUNS = [(f"slippage:{x:g}", IDLE_ECON.replace("5.0::DOUBLE AS slippage", f"{x}::DOUBLE AS slippage")) for x in validation.SLIPPAGE]
+COST_RUNS += [(f"commission:{m:g}", IDLE_ECON.replace("6.0::DOUBLE AS commission", f"{6.0 * m}::DOUBLE AS commission")) for m in validation.COMMISSION]
+COST_RUNS += [(f"spread:{m:g}", IDLE_ECON.replace("count(*) AS spread", f"round_even(count(*) * {m}, 0) AS spread")) for m in validation.SPREAD]
+
+
+@query("v7_cost_stress", " UNION ALL ".join(run_sql(econ, f"'{label}' AS label") for label, econ in COST_RUNS))
 def v7(spark, sf):
-    market, s = breakouts(spark, sf)
-    return validation.cost_stress(s, market, settings(spark)).select("experiment_id", "label", "completed_trades", *r("net_profit", "max_drawdown_pct"))
+    market, _ = breakouts(spark, sf)
+    own = settings(spark).unionByName(spark.createDataFrame([IDLE], SETTING_SCHEMA).select("*", *(F.lit(v).alias(k) for k, v in COSTS.items())))
+    s = signals.evaluate(market, "nbar_breakout", {"lookback": 20}).filter("signal != 0").select("symbol", "bar_idx", "signal").crossJoin(own.select("experiment_id"))
+    return validation.cost_stress(s, market, own).select("experiment_id", "label", "completed_trades", *r("net_profit", "max_drawdown_pct"))
+
 
+def lookback_econ(n: int) -> str:
+    return IDLE_ECON.replace("count(high) OVER p = 20", f"count(high) OVER p = {n}").replace("count(low) OVER p = 20", f"count(low) OVER p = {n}").replace("ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING", f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING")
 
-@query("v8_parameter_stress")
+
+@query("v8_parameter_stress", " UNION ALL ".join(run_sql(lookback_econ(n), f"'lookback' AS param, {float(n)}::DOUBLE AS value") for n in (16, 18, 22, 24)))
 def v8(spark, sf):
-    """The rule at its neighbours, all in one job."""
-    market = fx.market(spark, sf)
-    base = spark.createDataFrame([("B", "nbar_breakout", {"lookback": 20.0})], "experiment_id string, strategy string, params map<string,double>")
-    near = ex.parameter_neighbors(base, ex.domains_table(spark, signals.RULES)).collect()  # four rows
-    runs = [(f"B:{x.param}:{x.value:g}", "nbar_breakout", {"lookback": int(x.value)}) for x in near]
-    s = signals.evaluate_many(market, runs)
-    own = spark.createDataFrame([(i,) for i, *_ in runs], "label string")
-    rows = own.crossJoin(settings(spark).filter("experiment_id = 'E1'").drop("experiment_id")).withColumnRenamed("label", "experiment_id")
-    t = trades.signals_to_trades(s, market, rows)
-    return metrics.totals(t, ["experiment_id"]).select("experiment_id", "completed_trades", *r("net_profit", "profit_factor"))
+    """Each setting's rule at its neighbours, all in one job."""
+    market, _ = breakouts(spark, sf)
+    own = settings(spark).unionByName(spark.createDataFrame([IDLE], SETTING_SCHEMA).select("*", *(F.lit(v).alias(k) for k, v in COSTS.items())))
+    base = own.select("experiment_id", F.lit("nbar_breakout").alias("strategy"), F.create_map(F.lit("lookback"), F.lit(20.0)).alias("params"))
+    out = validation.parameter_stress(market, base, own, ex.domains_table(spark, signals.RULES))
+    return out.select("experiment_id", "param", "value", "completed_trades", *r("net_profit", "max_drawdown_pct"))
 
 
 STRESSED = f"{FOLDED}, st AS (SELECT experiment_id, CASE WHEN segment = 'research' THEN 'parameter' ELSE 'cost' END AS stress_type, profit_factor, expectancy_usd, completed_trades / 100.0 AS max_drawdown_pct FROM folded), rep AS (SELECT experiment_id, 100.0 * count(*) FILTER (stress_type = 'parameter' AND profit_factor > 1 AND expectancy_usd > 0) / count(*) FILTER (stress_type = 'parameter') AS parameter_stability_pct, 100.0 * count(*) FILTER (stress_type = 'cost' AND profit_factor > 1) / count(*) FILTER (stress_type = 'cost') AS cost_stability_pct, max(max_drawdown_pct) AS stress_max_drawdown_pct FROM st GROUP BY 1)"
@@ -220,8 +280,17 @@ def v9(spark, sf):
     return validation.stress_report(stressed(spark, sf)).select("experiment_id", *r("parameter_stability_pct", "cost_stability_pct", "stress_max_drawdown_pct"))
 
 
+def draws_sql(base: str, sample: str, place: str) -> str:
+    """The operators' pseudo-random integer."""
+    p = 2**31 - 1
+    x = f"((({base}) * 1000003 + {sample}) % {p} * 48271 + {place}) % {p}"
+    x = f"(xor({x}, ({x}) >> 13) * 69621 % {p})"
+    return f"(xor({x}, {x} >> 11) * 16807 % {p})"
+
+
+KEY_BASE = "('0x' || substr(md5('5|' || experiment_id), 1, 7))::BIGINT"
 BOOT = f"""{TRADES_SQL}, dd AS (SELECT experiment_id, broker_date, sum(net_pnl) AS d FROM trades GROUP BY 1, 2), pd AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY broker_date) - 1 AS k, count(*) OVER (PARTITION BY experiment_id) AS n FROM dd),
-dr AS (SELECT experiment_id, i AS sample, CAST(floor(('0x' || substr(md5('5|' || experiment_id || '|' || i || '|' || k), 1, 7))::BIGINT / 268435456.0 * n) AS BIGINT) AS k FROM pd, range(20) t(i)),
+dr AS (SELECT experiment_id, i AS sample, {draws_sql(KEY_BASE, 'i', 'k')} * n // 2147483647 AS k FROM pd, range(20) t(i)),
 sm AS (SELECT dr.experiment_id, sample, avg(d) AS m, sum(d) AS t FROM dr JOIN pd ON pd.experiment_id = dr.experiment_id AND pd.k = dr.k GROUP BY 1, 2)"""
 BOOTED = [f"{n}_p{q}" for n in ("mean_daily", "total_pnl") for q in (5, 50, 95)]
 
@@ -231,7 +300,7 @@ def v10(spark, sf):
     return validation.bootstrap_days(lines(spark, sf), ["experiment_id"], 20, 5).select("experiment_id", *r(*BOOTED))
 
 
-@query("v11_order_monte_carlo", f"""WITH {TRADES_SQL}, h AS (SELECT experiment_id, trade_seq, net_pnl, i AS sample, md5('5|' || experiment_id || '|' || i || '|' || trade_seq) AS h FROM trades, range(10) t(i)), e AS (SELECT *, sum(net_pnl) OVER w AS eq FROM h WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)),
+@query("v11_order_monte_carlo", f"""WITH {TRADES_SQL}, h AS (SELECT experiment_id, trade_seq, net_pnl, i AS sample, {draws_sql(KEY_BASE, 'i', '(trade_seq - 1)')} AS h FROM trades, range(10) t(i)), e AS (SELECT *, sum(net_pnl) OVER w AS eq FROM h WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT experiment_id, sample, greatest(0, max(eq) OVER w) - eq AS fall FROM e WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)), g AS (SELECT experiment_id, sample, max(fall) AS dd FROM f GROUP BY 1, 2) SELECT experiment_id, {rs(*(f'quantile_cont(dd, {q / 100}) AS max_drawdown_p{q}' for q in (5, 50, 95)))} FROM g GROUP BY 1""")
 def v11(spark, sf):
     return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"], 10, 5).select("experiment_id", *r(*(f"max_drawdown_p{q}" for q in (5, 50, 95))))
@@ -367,11 +436,13 @@ def v22(spark, sf):
     return validation.select_by_viability(_finals(spark, sf)).select("experiment_id", "final_score")
 
 
-@query("v23_activation_gate", f"""WITH {TRADES_SQL}, a AS (SELECT experiment_id, count(*) AS t, count(*) FILTER (direction = 1 AND net_pnl < -5000) AS e FROM trades GROUP BY 1), g AS (SELECT count(*) AS sample_size, count(*) FILTER (t >= 50) AS at_least_50_count, count(*) FILTER (t >= 300) AS at_least_300_count, median(t) AS median_completed_trades, quantile_cont(t, 0.9) AS p90_completed_trades, sum(e) / sum(t) AS share, CAST(sum(t) AS BIGINT) AS total_completed_trades FROM a)
+@query("v23_activation_gate", f"""WITH {TRADES_SQL}, a AS (SELECT s_suppkey, count(experiment_id) AS t, count(*) FILTER (direction = 1 AND net_pnl < -5000) AS e FROM supplier LEFT JOIN trades ON experiment_id = s_suppkey GROUP BY s_suppkey), g AS (SELECT count(*) AS sample_size, count(*) FILTER (t >= 50) AS at_least_50_count, count(*) FILTER (t >= 300) AS at_least_300_count, median(t) AS median_completed_trades, quantile_cont(t, 0.9) AS p90_completed_trades, sum(e) / sum(t) AS share, CAST(sum(t) AS BIGINT) AS total_completed_trades FROM a)
 SELECT sample_size, at_least_50_count, at_least_300_count, {rs('median_completed_trades', 'p90_completed_trades', 'share AS end_of_data_fraction')}, total_completed_trades, sample_size = 256 AND at_least_50_count >= 205 AND at_least_300_count >= 64 AND share <= 0.05 AS passed FROM g""")
 def v23(spark, sf):
     end = (F.col("direction") == 1) & (F.col("net_pnl") < -5000)
     rows = lines(spark, sf).groupBy("experiment_id").agg(F.count("*").alias("completed_trades"), F.count_if(end).alias("end_of_data_exits"), F.lit(0).alias("risk_skip_count"))
+    everyone = experiments(spark, sf).select("experiment_id")
+    rows = everyone.join(rows, "experiment_id", "left").na.fill(0, ["completed_trades", "end_of_data_exits", "risk_skip_count"])
     return validation.activation_gate(rows).select("sample_size", "at_least_50_count", "at_least_300_count", *r("median_completed_trades", "p90_completed_trades", "end_of_data_fraction"), "total_completed_trades", "passed")
 
 

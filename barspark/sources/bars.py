@@ -21,9 +21,9 @@ def finite(df: DataFrame) -> DataFrame:
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of CSV files with a header; ingest_seq follows the order of files and lines."""
+    """Bars of CSV files with a header; ingest_seq (file, start of the split, row) follows the order of file names and lines, however Spark deals the files out."""
     df = spark.read.schema(BAR_SCHEMA).option("header", True).csv(path)
-    seq = F.monotonically_increasing_id()
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     return finite(df.withColumn("ingest_seq", seq).withColumn("bar_ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd HH:mm:ss"))).drop("time"))
 
 

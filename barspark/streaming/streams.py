@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,7 +93,9 @@ def snapshot_writer(path: str, key: list[str]) -> Callable[[DataFrame, int], Non
         rows = batch.dropDuplicates()
         try:
             existing = spark.read.schema(batch.schema).parquet(path)
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # any other failed read is no empty table
+                raise
             existing = spark.createDataFrame([], batch.schema)
         judged = checkpointed(append_snapshot(existing, rows, key))
         if not judged.filter("status = 'drift'").isEmpty():

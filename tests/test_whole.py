@@ -151,16 +151,22 @@ def test_resampling_has_the_full_number_of_samples(spark, sf, monkeypatch):
     rows_ = [(1, i + 1, f"2024-01-{1 + i // 2:02d}", float(np.round(rng.normal(5, 50), 2))) for i in range(12)]
     small = spark.createDataFrame(rows_, "experiment_id long, trade_seq long, broker_date string, net_pnl double")
     monkeypatch.setattr(research_queries, "lines", lambda *_: small)
-    unit = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:7], 16) / 2**28
+    base, p = int(hashlib.md5(f"{seed}|1".encode()).hexdigest()[:7], 16), 2**31 - 1
+
+    def draw(sample, place):
+        x = ((base * 1_000_003 + sample) % p * 48_271 + place) % p
+        x = (x ^ x >> 13) * 69_621 % p
+        return (x ^ x >> 11) * 16_807 % p
+
     days = [rows_[2 * k][3] + rows_[2 * k + 1][3] for k in range(6)]
-    drawn = np.array([[days[int(unit(seed, 1, i, k) * 6)] for k in range(6)] for i in range(n)])
+    drawn = np.array([[days[draw(i, k) * 6 // p] for k in range(6)] for i in range(n)])
     got = rows(spark, sf, "v10_bootstrap_days_5000")[0].asDict()
     for q in (5, 50, 95):
         assert got[f"mean_daily_p{q}"] == pytest.approx(np.percentile(drawn.mean(1), q), abs=1e-5)
         assert got[f"total_pnl_p{q}"] == pytest.approx(np.percentile(drawn.sum(1), q), abs=1e-5)
     falls = []
     for i in range(n):
-        order = sorted(rows_, key=lambda x: hashlib.md5(f"{seed}|1|{i}|{x[1]}".encode()).hexdigest())
+        order = sorted(rows_, key=lambda x: draw(i, x[1] - 1))
         equity = np.cumsum([0.0, *(x[3] for x in order)])
         falls.append((np.maximum.accumulate(equity) - equity).max())
     got = rows(spark, sf, "v11_order_monte_carlo_5000")[0].asDict()
@@ -181,7 +187,7 @@ def test_walk_forward_has_validation_segments(spark, sf):
     place = {(x, b.bar_idx): i for x in own for i, b in enumerate(own[x])}
     slice_ = spark.createDataFrame([b.asDict() | {"bar_idx": place[x, b.bar_idx]} for x in own for b in own[x]], market.schema)
     signalled = spark.createDataFrame([(x.experiment_id, x.symbol, place[x.symbol, x.bar_idx], x.signal) for x in s.collect() if (x.symbol, x.bar_idx) in place], s.select("experiment_id", "symbol", "bar_idx", "signal").schema)
-    totals = collections.defaultdict(list)
+    totals = {x.experiment_id: [] for x in trade_queries.settings(spark).collect()}
     for t in trades.signals_to_trades(signalled, slice_, trade_queries.settings(spark)).collect():
         totals[t.experiment_id].append(t.net_pnl)
     got = {x.experiment_id: (x.completed_trades, x.net_profit) for x in found if (x.fold_id, x.segment) == ("rolling-001", "validation")}

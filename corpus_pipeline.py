@@ -42,7 +42,7 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: SQL can express neither the language model nor the balanced sample; tests hold the stages against brute force.
+#: SQL can express neither the language model nor the balanced sample; test_pipeline_stages_by_hand holds each stage against plain loops.
 ORACLE_SQL = None
 
 

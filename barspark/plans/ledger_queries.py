@@ -110,17 +110,6 @@ def s8(spark, sf):
     return out.select("historical_id", "origin", "strategy_name", *r("net_profit", "after_cost_profit", "after_cost_pf"), "trades", "source_file", "manifest_file", "results_file", "evidence_notes")
 
 
-@query("s9_pair_deals", "SELECT l_orderkey AS account, CAST(l_partkey AS VARCHAR) AS symbol, epoch_ms(l_shipdate) // 1000 * 10 + l_linenumber AS entry_time, round(l_quantity, 6) AS volume, round(l_tax - l_discount, 6) AS net FROM lineitem WHERE l_linenumber = 1")
-def s9(spark, sf):
-    t = fx.table(spark, sf, "lineitem").filter("l_linenumber = 1")
-    at = cal.epoch(F.col("l_shipdate")) * 10 + F.col("l_linenumber")
-    common = [F.col("l_orderkey").alias("account"), F.col("l_partkey").cast("string").alias("symbol")]
-    text = lambda x: F.concat(F.lit(" "), x.cast("string"))
-    ins = t.select(*common, at.alias("time"), F.lit("in").alias("entry"), F.lit("buy").alias("side"), text(F.col("l_quantity")).alias("volume"), text(F.col("l_extendedprice")).alias("price"), text(-F.col("l_discount")).alias("commission"), F.lit("0").alias("profit"))
-    outs = t.select(*common, (at + 5).alias("time"), F.lit("out").alias("entry"), F.lit("sell").alias("side"), text(F.col("l_quantity")).alias("volume"), text(F.col("l_extendedprice")).alias("price"), F.lit(None).cast("string").alias("commission"), text(F.col("l_tax")).alias("profit"))
-    return ledgers.pair_deals(ins.unionByName(outs)).select("account", "symbol", "entry_time", *r("volume", "net"))
-
-
 @query("s10_parse_log", "WITH e AS (SELECT event_id, event_type AS source, ts, max(CASE WHEN event_id % 400 = 3 THEN event_id END) OVER (PARTITION BY event_type) AS st FROM events) SELECT source, CASE WHEN event_id % 3 = 0 THEN 'guard' ELSE 'entry' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'spread' || event_id % 4 END AS reason, count(*) AS n FROM e WHERE (st IS NULL OR event_id > st) AND event_id % 3 < 2 GROUP BY ALL")
 def s10(spark, sf):
     e, k = fx.events(spark, sf), F.col("event_id")
@@ -160,39 +149,6 @@ def _timed(spark, sf) -> DataFrame:
 
 
 TIMED = "tm AS (SELECT event_type AS symbol, epoch_us(ts) // 1000000 AS time, CASE WHEN event_id % 4 < 2 THEN 1 ELSE -1 END AS direction, event_id, value FROM events)"
-INTERVALS = f"{TIMED}, ev AS (SELECT symbol, time, CASE WHEN event_id % 40 = 1 THEN 'entry' ELSE 'exit' END AS kind FROM tm WHERE event_id % 40 IN (1, 21)), iv0 AS (SELECT *, coalesce(lead(time) OVER (PARTITION BY symbol ORDER BY time, CASE WHEN kind = 'exit' THEN 0 ELSE 1 END), 4102444800) AS exit_time FROM ev), iv AS (SELECT symbol, time AS entry_time, exit_time FROM iv0 WHERE kind = 'entry')"
-
-
-def _intervals(spark, sf) -> DataFrame:
-    t = _timed(spark, sf).filter("event_id % 40 in (1, 21)")
-    return reconcile.open_intervals(t.select("symbol", "time", F.when(F.col("event_id") % 40 == 1, "entry").otherwise("exit").alias("kind")), ["symbol"])
-
-
-@query("l1_classify_signals", f"""WITH {INTERVALS}, s AS (SELECT * , time // 300 AS bucket FROM tm WHERE event_id % 10 = 0), l AS (SELECT *, time // 300 AS bucket FROM tm WHERE (event_id % 10 = 0 AND event_id % 30 > 0) OR event_id % 50 = 7), g AS (SELECT symbol, time // 300 AS bucket, min('r' || event_id % 3) AS reason FROM tm WHERE event_id % 60 = 0 GROUP BY 1, 2),
-j AS (SELECT s.*, EXISTS (SELECT 1 FROM l WHERE l.symbol = s.symbol AND l.bucket = s.bucket AND l.direction = s.direction) AS hit, iv.exit_time, iv.entry_time FROM s ASOF LEFT JOIN iv ON s.symbol = iv.symbol AND s.time >= iv.entry_time),
-k AS (SELECT j.symbol, j.time, j.direction, CASE WHEN hit THEN 'matched' WHEN entry_time < time AND time < exit_time THEN 'position_open' WHEN reason IS NOT NULL THEN 'guard:' || reason ELSE 'unexplained' END AS class FROM j LEFT JOIN g ON g.symbol = j.symbol AND g.bucket = j.bucket)
-SELECT * FROM k UNION ALL SELECT symbol, time, direction, 'missing_signal' FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = l.symbol AND s.bucket = l.bucket AND s.direction = l.direction)""")
-def l1(spark, sf):
-    t, k = _timed(spark, sf), F.col("event_id")
-    guards = t.filter(k % 60 == 0).select("symbol", F.floor(F.col("time") / 300).alias("bucket"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("reason"))
-    ledger = t.filter(((k % 10 == 0) & (k % 30 > 0)) | (k % 50 == 7)).select("symbol", "time", "direction")
-    return reconcile.classify_signals(t.filter(k % 10 == 0).select("symbol", "time", "direction"), ledger, _intervals(spark, sf), guards)
-
-
-@query("l2_open_intervals", f"WITH {INTERVALS} SELECT symbol, entry_time, exit_time FROM iv")
-def l2(spark, sf):
-    return _intervals(spark, sf)
-
-
-@query("l3_construction_check", f"WITH {TIMED} SELECT event_id AS key, {rs('6 * 1.0 - 3 * (2 + CASE WHEN event_id % 5 = 0 THEN 0.1 ELSE 0 END) AS span_error', 'CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END AS midpoint_error')}, event_id % 5 > 0 AS span_ok FROM tm WHERE event_id % 7 = 0")
-def l3(spark, sf):
-    t, k = _timed(spark, sf).filter("event_id % 7 = 0"), F.col("event_id")
-    shift = F.when(k % 2 == 0, 0.5).otherwise(0.0)
-    ledger = t.select(k.alias("key"), F.col("value").alias("entry_price"), (F.col("value") - 3 + shift).alias("stop"), (F.col("value") + 3 + shift).alias("target"))
-    states = t.select(k.alias("key"), (F.lit(2.0) + F.when(k % 5 == 0, 0.1).otherwise(0.0)).alias("atr"), F.col("value").alias("planned_entry"))
-    return reconcile.construction_check(ledger, states).select("key", *r("span_error", "midpoint_error"), "span_ok")
-
-
 LOT = "g AS (SELECT l_suppkey AS k, l_orderkey AS o, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
 
 
@@ -204,50 +160,6 @@ def l4(spark, sf):
     return reconcile.lifecycle_check(rows, other, ["account"]).select("account", F.col("n").cast("long").alias("n"), "same_reason", "missing")
 
 
-BAL = f"{TIMED}, bal AS (SELECT symbol, time AS balance_time, max(value) AS balance FROM tm WHERE event_id % 9 = 0 GROUP BY 1, 2), req AS (SELECT * FROM tm WHERE event_id % 9 = 4), seen AS (SELECT req.*, bal.balance_time, bal.balance FROM req ASOF LEFT JOIN bal ON req.symbol = bal.symbol AND req.time >= bal.balance_time)"
-
-
-def _balances(spark, sf):
-    t = _timed(spark, sf)
-    return t.filter("event_id % 9 = 4"), t.filter("event_id % 9 = 0").groupBy("symbol", "time").agg(F.max("value").alias("balance"))
-
-
-@query("l5_balance_asof", f"WITH {BAL} SELECT event_id, balance_time, {rs('balance')} FROM seen")
-def l5(spark, sf):
-    events, balances = _balances(spark, sf)
-    return reconcile.balance_asof(events, balances, ["symbol"]).select("event_id", "balance_time", *r("balance"))
-
-
-@query("l6_volume_check", f"WITH {BAL}, v AS (SELECT event_id, round(floor(balance * 50 * 0.002 / (0.05 * 100) / 0.01 + 1e-9) * 0.01, 10) AS e, CASE WHEN event_id % 2 = 0 THEN 0.5 END AS volume FROM seen) SELECT event_id, {rs('e AS expected_volume')}, coalesce(abs(coalesce(volume, 0) - e) < 1e-9, false) AS volume_ok FROM v")
-def l6(spark, sf):
-    events, balances = _balances(spark, sf)
-    asked = events.withColumn("stop_distance", F.lit(0.05)).withColumn("volume", F.when(F.col("event_id") % 2 == 0, 0.5))
-    return reconcile.volume_check(asked, balances.withColumn("balance", F.col("balance") * 50), ["symbol"]).select("event_id", *r("expected_volume"), "volume_ok")
-
-
-@query("l7_entry_tick", f"WITH {TICKS_SQL} SELECT a.event_id AS trade_id, min(b.time_msc) AS tick_msc FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND b.time_msc BETWEEN a.time_msc // 1000 * 1000 AND a.time_msc // 1000 * 1000 + 999 AND abs(CASE WHEN a.event_id % 2 = 0 THEN b.ask ELSE b.bid END - a.ask) <= 0.005 + 1e-9 WHERE a.event_id % 3 = 0 GROUP BY 1")
-def l7(spark, sf):
-    t = fx.ticks(spark, sf)
-    trades = t.filter("event_id % 3 = 0").select(F.col("event_id").alias("trade_id"), "symbol", F.floor(F.col("time_msc") / 1000).alias("entry_time"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("ask").alias("entry_price"))
-    return reconcile.entry_tick(trades, t)
-
-
-@query("l8_first_trigger", f"""WITH {TICKS_SQL}, tr AS (SELECT event_id AS trade_id, symbol, time_msc AS anchor, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d, bid FROM ticks WHERE event_id % 25 = 0),
-h AS (SELECT trade_id, t.time_msc, (CASE WHEN d = 1 THEN t.bid ELSE t.ask END - (tr.bid - d * 40)) * d <= 0 AS s, (CASE WHEN d = 1 THEN t.bid ELSE t.ask END - (tr.bid + d * 60)) * d >= 0 AS g FROM tr JOIN ticks t ON t.symbol = tr.symbol AND t.time_msc > anchor),
-k AS (SELECT trade_id, time_msc, bool_or(s) AS s, bool_or(g) AS g FROM h WHERE s OR g GROUP BY 1, 2) SELECT trade_id, min(time_msc) AS trigger_msc, arg_min(CASE WHEN s AND g THEN 'AMBIGUOUS' WHEN s THEN 'SL' ELSE 'TP' END, time_msc) AS kind FROM k GROUP BY 1""")
-def l8(spark, sf):
-    t, way = fx.ticks(spark, sf), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    trades = t.filter("event_id % 25 = 0").select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("anchor_msc"), way.alias("direction"), (F.col("bid") - way * 40).alias("stop_price"), (F.col("bid") + way * 60).alias("target_price"))
-    return reconcile.first_trigger(trades, t, 6 * 3_600_000)
-
-
-@query("l9_delay_endpoints", f"WITH {TICKS_SQL}, t AS (SELECT symbol, time_msc, min(bid) AS bid FROM ticks GROUP BY 1, 2), e AS (SELECT event_id, symbol, time_msc + 600000 AS due FROM ticks WHERE event_id % 11 = 0), b AS (SELECT e.*, t.time_msc AS before_msc FROM e ASOF LEFT JOIN t ON e.symbol = t.symbol AND e.due >= t.time_msc) SELECT b.event_id, before_msc, t.time_msc AS after_msc FROM b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.due <= t.time_msc")
-def l9(spark, sf):
-    t = fx.ticks(spark, sf)
-    events = t.filter("event_id % 11 = 0").select("event_id", "symbol", "time_msc", F.col("bid").alias("fill"))
-    return reconcile.delay_endpoints(events, t, 600_000).select("event_id", "before_msc", "after_msc")
-
-
 EPS = [0.0, 1e-9, 0.2, 0.5]
 
 
@@ -258,13 +170,6 @@ def l10(spark, sf):
     return reconcile.rounding_sweep(prices, EPS)
 
 
-@query("l11_cost_rates", "SELECT CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END AS direction, round(l_discount / l_quantity, 6) AS commission_rate, round(l_tax / l_quantity, 6) AS swap_rate, count(*) AS n FROM (SELECT * FROM lineitem WHERE l_quantity IN (1, 2, 4, 5, 10)) GROUP BY 1, 2, 3")
-def l11(spark, sf):
-    t = fx.table(spark, sf, "lineitem").filter("l_quantity in (1, 2, 4, 5, 10)")
-    rows = t.select(F.when(F.col("l_returnflag") == "N", -1).otherwise(1).alias("direction"), F.col("l_discount").alias("commission"), F.col("l_tax").alias("swap"), F.col("l_quantity").alias("volume"))
-    return reconcile.cost_rates(rows).select("direction", *r("commission_rate", "swap_rate"), "n")
-
-
 @query("l12_swap_charges", """WITH t AS (SELECT o_orderkey AS trade_id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS b, (o_orderkey % 5 + 1) * 0.25 AS v FROM orders), n AS (SELECT trade_id, v, unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS d FROM t WHERE a < b),
 k AS (SELECT trade_id, CAST([1, 1, 3, 1, 1, 0, 0][isodow(d)] AS INTEGER) AS nights, v FROM n) SELECT trade_id, CAST(sum(nights) AS BIGINT) AS nights, round(sum(round(-0.5 * v * nights, 2)), 2) AS swap FROM k GROUP BY 1""")
 def l12(spark, sf):
@@ -331,13 +236,6 @@ def x4(spark, sf):
     return run_stream(streams.episode_signals(_as_stream(b)))
 
 
-@query("x5_stream_positions", f"""WITH RECURSIVE {BARS_SQL}, c AS MATERIALIZED (SELECT symbol, bar_idx AS entry_idx, bar_idx + tick_volume AS exit_idx FROM bars WHERE bar_idx % 3 = 0),
-walk AS (SELECT symbol, min(entry_idx) AS entry_idx FROM c GROUP BY 1 UNION ALL SELECT w.symbol, (SELECT min(n.entry_idx) FROM c n WHERE n.symbol = w.symbol AND n.entry_idx > x.exit_idx) FROM walk w JOIN c x USING (symbol, entry_idx)) SELECT 'E' AS experiment_id, symbol, entry_idx, exit_idx FROM c JOIN walk USING (symbol, entry_idx)""")
-def x5(spark, sf):
-    b = fx.bars(spark, sf).filter("bar_idx % 3 = 0").select(F.lit("E").alias("experiment_id"), "symbol", F.col("bar_idx").alias("entry_idx"), (F.col("bar_idx") + F.col("tick_volume")).alias("exit_idx"))
-    return run_stream(streams.one_at_a_time(_as_stream(b)))
-
-
 @query("x6_stream_snapshots", "SELECT c_custkey AS id, round(c_acctbal, 6) AS value FROM customer")
 def x6(spark, sf):
     rows = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
@@ -347,15 +245,10 @@ def x6(spark, sf):
     return spark.read.parquet(path).select("id", *r("value"))
 
 
-@query("x7_stream_signal_ticks", "SELECT s.event_type AS symbol, s.event_id AS signal_id, count(*) AS n FROM events s JOIN events t ON s.event_type = t.event_type AND t.ts BETWEEN s.ts AND s.ts + INTERVAL 30 MINUTE WHERE s.event_id % 20 = 0 GROUP BY 1, 2")
-def x7(spark, sf):
-    s = tick_stream(spark, sf).filter("event_id % 20 = 0").select("symbol", F.col("ts").alias("signal_ts"), F.col("event_id").alias("direction"))
-    t = tick_stream(spark, sf).select("symbol", "ts", "value")
-    df = run_stream(streams.signals_with_ticks(s, t, "30 minutes", "1 day"))
-    return df.groupBy("symbol", F.col("direction").alias("signal_id")).agg(F.count("*").alias("n"))
-
+# Ledgers, balances and signals made of all events, none of which is left out.
 
-# Whole tables: no row is left out. The queries above judge the slice that their SQL twins can follow; these have no twin, tests hold them against plain loops.
+INTERVALS = f"{TIMED}, ev AS (SELECT symbol, time, CASE WHEN event_id % 2 = 0 THEN 'entry' ELSE 'exit' END AS kind FROM tm), iv0 AS (SELECT *, coalesce(lead(time) OVER (PARTITION BY symbol ORDER BY time, CASE WHEN kind = 'exit' THEN 0 ELSE 1 END), 4102444800) AS exit_time FROM ev), iv AS (SELECT symbol, time AS entry_time, exit_time FROM iv0 WHERE kind = 'entry')"
+BAL = f"{TIMED}, bal AS (SELECT symbol, time AS balance_time, max(value) AS balance FROM tm WHERE event_id % 2 = 0 GROUP BY 1, 2), req AS (SELECT * FROM tm WHERE event_id % 2 = 1), seen AS (SELECT req.*, bal.balance_time, bal.balance FROM req ASOF LEFT JOIN bal ON req.symbol = bal.symbol AND req.time >= bal.balance_time)"
 
 
 def _roles(spark, sf) -> DataFrame:
@@ -363,7 +256,7 @@ def _roles(spark, sf) -> DataFrame:
     return _timed(spark, sf).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "entry").otherwise("exit"))
 
 
-@query("s9_pair_deals_whole")
+@query("s9_pair_deals", "SELECT l_suppkey AS account, CAST(l_partkey AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) * 10 AS entry_time, round(l_quantity, 6) AS volume, round(l_tax - l_discount, 6) AS net FROM lineitem")
 def s9_whole(spark, sf):
     """Every order line is a trade of its supplier (account) and part (symbol), which have several."""
     pair = Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
@@ -375,7 +268,10 @@ def s9_whole(spark, sf):
     return ledgers.pair_deals(ins.unionByName(outs)).select("account", "symbol", "entry_time", *r("volume", "net"))
 
 
-@query("l1_classify_signals_whole")
+@query("l1_classify_signals", f"""WITH {INTERVALS}, s AS (SELECT *, time // 300 AS bucket FROM tm), l AS (SELECT symbol, time, direction * CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END AS direction, time // 300 AS bucket FROM tm WHERE event_id % 3 > 0), g AS (SELECT symbol, time // 300 AS bucket, min('r' || event_id % 4) AS reason FROM tm WHERE event_id % 6 = 0 GROUP BY 1, 2),
+j AS (SELECT s.*, EXISTS (SELECT 1 FROM l WHERE l.symbol = s.symbol AND l.bucket = s.bucket AND l.direction = s.direction) AS hit, iv.exit_time, iv.entry_time FROM s ASOF LEFT JOIN (SELECT * FROM iv WHERE entry_time < exit_time) iv ON s.symbol = iv.symbol AND s.time >= iv.entry_time),
+k AS (SELECT j.symbol, j.time, j.direction, CASE WHEN hit THEN 'matched' WHEN entry_time < time AND time < exit_time THEN 'position_open' WHEN reason IS NOT NULL THEN 'guard:' || reason ELSE 'unexplained' END AS class FROM j LEFT JOIN g ON g.symbol = j.symbol AND g.bucket = j.bucket)
+SELECT * FROM k UNION ALL SELECT symbol, time, direction, 'missing_signal' FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = l.symbol AND s.bucket = l.bucket AND s.direction = l.direction)""")
 def l1_whole(spark, sf):
     """Every event is a signal, two in three are ledger entries too and one in six is a guard."""
     t, k = _roles(spark, sf), F.col("event_id")
@@ -385,12 +281,12 @@ def l1_whole(spark, sf):
     return reconcile.classify_signals(t.select("symbol", "time", "direction"), ledger, intervals, guards)
 
 
-@query("l2_open_intervals_whole")
+@query("l2_open_intervals", f"WITH {INTERVALS} SELECT symbol, entry_time, exit_time FROM iv")
 def l2_whole(spark, sf):
     return reconcile.open_intervals(_roles(spark, sf).select("symbol", "time", "kind"), ["symbol"])
 
 
-@query("l3_construction_check_whole")
+@query("l3_construction_check", f"WITH {TIMED} SELECT event_id AS key, {rs('6 * 1.0 - 3 * (2 + CASE WHEN event_id % 5 = 0 THEN 0.1 ELSE 0 END) AS span_error', 'CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END AS midpoint_error')}, event_id % 5 > 0 AS span_ok FROM tm")
 def l3_whole(spark, sf):
     t, k = _timed(spark, sf), F.col("event_id")
     shift = F.when(k % 2 == 0, 0.5).otherwise(0.0)
@@ -405,53 +301,56 @@ def _all_balances(spark, sf):
     return t.filter("event_id % 2 = 1"), t.filter("event_id % 2 = 0").groupBy("symbol", "time").agg(F.max("value").alias("balance"))
 
 
-@query("l5_balance_asof_whole")
+@query("l5_balance_asof", f"WITH {BAL} SELECT event_id, balance_time, {rs('balance')} FROM seen")
 def l5_whole(spark, sf):
     requests, balances = _all_balances(spark, sf)
     return reconcile.balance_asof(requests, balances, ["symbol"]).select("event_id", "balance_time", *r("balance"))
 
 
-@query("l6_volume_check_whole")
+@query("l6_volume_check", f"WITH {BAL}, v AS (SELECT event_id, round(floor(balance * 50 * 0.002 / (0.05 * 100) / 0.01 + 1e-9) * 0.01, 10) AS e, CASE WHEN event_id % 4 = 1 THEN 0.5 END AS volume FROM seen) SELECT event_id, {rs('e AS expected_volume')}, coalesce(abs(coalesce(volume, 0) - e) < 1e-9, false) AS volume_ok FROM v")
 def l6_whole(spark, sf):
     requests, balances = _all_balances(spark, sf)
     asked = requests.withColumn("stop_distance", F.lit(0.05)).withColumn("volume", F.when(F.col("event_id") % 4 == 1, 0.5))
     return reconcile.volume_check(asked, balances.withColumn("balance", F.col("balance") * 50), ["symbol"]).select("event_id", *r("expected_volume"), "volume_ok")
 
 
-@query("l7_entry_tick_whole")
+@query("l7_entry_tick", f"WITH {TICKS_SQL} SELECT a.event_id AS trade_id, min(b.time_msc) AS tick_msc FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND a.time_msc // 1000 = b.time_msc // 1000 WHERE abs(CASE WHEN a.event_id % 2 = 0 THEN b.ask ELSE b.bid END - a.ask) <= 0.005 + 1e-9 GROUP BY 1")
 def l7_whole(spark, sf):
     t = fx.ticks(spark, sf)
     trades = t.select(F.col("event_id").alias("trade_id"), "symbol", F.floor(F.col("time_msc") / 1000).alias("entry_time"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("ask").alias("entry_price"))
     return reconcile.entry_tick(trades, t)
 
 
-@query("l8_first_trigger_whole")
+@query("l8_first_trigger", f"""WITH {TICKS_SQL}, tr AS (SELECT event_id AS trade_id, symbol, time_msc AS anchor, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d, bid FROM ticks),
+h AS (SELECT trade_id, t.time_msc, (CASE WHEN d = 1 THEN t.bid ELSE t.ask END - (tr.bid - d * 40)) * d <= 0 AS s, (CASE WHEN d = 1 THEN t.bid ELSE t.ask END - (tr.bid + d * 60)) * d >= 0 AS g FROM tr JOIN ticks t ON t.symbol = tr.symbol AND t.time_msc > anchor),
+f AS (SELECT trade_id, min(time_msc) AS time_msc FROM h WHERE s OR g GROUP BY 1), k AS (SELECT trade_id, time_msc, bool_or(s) AS s, bool_or(g) AS g FROM h JOIN f USING (trade_id, time_msc) GROUP BY 1, 2) SELECT trade_id, time_msc AS trigger_msc, CASE WHEN s AND g THEN 'AMBIGUOUS' WHEN s THEN 'SL' ELSE 'TP' END AS kind FROM k""")
 def l8_whole(spark, sf):
     t, way = fx.ticks(spark, sf), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
     trades = t.select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("anchor_msc"), way.alias("direction"), (F.col("bid") - way * 40).alias("stop_price"), (F.col("bid") + way * 60).alias("target_price"))
     return reconcile.first_trigger(trades, t, 6 * 3_600_000)
 
 
-@query("l9_delay_endpoints_whole")
+@query("l9_delay_endpoints", f"WITH {TICKS_SQL}, t AS (SELECT symbol, time_msc, min(bid) AS bid FROM ticks GROUP BY 1, 2), e AS (SELECT event_id, symbol, time_msc + 600000 AS due FROM ticks), b AS (SELECT e.*, t.time_msc AS before_msc FROM e ASOF LEFT JOIN t ON e.symbol = t.symbol AND e.due >= t.time_msc) SELECT b.event_id, before_msc, t.time_msc AS after_msc FROM b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.due <= t.time_msc")
 def l9_whole(spark, sf):
     t = fx.ticks(spark, sf)
     return reconcile.delay_endpoints(t.select("event_id", "symbol", "time_msc", F.col("bid").alias("fill")), t, 600_000).select("event_id", "before_msc", "after_msc")
 
 
-@query("l11_cost_rates_whole")
+@query("l11_cost_rates", "SELECT CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END AS direction, round(l_discount / l_quantity, 8) AS commission_rate, round(l_tax / l_quantity, 8) AS swap_rate, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def l11_whole(spark, sf):
     t = fx.table(spark, sf, "lineitem")
     rows = t.select(F.when(F.col("l_returnflag") == "N", -1).otherwise(1).alias("direction"), F.col("l_discount").alias("commission"), F.col("l_tax").alias("swap"), F.col("l_quantity").alias("volume"))
     return reconcile.cost_rates(rows)
 
 
-@query("x5_stream_positions_whole")
+@query("x5_stream_positions", f"""WITH RECURSIVE {BARS_SQL}, c AS MATERIALIZED (SELECT symbol, bar_idx AS entry_idx, bar_idx + tick_volume AS exit_idx FROM bars),
+walk AS (SELECT symbol, min(entry_idx) AS entry_idx FROM c GROUP BY 1 UNION ALL SELECT x.symbol, n.entry_idx FROM walk w JOIN c x USING (symbol, entry_idx) JOIN c n ON n.symbol = x.symbol AND n.entry_idx = x.exit_idx + 1) SELECT 'E' AS experiment_id, symbol, entry_idx, exit_idx FROM c JOIN walk USING (symbol, entry_idx)""")
 def x5_whole(spark, sf):
     b = fx.bars(spark, sf).select(F.lit("E").alias("experiment_id"), "symbol", F.col("bar_idx").alias("entry_idx"), (F.col("bar_idx") + F.col("tick_volume")).alias("exit_idx"))
     return run_stream(streams.one_at_a_time(_as_stream(b)))
 
 
-@query("x7_stream_signal_ticks_whole")
+@query("x7_stream_signal_ticks", "SELECT s.event_type AS symbol, s.event_id AS signal_id, count(*) AS n FROM events s JOIN events t ON s.event_type = t.event_type AND t.ts BETWEEN s.ts AND s.ts + INTERVAL 30 MINUTE GROUP BY 1, 2")
 def x7_whole(spark, sf):
     s = tick_stream(spark, sf).select("symbol", F.col("ts").alias("signal_ts"), F.col("event_id").alias("direction"))
     t = tick_stream(spark, sf).select("symbol", "ts", "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -366,23 +368,27 @@ def v15(spark, sf):
 
 def evidence(spark, sf):
     t, f = lines(spark, sf), folded(spark, sf)
-    sums = validation.summarize_folds(f, ["experiment_id"])
+    rolling = validation.summarize_folds(f, ["experiment_id"])
+    expanding = validation.summarize_folds(validation.fold_metrics(t, validation.expanding_folds(t), ["experiment_id"]), ["experiment_id"])
     report = validation.stress_report(stressed(spark, sf))
     boot = validation.bootstrap_days(t, ["experiment_id"], 20, 5)
-    return validation.robustness_evidence(sums, sums, f, report, boot, validation.top_trade_removal(t, ["experiment_id"]))
+    return validation.robustness_evidence(expanding, rolling, f, report, boot, validation.top_trade_removal(t, ["experiment_id"]))
 
 
-EVID = f"{STRESSED}, {FSUM[len(FOLDED) + 1 :].lstrip()}, {REMOVED[len(TRADES_SQL) + 1 :].lstrip()}, five AS (SELECT experiment_id, net_profit AS five_net FROM rm WHERE removed = 5), ev AS (SELECT * FROM fsum JOIN rep USING (experiment_id) JOIN five USING (experiment_id))"
+#: The summary of expanding folds, under names of its own.
+EXPANDED = re.sub(r"\b(folds|ft|folded|fsum)\b", r"x\1", EXPANDING[len(MONTHS) + 1 :].lstrip() + FSUM[len(ROLLING) :])
+EVID = f"""{STRESSED}, {FSUM[len(FOLDED) + 1 :].lstrip()}, {EXPANDED}, {REMOVED[len(TRADES_SQL) + 1 :].lstrip()}, five AS (SELECT experiment_id, net_profit AS five_net FROM rm WHERE removed = 5),
+ev AS (SELECT * FROM fsum JOIN rep USING (experiment_id) JOIN five USING (experiment_id) JOIN (SELECT experiment_id, validation_joint_stability_fraction AS expanding_joint FROM xfsum) USING (experiment_id))"""
 
 
-@query("v16_robustness_evidence", f"WITH {EVID} SELECT experiment_id, {rs('validation_joint_stability_fraction AS expanding_validation_joint_stability_fraction', 'median_validation_pf', 'parameter_stability_pct', 'cost_stability_pct', 'five_net AS top_five_removal_net_profit')} FROM ev")
+@query("v16_robustness_evidence", f"WITH {EVID} SELECT experiment_id, {rs('expanding_joint AS expanding_validation_joint_stability_fraction', 'validation_joint_stability_fraction AS rolling_validation_joint_stability_fraction', 'median_validation_pf', 'parameter_stability_pct', 'cost_stability_pct', 'five_net AS top_five_removal_net_profit')} FROM ev")
 def v16(spark, sf):
-    return evidence(spark, sf).select("experiment_id", *r("expanding_validation_joint_stability_fraction", "median_validation_pf", "parameter_stability_pct", "cost_stability_pct", "top_five_removal_net_profit"))
+    return evidence(spark, sf).select("experiment_id", *r("expanding_validation_joint_stability_fraction", "rolling_validation_joint_stability_fraction", "median_validation_pf", "parameter_stability_pct", "cost_stability_pct", "top_five_removal_net_profit"))
 
 
-ROBUST = f"""{EVID}, tot2 AS (SELECT experiment_id, {PFX.format(w='true')} AS pf FROM trades GROUP BY 1), rd AS (SELECT *, list_filter([CASE WHEN validation_joint_stability_fraction < 0.6 THEN 'expanding_walkforward_below_60_pct' END, CASE WHEN validation_joint_stability_fraction < 0.6 THEN 'rolling_walkforward_below_60_pct' END, CASE WHEN median_validation_pf < 1.05 THEN 'median_validation_pf_below_1_05' END,
+ROBUST = f"""{EVID}, tot2 AS (SELECT experiment_id, {PFX.format(w='true')} AS pf FROM trades GROUP BY 1), rd AS (SELECT *, list_filter([CASE WHEN expanding_joint < 0.6 THEN 'expanding_walkforward_below_60_pct' END, CASE WHEN validation_joint_stability_fraction < 0.6 THEN 'rolling_walkforward_below_60_pct' END, CASE WHEN median_validation_pf < 1.05 THEN 'median_validation_pf_below_1_05' END,
  CASE WHEN parameter_stability_pct < 60 THEN 'parameter_stability_below_60_pct' END, CASE WHEN cost_stability_pct < 50 THEN 'cost_stability_below_50_pct' END, CASE WHEN stress_max_drawdown_pct > 5 THEN 'stress_drawdown_above_5_pct' END, CASE WHEN five_net < 0 THEN 'top_five_removal_turns_negative' END, CASE WHEN pf < 1.1 THEN 'baseline_pf_below_1_10' END], lambda x: x IS NOT NULL) AS reasons,
- 15 * {clip('(validation_joint_stability_fraction + parameter_stability_pct / 100 + cost_stability_pct / 100) / 3')} AS robustness_component FROM ev JOIN tot2 USING (experiment_id))"""
+ 15 * {clip('((expanding_joint + validation_joint_stability_fraction) / 2 + parameter_stability_pct / 100 + cost_stability_pct / 100) / 3')} AS robustness_component FROM ev JOIN tot2 USING (experiment_id))"""
 
 
 @query("v17_robust_decision", f"WITH {ROBUST} SELECT experiment_id, array_to_string(reasons, ';') AS reasons, {rs('robustness_component')} FROM rd")

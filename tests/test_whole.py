@@ -45,7 +45,7 @@ def intervals(of):
 
 def test_intervals_and_classes(spark, sf, ticks, of):
     want = intervals(of)
-    assert sorted(map(tuple, rows(spark, sf, "l2_open_intervals_whole"))) == sorted(want)
+    assert sorted(map(tuple, rows(spark, sf, "l2_open_intervals"))) == sorted(want)
     out, seen, signalled, guards = [], set(), set(), collections.defaultdict(list)
     ledger = [(t["symbol"], t["time"], t["way"] * (-1 if t["event_id"] % 5 == 0 else 1)) for t in ticks if t["event_id"] % 3]
     seen = {(s, at // 300, way) for s, at, way in ledger}
@@ -63,11 +63,11 @@ def test_intervals_and_classes(spark, sf, ticks, of):
             kind = "guard:" + min(guards[s, at // 300]) if guards[s, at // 300] else "unexplained"
         out.append((s, at, way, kind))
     out += [(s, at, way, "missing_signal") for s, at, way in ledger if (s, at // 300, way) not in signalled]
-    assert sorted(map(tuple, rows(spark, sf, "l1_classify_signals_whole"))) == sorted(out)
+    assert sorted(map(tuple, rows(spark, sf, "l1_classify_signals"))) == sorted(out)
 
 
 def test_construction(spark, sf, ticks):
-    got = {x.key: (x.span_error, x.midpoint_error, x.span_ok) for x in rows(spark, sf, "l3_construction_check_whole")}
+    got = {x.key: (x.span_error, x.midpoint_error, x.span_ok) for x in rows(spark, sf, "l3_construction_check")}
     assert len(got) == len(ticks)
     for t in ticks:
         k = t["event_id"]
@@ -75,8 +75,8 @@ def test_construction(spark, sf, ticks):
 
 
 def test_balances_and_volumes(spark, sf, ticks, of):
-    balance = {x.event_id: (x.balance_time, x.balance) for x in rows(spark, sf, "l5_balance_asof_whole")}
-    volume = {x.event_id: (x.expected_volume, x.volume_ok) for x in rows(spark, sf, "l6_volume_check_whole")}
+    balance = {x.event_id: (x.balance_time, x.balance) for x in rows(spark, sf, "l5_balance_asof")}
+    volume = {x.event_id: (x.expected_volume, x.volume_ok) for x in rows(spark, sf, "l6_volume_check")}
     asked = [t for t in ticks if t["event_id"] % 2]
     assert set(balance) == set(volume) == {t["event_id"] for t in asked}
     for t in asked:
@@ -107,23 +107,23 @@ def test_ticks_of_trades(spark, sf, ticks, of):
         if kinds:
             at = min(kinds)
             trigger[k] = (at, "AMBIGUOUS" if len(kinds[at]) > 1 else min(kinds[at]))
-    assert {x.trade_id: x.tick_msc for x in rows(spark, sf, "l7_entry_tick_whole")} == entry
-    assert {x.trade_id: (x.trigger_msc, x.kind) for x in rows(spark, sf, "l8_first_trigger_whole")} == trigger
-    assert {x.event_id: (x.before_msc, x.after_msc) for x in rows(spark, sf, "l9_delay_endpoints_whole")} == ends
+    assert {x.trade_id: x.tick_msc for x in rows(spark, sf, "l7_entry_tick")} == entry
+    assert {x.trade_id: (x.trigger_msc, x.kind) for x in rows(spark, sf, "l8_first_trigger")} == trigger
+    assert {x.event_id: (x.before_msc, x.after_msc) for x in rows(spark, sf, "l9_delay_endpoints")} == ends
 
 
 def test_order_lines(spark, sf):
     lines = fx.table(spark, sf, "lineitem").collect()
     rates = collections.Counter((-1 if x.l_returnflag == "N" else 1, round(float(x.l_discount / x.l_quantity), 6), round(float(x.l_tax / x.l_quantity), 6)) for x in lines)
     got = collections.Counter()
-    for x in rows(spark, sf, "l11_cost_rates_whole"):
+    for x in rows(spark, sf, "l11_cost_rates"):
         got[x.direction, round(x.commission_rate, 6), round(x.swap_rate, 6)] += x.n
     assert got.total() == len(lines) and got == rates
     pairs = collections.defaultdict(list)
     for x in sorted(lines, key=lambda x: (x.l_shipdate, x.l_orderkey, x.l_linenumber)):
         pairs[x.l_suppkey, str(x.l_partkey)].append((float(x.l_quantity), round(float(x.l_tax - x.l_discount), 6)))
     want = sorted((*k, 10 * (i + 1), *v) for k, own in pairs.items() for i, v in enumerate(own))
-    got = sorted(map(tuple, rows(spark, sf, "s9_pair_deals_whole")))
+    got = sorted(map(tuple, rows(spark, sf, "s9_pair_deals")))
     assert [x[:4] for x in got] == [x[:4] for x in want] and max(map(len, pairs.values())) > 1
     assert [x[4] for x in got] == pytest.approx([x[4] for x in want], abs=1e-5)
 
@@ -139,10 +139,10 @@ def test_streams(spark, sf, of):
             if b.bar_idx > free:
                 free = b.bar_idx + b.tick_volume
                 want.append((s, b.bar_idx, free))
-    assert sorted((x.symbol, x.entry_idx, x.exit_idx) for x in rows(spark, sf, "x5_stream_positions_whole")) == sorted(want)
+    assert sorted((x.symbol, x.entry_idx, x.exit_idx) for x in rows(spark, sf, "x5_stream_positions")) == sorted(want)
     times = {r.event_id: r.ts for r in fx.events(spark, sf).collect()}
     near = {(s, t["event_id"]): sum(0 <= (times[x["event_id"]] - times[t["event_id"]]).total_seconds() <= 1800 for x in own) for s, own in of.items() for t in own}
-    assert {(x.symbol, x.signal_id): x.n for x in rows(spark, sf, "x7_stream_signal_ticks_whole")} == near
+    assert {(x.symbol, x.signal_id): x.n for x in rows(spark, sf, "x7_stream_signal_ticks")} == near
 
 
 def test_resampling_has_the_full_number_of_samples(spark, sf, monkeypatch):

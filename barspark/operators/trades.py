@@ -19,7 +19,8 @@ from barspark.operators.frames import Frames
 from barspark.operators.scan import asof, non_overlapping
 
 POINT, DIGITS, CONTRACT = 0.01, 2, 1.0
-HORIZONS = (64, 512, 4096)
+#: Bars that are looked at in turn. Most trades end within the first few, and only the rest goes on.
+HORIZONS = (16, 128, 2048)
 _BUCKET = 256
 KEY = ["experiment_id", "symbol", "entry_idx"]
 
@@ -60,11 +61,19 @@ def first_barrier(cands: DataFrame, bars: DataFrame, horizon: int | None) -> Dat
 
     A stop counts before a target on the same bar. A trailing stop moves on each bar's close and holds from the next bar on. Time runs out by minutes since the entry, at the close, but not on the entry bar.
     """
+    fixed = _path(cands.filter("atr_trail is null"), bars, horizon).withColumn("_stop", c("stop_price"))
     long_ = c("direction") == 1
     moved = F.when(c("bar_atr") > 0, round_price(c("close") - c("direction") * c("atr_trail") * c("bar_atr"), DIGITS))
     before = Window.partitionBy(*KEY).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, -1)
-    df = _path(cands, bars, horizon).withColumn("_moved", moved)
-    df = df.withColumn("_stop", F.when(long_, F.greatest("stop_price", F.max("_moved").over(before))).otherwise(F.least("stop_price", F.min("_moved").over(before))))
+    moving = _path(cands.filter("atr_trail is not null"), bars, horizon).withColumn("_moved", moved)
+    moving = moving.withColumn("_stop", F.when(long_, F.greatest("stop_price", F.max("_moved").over(before))).otherwise(F.least("stop_price", F.min("_moved").over(before))))
+    # Only stops that move need the bars of a candidate in order; the first bar that ends the others is found by partial minima.
+    return _first_end(fixed).unionByName(_first_end(moving))
+
+
+def _first_end(df: DataFrame) -> DataFrame:
+    """Of bars of candidates with the stop that holds on each (_stop), the first one that ends the trade."""
+    long_ = c("direction") == 1
     gap = c("exit_spread") * POINT
     hit_stop = F.when(long_, c("low") <= c("_stop")).otherwise(c("high") + gap >= c("_stop"))
     hit_target = F.coalesce(F.when(long_, c("high") >= c("target_price")).otherwise(c("low") + gap <= c("target_price")), F.lit(False))

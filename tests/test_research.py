@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barspark.operators import experiments as ex
-from barspark.operators import metrics, quality, signals, validation
+from barspark.operators import frames, metrics, quality, signals, validation
 from barspark.sources import bars as bar_files
 from barspark.sources import ledgers
 from barspark.streaming import streams
@@ -159,3 +160,19 @@ def test_percentiles_of_ties(spark):
     assert got == {4: 0.0, 1: 0.2, 2: 0.5, 3: 0.5, 0: 0.8, 5: 1.0}
     assert validation.tie_averaged_percentile(df.limit(0), "v").count() == 0
     assert [r.idx for r in ex.spread_sample(df, "k", 3).orderBy("idx").collect()] == [0, 2, 5]
+
+
+def test_sliding_windows_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    values = {k: [None if rng.random() < 0.002 else float(np.round(rng.normal(), 1)) for _ in range(n)] for k, n in (("A", 9000), ("B", 30))}
+    df = spark.createDataFrame([(k, i, v, i % 2 == 0) for k, own in values.items() for i, v in enumerate(own)], "symbol string, bar_idx long, v double, flag boolean").repartition(5)
+    w = frames.Frames("symbol")
+    got = {(r.symbol, r.bar_idx): r for r in frames.sliding(frames.with_quantile(df, "v", 0.9, 25, w, "q"), "v", 25, w, "s", lambda x: x[:, -1] - x[:, 0], own=True).collect()}
+    assert len(got) == 9030
+    for (k, i), r in got.items():
+        own = values[k]
+        before, upto = own[max(0, i - 25) : i], own[max(0, i - 24) : i + 1]
+        assert r.v == own[i] and r.flag == (i % 2 == 0)
+        assert r.q == (pytest.approx(np.percentile(before, 90), abs=1e-12) if len(before) == 25 and None not in before else None)
+        assert r.s == (pytest.approx(upto[-1] - upto[0]) if len(upto) == 25 and None not in upto else None)
+    assert sum(r.q is None for r in got.values()) > 200

@@ -716,3 +716,15 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == n[4]
     assert key(out.collect()) == key(corpus_pipeline.run(spark, sf).collect())
+
+
+def test_clean_up_deletes_the_session_folder(spark):
+    from pathlib import Path
+
+    from barspark.llm.shared import clean_up, kept, session_folder
+
+    kept(spark.range(3), "some")
+    folder = Path(session_folder(spark).removeprefix("file://").removeprefix("file:"))
+    assert folder.is_dir()
+    clean_up(spark)
+    assert not folder.exists() and folder.parent.exists()

@@ -20,7 +20,8 @@ from barspark.llm.shared import kept, row_key
 WINDOW, SAME = 13, 11
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 TOKEN = r"[\p{L}\p{N}]+"
-#: The seeds of so many rows are broadcast (some 50 MB); more are joined by shuffle.
+#: The seeds of so many rows are broadcast (some 50 MB); more are joined by shuffle. An item of n tokens has 2n - 15 seeds, so the items themselves,
+#: of at least WINDOW tokens each, are then of at most 1.2 million tokens (some 10 MB).
 MOST_BROADCAST = 1_000_000
 
 

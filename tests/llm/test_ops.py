@@ -151,8 +151,9 @@ def test_mix(which, request, spark, empty):
         taken[r.source] += r.taken
         assert r.taken <= 3 * r.size and r.source_size == sizes[r.source]
         assert r.target == pytest.approx(want[r.source])
-    for s in sizes:  # within half of a document that could have been taken once more or less
-        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], max(r.size for r in got if r.source == s) / 2)
+    for s in sizes:  # within 2 %, or where a source has few documents, within half of its largest
+        few = sum(r.source == s for r in got) < 20
+        assert abs(taken[s] - want[s]) <= (max(r.size for r in got if r.source == s) / 2 if few else 0.02 * want[s]), s
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
     assert key(got) == key(mixing.mix_sources(df.repartition(3)).collect())
     assert mixing.mix_sources(empty).count() == mixing.take_mix(empty).count() == 0

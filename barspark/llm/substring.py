@@ -115,9 +115,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     masks = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
     marks = masks.unionByName(runs.filter("n > 1").select("anchor", "run", F.lit(-1).cast("long").alias("mask")))
-    marks = marks.groupBy("anchor", "run").agg(F.bit_or("mask").alias("mask"))
+    marks = kept(marks.groupBy("anchor", "run").agg(F.bit_or("mask").alias("mask")), "marks")
     alike = shared.filter("alike").select("row_key", "span", F.lit(-1).cast("long").alias("mask"))
-    return unlike.join(marks, ["anchor", "run"]).select("row_key", "span", "mask").unionByName(alike)
+    # A table on both sides, so that a run of many occurrences can be split; its mark is one row.
+    return unlike.join(marks.hint("merge"), ["anchor", "run"]).select("row_key", "span", "mask").unionByName(alike)
 
 
 def _cut(length: int):

@@ -30,15 +30,22 @@ TRAIN_DOCS = 1500
 HELD_OUT = 5
 CHUNK = 1 << 20
 
-#: Numbers such as ½, ² and Ⅷ, which \w holds though they are neither letters nor digits.
+#: Numbers such as ½, ² and Ⅷ, which \w holds though they are neither letters nor digits. They have patterns of their own, up to U+FFFF and beyond it, as a pattern is fast only if it names plain characters.
 _NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBER, _WIDE_NUMBER = (re.compile(f"[{''.join(c for c in _NUMBERS if (c > chr(0xFFFF)) == wide)}]") for wide in (False, True))
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+_OTHER = re.compile(r"[\W\d_]+")
 _START = "\0" * ORDER
 
 
 def normal(text: str) -> bytes:
     """Lower-cased letters, single spaces around each run, behind the start mark; b"" if there is no letter."""
-    words = _OTHER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii():
+        text = _NUMBER.sub(" ", text)
+        if _WIDE.search(text):
+            text = _WIDE_NUMBER.sub(" ", text)
+    words = _OTHER.sub(" ", text).strip()
     return f"{_START} {words} ".encode() if words else b""
 
 

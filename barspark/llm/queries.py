@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontaminate, jaccard, language, mixing, pii, quality, sharding, substring, token_files, warc
+from barspark.llm import byte_bpe, decontaminate, fill_middle, jaccard, language, mixing, pii, quality, sharding, substring, token_files, warc
 from barspark.llm.shared import new_folder
 
 TOKENIZER_FILE, END_ID, SHARDS = "byte_bpe_50k.json", 0, 8
+RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,18 @@ def op10_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "text_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANKS_FILE)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 dt AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM d),
@@ -144,13 +157,26 @@ counts AS (SELECT x AS n, count(*) AS n_links FROM links GROUP BY x)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, text_id FROM d JOIN texts USING (text) JOIN classes USING (n) LEFT JOIN counts USING (n)
 """
 
+#: Units are lines; the parts follow from the first four groups of the hash.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || x[8 * i + 1 : 8 * i + 8] AS BIGINT) for i in range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, array_to_string(u[: a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 :], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM s
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_spaced_seed_decontamination, op2_warc_bundles, op3_substring_dedup, op4_cube_mixing, op5_token_files, op6_language_ppm, op7_repetition_coverage, op8_hypergeometric_shards, op9_personal_data, op10_jaccard_forest)
+    ops = (op1_spaced_seed_decontamination, op2_warc_bundles, op3_substring_dedup, op4_cube_mixing, op5_token_files, op6_language_ppm, op7_repetition_coverage, op8_hypergeometric_shards, op9_personal_data, op10_jaccard_forest, op11_fill_in_middle, op13_byte_bpe_replay)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL, "op10_jaccard_forest": OP10_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL, "op10_jaccard_forest": OP10_SQL, "op11_fill_in_middle": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import byte_bpe, decontaminate, fill_middle, jaccard, language, mixing, pii, quality, sharding, substring, token_files, warc
+from barspark.llm import byte_bpe, decontaminate, fill_middle, jaccard, language, mixing, pii, prefix_trie, quality, sharding, substring, token_files, warc
 from barspark.llm.shared import new_folder
 
 TOKENIZER_FILE, END_ID, SHARDS = "byte_bpe_50k.json", 0, 8
@@ -74,6 +74,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -170,13 +174,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(text) AS restored_sha256 FROM s
 """
 
+#: The unsigned crc32 of a text v of plain characters, bit by bit, as this SQL has no such function.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(v, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b:
+  list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295)"""
+
+#: A node is the list of hashes of its turns; its ancestors are the prefixes of its smallest member at lower depths.
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), x) AS nth, x, n FROM
+    (SELECT conv_id, turn, role, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS first, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS v FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, nth, x, n FROM c JOIN t ON t.conv_id = first AND nth <= h UNION ALL SELECT conv_id, 1, nth, x, n FROM c JOIN t USING (conv_id) WHERE nth > h),
+o AS (SELECT conv_id, x, n, row_number() OVER w AS depth, string_agg(x, '') OVER w AS seq FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth)),
+m AS (SELECT conv_id, depth, seq, n FROM o UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+k AS (SELECT seq, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(n) AS n FROM m GROUP BY seq),
+p AS (SELECT m.conv_id, m.depth, k.conv_id AS top FROM m JOIN k USING (seq)),
+f AS (SELECT k.*, p.top AS parent_conv_id FROM k LEFT JOIN p ON p.conv_id = k.conv_id AND p.depth = k.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY ALL),
+g AS (SELECT f.*, coalesce(n_children, 0) AS n_children FROM f LEFT JOIN kids USING (conv_id, depth)),
+s AS (SELECT p.top AS conv_id, p.depth, count(*) FILTER (g.n_children = 0) AS n_leaves, sum((g.n_convs - 1) * g.n) AS saved_tokens FROM g JOIN p ON p.conv_id = g.conv_id AND p.depth <= g.depth GROUP BY ALL),
+e AS (SELECT seq, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(seq, depth) AS seq FROM m GROUP BY conv_id) GROUP BY seq)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN s USING (conv_id, depth) LEFT JOIN e USING (seq)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_spaced_seed_decontamination, op2_warc_bundles, op3_substring_dedup, op4_cube_mixing, op5_token_files, op6_language_ppm, op7_repetition_coverage, op8_hypergeometric_shards, op9_personal_data, op10_jaccard_forest, op11_fill_in_middle, op13_byte_bpe_replay)
+    ops = (op1_spaced_seed_decontamination, op2_warc_bundles, op3_substring_dedup, op4_cube_mixing, op5_token_files, op6_language_ppm, op7_repetition_coverage, op8_hypergeometric_shards, op9_personal_data, op10_jaccard_forest, op11_fill_in_middle, op12_prefix_trie, op13_byte_bpe_replay)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL, "op10_jaccard_forest": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_repetition_coverage": OP7_SQL, "op10_jaccard_forest": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_prefix_trie": OP12_SQL}

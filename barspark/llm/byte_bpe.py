@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text, and new words, that are encoded together; words that a worker remembers.
-BLOCK_CHARS, BLOCK_WORDS, REMEMBERED = 16_000_000, 400_000, 1_000_000
+BLOCK_CHARS, BLOCK_WORDS, REMEMBERED = 4_000_000, 150_000, 300_000
 #: Longer texts are cut into words one by one.
 LONG_TEXT = 1_000_000
 #: No such pair.
@@ -37,16 +37,21 @@ NONE = np.iinfo(np.int64).max
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
+@lru_cache(maxsize=2)
+def read_tokens(path: str) -> dict[int, bytes]:
+    """The tokens of a rank file by rank; it has a line for each, of its bytes in base64 and its rank."""
+    with open(path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+
+
 class Ranks:
-    """A rank file (a line for each token: its bytes in base64, its rank) and the pairs of tokens that make a token."""
+    """The ranks of the tokens of a rank file, and the pairs of tokens that make a token."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.token = {r: t for t, r in self.rank.items()}
+        self.rank = {t: r for r, t in read_tokens(path).items()}
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.base = max(self.token) + 2  # one more than any rank, for the end of a word
-        halves = [(t[:i], t[i:], r) for t, r in self.rank.items() for i in range(1, len(t))]
+        self.base = max(self.rank.values()) + 2  # one more than any rank, for the end of a word
+        halves = ((t[:i], t[i:], r) for t, r in self.rank.items() for i in range(1, len(t)))
         pairs = np.array(sorted((self.rank[a] * self.base + self.rank[b], r) for a, b, r in halves if a in self.rank and b in self.rank))
         self.pairs, self.made = pairs[:, 0].copy(), pairs[:, 1].copy()
         #: Tokens that are part of a token of a lower rank.
@@ -202,11 +207,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> dict[int, bytes]:
-    return Ranks(path).token
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each document."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -239,7 +239,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     columns = ["doc_id", "n_tokens", "ids"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _tokens(ranks_path)
+        token = read_tokens(ranks_path)
         for batch in batches:
             found = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in (x.as_py() for x in batch["ids"])]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(found, pa.binary())], names=[*columns, "decoded"])

@@ -31,6 +31,10 @@ class Frames:
     def before(self) -> WindowSpec:
         return self.base.rowsBetween(Window.unboundedPreceding, -1)
 
+    def framed(self, df: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """df with the frames of a rule, which add computes."""
+        return add(df)
+
     def lag(self, c: str | Column, n: int = 1) -> Column:
         return F.lag(c, n).over(self.base)
 
@@ -38,6 +42,13 @@ class Frames:
         return F.lead(c, n).over(self.base)
 
 
+class GivenFrames(Frames):
+    """Frames of rows that have the frames of their rules as columns."""
+
+    def framed(self, df: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return df
+
+
 def full(value: Column, source: str | Column, n: int, frame: WindowSpec) -> Column:
     """value where the frame holds n known values of source, else null."""
     source = F.col(source) if isinstance(source, str) else source

@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 from barspark.functions.calendar import epoch
 from barspark.functions.prices import entry_price, exit_price, lot_for_stop, round_price
 from barspark.functions.store import checkpointed
+from barspark.operators.barriers import first_barrier
 from barspark.operators.frames import Frames
 from barspark.operators.scan import asof, non_overlapping
 
 POINT, DIGITS, CONTRACT = 0.01, 2, 1.0
-#: Bars that are looked at in turn. Most trades end within the first few, and only the rest goes on.
-HORIZONS = (16, 128, 2048)
-_BUCKET = 256
 KEY = ["experiment_id", "symbol", "entry_idx"]
 
 
@@ -46,58 +44,9 @@ def bracket_levels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("planned_risk", F.abs(c("entry_price") - c("stop_price")) * CONTRACT * c("lot"))
 
 
-def _path(cands: DataFrame, bars: DataFrame, horizon: int | None) -> DataFrame:
-    """The bars from entry on, up to the horizon. Both sides carry the number of a stretch of bars, so that the range join is an equi-join."""
-    last = bars.groupBy("symbol").agg(F.max("bar_idx").alias("last_idx"))
-    own = cands.select(*KEY, "direction", "stop_price", "target_price", "time_exit_minutes", "atr_trail", "entry_ts").join(F.broadcast(last) if horizon is None else last, "symbol")
-    end = c("last_idx") if horizon is None else F.least(c("entry_idx") + horizon - 1, c("last_idx"))
-    own = own.withColumn("_until", end).withColumn("_stretch", F.explode(F.sequence(F.floor(c("entry_idx") / _BUCKET), F.floor(c("_until") / _BUCKET))))
-    side = bars.select("symbol", "bar_idx", F.floor(c("bar_idx") / _BUCKET).alias("_stretch"), "bar_ts", "open", "high", "low", "close", c("spread").alias("exit_spread"), c("atr").alias("bar_atr"))
-    return own.join(side, ["symbol", "_stretch"]).filter((c("bar_idx") >= c("entry_idx")) & (c("bar_idx") <= c("_until")))
-
-
-def first_barrier(cands: DataFrame, bars: DataFrame, horizon: int | None) -> DataFrame:
-    """For each candidate the first bar that ends it: exit_idx, raw_exit, exit_reason, exit_spread, exit_ts. Without one up to the horizon there is no row, but the last bar of the data ends all.
-
-    A stop counts before a target on the same bar. A trailing stop moves on each bar's close and holds from the next bar on. Time runs out by minutes since the entry, at the close, but not on the entry bar.
-    """
-    fixed = _path(cands.filter("atr_trail is null"), bars, horizon).withColumn("_stop", c("stop_price"))
-    long_ = c("direction") == 1
-    moved = F.when(c("bar_atr") > 0, round_price(c("close") - c("direction") * c("atr_trail") * c("bar_atr"), DIGITS))
-    before = Window.partitionBy(*KEY).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, -1)
-    moving = _path(cands.filter("atr_trail is not null"), bars, horizon).withColumn("_moved", moved)
-    moving = moving.withColumn("_stop", F.when(long_, F.greatest("stop_price", F.max("_moved").over(before))).otherwise(F.least("stop_price", F.min("_moved").over(before))))
-    # Only stops that move need the bars of a candidate in order; the first bar that ends the others is found by partial minima.
-    return _first_end(fixed).unionByName(_first_end(moving))
-
-
-def _first_end(df: DataFrame) -> DataFrame:
-    """Of bars of candidates with the stop that holds on each (_stop), the first one that ends the trade."""
-    long_ = c("direction") == 1
-    gap = c("exit_spread") * POINT
-    hit_stop = F.when(long_, c("low") <= c("_stop")).otherwise(c("high") + gap >= c("_stop"))
-    hit_target = F.coalesce(F.when(long_, c("high") >= c("target_price")).otherwise(c("low") + gap <= c("target_price")), F.lit(False))
-    minutes = (epoch(c("bar_ts")) - epoch(c("entry_ts"))) / 60.0
-    late = F.coalesce((c("bar_idx") > c("entry_idx")) & (minutes >= c("time_exit_minutes")), F.lit(False))
-    ended = c("bar_idx") == c("last_idx")
-    stop_bid = F.when(long_, F.least("_stop", "open")).otherwise(F.greatest(c("_stop") - gap, c("open")))
-    target_bid = F.when(long_, c("target_price")).otherwise(c("target_price") - gap)
-    df = df.withColumn("_reason", F.when(hit_stop & hit_target, "stop_same_bar_ambiguous").when(hit_stop & (F.abs(c("_stop") - c("stop_price")) > 1e-12), "trail").when(hit_stop, "stop").when(hit_target, "target").when(late, "time").when(ended, "end_of_data"))
-    df = df.withColumn("_raw", F.when(hit_stop, stop_bid).when(hit_target, target_bid).otherwise(c("close"))).filter("_reason is not null")
-    first = df.groupBy(*KEY).agg(F.min_by(F.struct(c("bar_idx").alias("exit_idx"), c("_raw").alias("raw_exit"), c("_reason").alias("exit_reason"), "exit_spread", c("bar_ts").alias("exit_ts")), "bar_idx").alias("x"))
-    return first.select(*KEY, "x.*")
-
-
 def outcomes(cands: DataFrame, bars: DataFrame) -> DataFrame:
-    """first_barrier of every candidate: most end soon, so few go on to the longer horizons."""
-    left, done = cands, None
-    for horizon in (*HORIZONS, None):
-        found = checkpointed(first_barrier(left, bars, horizon))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*KEY), KEY, "left_anti")
-        if horizon is not None and left.isEmpty():
-            break
-    return done
+    """For each candidate the first bar that ends it: exit_idx, raw_exit, exit_reason, exit_spread, exit_ts."""
+    return first_barrier(cands.withColumn("entry_time", epoch(c("entry_ts")).cast("double")), bars, KEY, epoch(c("bar_ts")), POINT, DIGITS)
 
 
 def trade_economics(trades: DataFrame) -> DataFrame:

@@ -81,7 +81,6 @@ def test_a_table_of_experiments_gives_each_its_rule(spark):
             for k, d in rule.domain.items():
                 p[k] = random.choice(d) if isinstance(d[0], str) else random.randint(d[0], min(d[1], d[0] + 6)) if isinstance(d[0], int) else round(random.uniform(*d), 3)
             runs.append((f"{name}{len(runs)}", name, p))
-    runs = [r for r in runs if not r[1].startswith(("compression_breakout_retest", "prior_session_sweep"))]
     numbers = lambda p: {k: float(v) for k, v in p.items() if not isinstance(v, str)}
     words = lambda p: {k: v for k, v in p.items() if isinstance(v, str)}
     table = spark.createDataFrame([(e, n, numbers(p), words(p)) for e, n, p in runs], "experiment_id string, strategy string, params map<string,double>, cat_params map<string,string>")
@@ -93,8 +92,22 @@ def test_a_table_of_experiments_gives_each_its_rule(spark):
         assert got.get(e, set()) == want, (e, p)
     assert sum(map(len, got.values())) > 500
     assert signals.evaluate_table(bars, table.limit(0)).count() == 0
-    with pytest.raises(Exception, match="outside of its domain"):
-        signals.evaluate_table(bars, spark.createDataFrame([("x", "sma_slope", {"lookback": 9.0, "slope_horizon": 1.0, "threshold_atr": 7.0})], "experiment_id string, strategy string, params map<string,double>")).collect()
+
+
+def test_bad_experiments_are_rows_with_errors(spark):
+    good = {"lookback": 9.0, "slope_horizon": 1.0}
+    table = [
+        ("fine", "sma_slope", good, None), ("also", "sma_slope", good | {"threshold_atr": 0.5}, {}), ("rule", "no_such_rule", good, None), ("name", "sma_slope", good | {"length": 3.0}, None), ("high", "sma_slope", good | {"threshold_atr": 7.0}, None),
+        ("none", "sma_slope", {"lookback": 9.0}, None), ("null", "sma_slope", {"lookback": None, "slope_horizon": 1.0}, None), ("half", "sma_slope", {"lookback": 9.5, "slope_horizon": 1.0}, None), ("text", "session_open_momentum", {}, {"session": "moon"}), (None, "sma_slope", good, None), ("nothing", None, None, None),
+    ]
+    table = spark.createDataFrame(table, "experiment_id string, strategy string, params map<string,double>, cat_params map<string,string>")
+    found = {r.experiment_id: r.error for r in signals.with_errors(table).collect()}
+    assert found == {
+        "fine": None, "also": None, "rule": "there is no rule no_such_rule", "name": "there is no parameter length", "high": "threshold_atr is outside of its domain", "none": "no value of slope_horizon",
+        "null": "lookback is outside of its domain", "half": "lookback is no whole number", "text": "session is outside of its domain", None: "no experiment_id", "nothing": "there is no rule null",
+    }
+    bars, _ = random_bars(spark, 60)
+    assert "fine" in {r.experiment_id for r in signals.evaluate_table(bars, table).collect()} <= {"fine", "also"}
 
 
 def test_quotas_cover_all_buckets(spark):

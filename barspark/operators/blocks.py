@@ -14,9 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from barspark.functions.store import checkpointed
 
 BLOCK = 8192
 #: Parameter sets that a task works on with one block.
@@ -52,6 +55,8 @@ class Block:
     def __init__(self, columns: dict[str, np.ndarray]):
         self.columns = columns
         self.size = len(next(iter(columns.values())))
+        #: The first bar of the block itself, and by share what ``earlier_near`` found for it.
+        self.first, self.near = 0, {}
         self._gaps: dict[str, np.ndarray] = {}
         self._spans: dict[tuple[str, bool], list[np.ndarray]] = {}
         self._wavelets: dict[str, Wavelet] = {}
@@ -158,6 +163,46 @@ class Block:
         out[end] = np.where(first == second, first, (high - at) * first + (at - low) * second)
         return out
 
+    def expanding(self, name: str, share: float, whole: str) -> np.ndarray:
+        """The exact quantile (linear between ranks) of all values before the bar, where the column whole is 1."""
+        skip, before, near = self.near.get(share, (0, 0, np.zeros(0)))
+        own = np.nan_to_num(self.columns[name][self.first :], nan=0.0)
+        place = np.arange(len(own))
+        asked = np.flatnonzero((self.columns[whole][self.first :] == 1) & (before + place > 0))
+        ranks, m = Wavelet(np.concatenate([near, own])), len(near)
+        at = (before + asked - 1) * float(share)
+        low, high = np.floor(at), np.ceil(at)
+        find = lambda k: ranks.smallest(np.zeros(len(asked), dtype=np.int64), m + asked, k.astype(np.int64) - skip)
+        first, second = find(low), find(high)
+        out = np.full(self.size, np.nan)
+        out[self.first + asked] = np.where(first == second, first, (high - at) * first + (at - low) * second)
+        return out
+
+
+def earlier_near(bars: DataFrame, keys: list[str], value: str, shares: list[float], bucket: int = 1024) -> DataFrame:
+    """keys, _block, _share, _skip, _before, _v: of the values before each block, those whose ranks its bars can ask for at each share.
+
+    Values are cut into buckets by rank; counts of the buckets before each block say which few hold the ranks, as a block adds no more values than it has bars. _skip values
+    before the block are lower than those given; _before is the count of all.
+    """
+    block = F.floor(F.col("bar_idx") / BLOCK)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_v", "bar_idx")) - 1
+    cut = bars.select(*keys, "bar_idx", block.alias("_b"), F.col(value).alias("_v")).filter("_v is not null").withColumn("_k", F.floor(rank / bucket))
+    cut = checkpointed(cut.drop("bar_idx"))
+    counts = cut.groupBy(*keys, "_k", "_b").agg(F.count("*").alias("_n"))
+    grid = counts.select(*keys, "_b").distinct().join(counts.select(*keys, "_k").distinct(), keys).join(counts, [*keys, "_k", "_b"], "left")
+    sums = Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_e", F.coalesce(F.sum("_n").over(sums), F.lit(0)))
+    whole = Window.partitionBy(*keys, "_b")
+    grid = grid.withColumns({"_skip": F.sum("_e").over(whole.orderBy("_k")) - F.col("_e"), "_before": F.sum("_e").over(whole)})
+    each = grid.filter("_e > 0").withColumn("_share", F.explode(F.array(*map(F.lit, shares))))
+    low, high = (F.col("_before") - 1) * F.col("_share") - 1, (F.col("_before") + BLOCK) * F.col("_share") + 2
+    # Among values before and in the block, a rank is at most BLOCK places off from the same value's rank before it.
+    asked = each.filter((F.col("_skip") <= high) & (F.col("_skip") + F.col("_e") > low - BLOCK))
+    asked = asked.withColumn("_skip", F.min("_skip").over(Window.partitionBy(*keys, "_b", "_share")))
+    found = asked.select(*keys, F.col("_b").alias("_block"), "_share", "_skip", "_before", "_k").join(cut, [*keys, "_k"]).filter(F.col("_b") < F.col("_block"))
+    return found.select(*keys, "_block", "_share", "_skip", "_before", "_v")
+
 
 def shifted(values: np.ndarray, n: int) -> np.ndarray:
     """Each bar's value n bars before; null where there is none."""
@@ -167,11 +212,11 @@ def shifted(values: np.ndarray, n: int) -> np.ndarray:
 Find = Callable[[Block, dict], dict[str, np.ndarray]]
 
 
-def frame_rows(bars: DataFrame, keys: list[str], inputs: list[str], passed: list[str], sets: list[dict], reach: int, names: list[str], find: Find) -> DataFrame:
+def frame_rows(bars: DataFrame, keys: list[str], inputs: list[str], passed: list[str], sets: list[dict], reach: int, names: list[str], find: Find, near: DataFrame | None = None, share: str = "") -> DataFrame:
     """keys, bar_idx, passed, set_id and the frames (names, doubles) for each bar and parameter set.
 
     inputs: numeric columns that the frames read. reach: bars before a block that the longest frame needs. A task takes a block and up to SETS parameter sets, so blocks are sent
-    once for each SETS of them. bar_idx counts the bars of a series one by one.
+    once for each SETS of them. near: what ``earlier_near`` found for the shares, which are the parameter share of the sets. bar_idx counts the bars of a series one by one.
     """
     reach = min(reach, BLOCK)
     parts = -(-len(sets) // SETS)
@@ -182,18 +227,37 @@ def frame_rows(bars: DataFrame, keys: list[str], inputs: list[str], passed: list
     kinds = {f.name: f for f in rows.schema.fields}
     out = T.StructType([*(kinds[c] for c in dict.fromkeys([*keys, "bar_idx", *passed])), T.StructField("set_id", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(tables).sort_by("bar_idx")
+    def frames_of(table: pa.Table, beside: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("bar_idx")
         part, number = table["_part"][0].as_py(), table["_block"][0].as_py()
         block = Block({c: table[c].cast(pa.float64()).to_numpy() for c in ("bar_idx", *inputs)})
         mine = table["bar_idx"].to_numpy() // BLOCK == number
         own = table.filter(pa.array(mine)).select([f.name for f in out if f.name in kinds]).combine_chunks()
         if not own.num_rows:
             return
+        block.first = int(mine.argmax())
+        if beside is not None:
+            shares = beside["_share"].to_numpy()
+            for x in np.unique(shares):
+                rows = beside.filter(pa.array(shares == x))
+                block.near[float(x)] = (rows["_skip"][0].as_py(), rows["_before"][0].as_py(), rows["_v"].to_numpy())
         for set_id in range(part * SETS, min(len(sets), (part + 1) * SETS)):
             found = find(block, sets[set_id])
             frames = [pa.array(x := np.asarray(found[n], dtype=float)[mine], mask=np.isnan(x)) for n in names]
             columns = [*(own[c] for c in own.column_names), pa.array(np.full(own.num_rows, set_id, dtype=np.int32)), *frames]
             yield from pa.Table.from_arrays(columns, names=out.names).to_batches()
 
-    return rows.groupBy(*keys, "_block", "_part").applyInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from frames_of(pa.Table.from_batches(batches), None)
+
+    def run_beside(bars: pa.Table, beside: pa.Table) -> pa.Table:
+        batches = list(frames_of(bars, beside if beside.num_rows else None)) if bars.num_rows else []
+        return pa.Table.from_batches(batches, schema=batches[0].schema if batches else to_arrow_schema(out))
+
+    group = [*keys, "_block", "_part"]
+    if near is None:
+        return rows.groupBy(*group).applyInArrow(run, out)
+    wanted = bars.sparkSession.createDataFrame(sorted({(i // SETS, float(x[share])) for i, x in enumerate(sets)}), "_part int, _share double")
+    dealt = near.join(F.broadcast(wanted), "_share")
+    rows, dealt = rows.toDF(*rows.columns), dealt.toDF(*dealt.columns)  # a cogroup wants columns of its own on each side
+    return rows.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInArrow(run_beside, out)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.store import checkpointed
 
 BLOCK = 256
-#: Chains of more candidates for a key than this are found by pointer doubling.
-FOLD_LIMIT = 5_000
 
 
 def affine_scans(df: DataFrame, keys: list[str], order: str, scans: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -86,35 +88,32 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
 
 
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 1) -> DataFrame:
-    """The rows of df (one for each start and key) that a greedy choice in order of start keeps: a row is kept if its start is at least the end of the last kept one plus gap."""
-    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return _fold(df, keys, start, end, gap) if most <= FOLD_LIMIT else _doubling(df, keys, start, end, gap)
-
-
-def _fold(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """One ordered pass over the starts and ends of a key."""
-    spans = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")))).alias("spans"))
-    begin = F.struct(F.lit(None).cast("long").alias("e"), F.array().cast("array<long>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        free = state["e"].isNull() | (x["s"] >= state["e"] + gap)
-        return F.when(free, F.struct(x["e"].alias("e"), F.concat(state["kept"], F.array(x["s"])).alias("kept"))).otherwise(state)
-
-    kept = spans.select(*keys, F.explode(F.aggregate("spans", begin, step, lambda s: s["kept"])).alias("_kept"))
-    return df.join(kept, [*(df[k].eqNullSafe(kept[k]) for k in keys), F.col(start).cast("long") == kept["_kept"]], "left_semi")
-
-
-def _doubling(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """Each row points to the first row that may follow it; rows reached from the first row of a key are found in steps of 1, 2, 4, ... pointers."""
-    spans = df.select(*keys, F.col(start).cast("long").alias("s"), (F.col(end).cast("long") + gap).alias("free"))
-    follow = asof(spans, spans.select(*keys, F.col("s").alias("next")), keys, "free", "next", [], forward=True)
-    jump = checkpointed(follow.select(*keys, "s", F.col("next")))
-    reached = checkpointed(spans.groupBy(*keys).agg(F.min("s").alias("s")))
-    while True:
-        more = reached.join(jump, [*keys, "s"]).filter("next is not null").select(*keys, F.col("next").alias("s"))
-        grown = checkpointed(reached.unionByName(more).distinct())
-        hop = jump.select(*keys, F.col("s").alias("next"), F.col("next").alias("after"))
-        jump = checkpointed(jump.join(hop, [*keys, "next"]).select(*keys, "s", F.col("after").alias("next")).filter("next is not null"))
-        if jump.isEmpty():
-            return df.join(grown.select(*keys, F.col("s").alias("_kept")), [*(df[k].eqNullSafe(grown[k]) for k in keys), F.col(start).cast("long") == F.col("_kept")], "left_semi")
-        reached = grown
+    """The rows of df (one for each start and key) that a greedy choice in order of start keeps: a row is kept if its start is at least the end of the last kept one plus gap.
+
+    Rows are sorted within their keys and run past once; what is carried from row to row is the key and the first start that is free. A key's rows are never held together.
+    """
+    dealt = df.withColumns({"_from": F.col(start).cast("long"), "_free": F.col(end).cast("long") + gap}).repartition(*keys).sortWithinPartitions(*keys, "_from")
+    columns = df.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = [batch[k][0].as_py() for k in keys]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[0] = first != last
+            for k in keys:
+                a, b = batch[k][1:], batch[k][:-1]
+                both = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                new[1:] |= both | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+            chosen = []
+            for fresh, at, until in zip(new.tolist(), batch["_from"].to_pylist(), batch["_free"].to_pylist()):
+                taken = fresh or free is None or at >= free
+                chosen.append(taken)
+                if taken:
+                    free = until
+            last = [batch[k][batch.num_rows - 1].as_py() for k in keys]
+            yield batch.select(columns).filter(pa.array(chosen))
+
+    return dealt.mapInArrow(run, df.schema)

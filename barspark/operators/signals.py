@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.store import checkpointed
-from barspark.operators.blocks import Block, Find, frame_rows, shifted
+from barspark.operators.blocks import Block, Find, earlier_near, frame_rows, shifted
 from barspark.operators.frames import Frames, GivenFrames, full, highest, known, lowest, mean, side, sliding, slope, std, with_quantile
 from barspark.operators.scan import asof, non_overlapping, with_runs
 
@@ -38,6 +38,8 @@ class Many:
     reach: Callable[[dict], int] = lambda p: 0
     prepare: Callable[[DataFrame, Frames], DataFrame] | None = None
     keyed: bool = False
+    #: The column of an expanding quantile, and the parameter that is its share.
+    expanding: tuple[str, str] | None = None
     #: In place of all that: hits (experiment_id, keys, bar_idx, signal) from bars, experiments, their values as columns, and keys.
     direct: Callable[[DataFrame, DataFrame, dict, list[str]], DataFrame] | None = None
 
@@ -296,11 +298,31 @@ def _blocked_quantile(df: DataFrame, value: str, q: float, w: Frames, name: str,
     return rows.withColumn(name, F.when(c("_whole") & (total > 0), between)).drop("_b", "_own", "_near", "_skip", "_before", "_pool", "_whole")
 
 
-@rule("compression_breakout", "breakout", compression_lookback=(5, 80), compression_percentile=(0.05, 0.4), breakout_lookback=(2, 50))
+def _with_whole_range(df, w):
+    """The range, and 1 where no range before is missing."""
+    missing = F.max(c("_range").isNull()).over(w.before())
+    return _with_range(df, w).withColumn("_whole", F.when(F.coalesce(missing, F.lit(False)), 0).otherwise(1))
+
+
+def _compression(b: Block, p: dict) -> dict[str, np.ndarray]:
+    hi, lo = _levels_before(b, p["breakout_lookback"])
+    return {"_hi": hi, "_lo": lo, "_m": b.mean("_range", p["compression_lookback"], prior=True), "_q": b.expanding("_range", p["compression_percentile"], "_whole")}
+
+
+@rule(
+    "compression_breakout", "breakout", compression_lookback=(5, 80), compression_percentile=(0.05, 0.4), breakout_lookback=(2, 50),
+    many=Many(
+        ("close",), ("compression_lookback", "compression_percentile", "breakout_lookback"), ("_hi", "_lo", "_m", "_q"), _compression, ("high", "low", "_range", "_whole"),
+        lambda p: max(p["compression_lookback"], p["breakout_lookback"]) + 1, _with_whole_range, expanding=("_range", "compression_percentile"),
+    ),
+)
 def compression_breakout(df, p, w):
-    n = p["compression_lookback"]
-    df = expanding_quantile(df.withColumn("_range", c("high") - c("low")), "_range", p["compression_percentile"], w, "_q")
-    df = _prior_levels(df, p["breakout_lookback"], w).withColumn("_m", mean("_range", n, w.prior(n)))
+    def frames(df):
+        n = p["compression_lookback"]
+        df = expanding_quantile(_with_range(df, w), "_range", p["compression_percentile"], w, "_q")
+        return _prior_levels(df, p["breakout_lookback"], w).withColumn("_m", mean("_range", n, w.prior(n)))
+
+    df = w.framed(df, frames)
     quiet = c("_m") <= c("_q")
     return _signal(df, quiet & (c("close") > c("_hi")), quiet & (c("close") < c("_lo")), known("_hi", "_lo"))
 
@@ -948,7 +970,11 @@ def _many(bars: DataFrame, r: Rule, own: DataFrame, sets: list[dict], p: dict, k
     passed = [*m.uses, *masked]
     if m.over:
         reach = max(m.reach(x) for x in sets)
-        rows = frame_rows(ready, keys, list(m.inputs), passed, sets, reach, list(m.names), m.find).join(small(own), "set_id")
+        near, share = None, ""
+        if m.expanding:
+            value, share = m.expanding
+            near = earlier_near(ready, keys, value, sorted({x[share] for x in sets}))
+        rows = frame_rows(ready, keys, list(m.inputs), passed, sets, reach, list(m.names), m.find, near, share).join(small(own), "set_id")
     elif "_session" in m.uses:
         rows = ready.select(*keys, "bar_idx", *passed).join(small(own), c("_session") == c("_p_session"))
     else:

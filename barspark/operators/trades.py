@@ -74,10 +74,10 @@ def annotate(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 def choose_trades(cands: DataFrame, bars: DataFrame) -> DataFrame:
     """The candidates with a lot, with their outcomes, one position at a time for each experiment and symbol."""
-    # Read once for each horizon. The filter comes behind the cut, as in front of it all of a lot's arithmetic would be written out again and again in one method.
+    # The filter comes behind the cut, as in front of it all of a lot's arithmetic would be written out again and again in one method.
     able = checkpointed(cands).filter("lot is not null")
-    ended = able.join(outcomes(able, bars), KEY)
-    return non_overlapping(checkpointed(ended), ["experiment_id", "symbol"], "entry_idx", "exit_idx", gap=1)
+    chosen = non_overlapping(outcomes(able, bars), ["experiment_id", "symbol"], "entry_idx", "exit_idx", gap=1)
+    return able.join(checkpointed(chosen), KEY)
 
 
 def risk_skips(cands: DataFrame, trades: DataFrame) -> DataFrame:

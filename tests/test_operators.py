@@ -111,8 +111,13 @@ def test_greedy_choice_of_long_series(spark):
             if last is None or s >= last + 1:
                 want.add((k, s))
                 last = e
-    assert {(r.k, r.s) for r in scan._fold(df, ["k"], "s", "e", 1).collect()} == want
-    assert {(r.k, r.s) for r in scan._doubling(df, ["k"], "s", "e", 1).collect()} == want
+    assert {(r.k, r.s) for r in scan.non_overlapping(df, ["k"], "s", "e", 1).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # keys run over batches
+    try:
+        assert {(r.k, r.s) for r in scan.non_overlapping(df, ["k"], "s", "e", 1).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert scan.non_overlapping(df.limit(0), ["k"], "s", "e", 1).count() == 0
     assert scan.non_overlapping(df.limit(0), ["k"], "s", "e").count() == 0
 
 

@@ -94,6 +94,44 @@ def test_a_table_of_experiments_gives_each_its_rule(spark):
     assert signals.evaluate_table(bars, table.limit(0)).count() == 0
 
 
+def test_frames_over_many_blocks_equal_windows(spark, monkeypatch):
+    """With tiny blocks and parts of parameter sets: every frame is the same bits as Spark's window, expanding quantiles too."""
+    from barspark.operators import blocks
+    from barspark.operators.frames import Frames, highest, lowest, mean, slope, std, with_quantile
+
+    monkeypatch.setattr(blocks, "BLOCK", 128)
+    monkeypatch.setattr(blocks, "SETS", 2)
+    bars, _ = random_bars(spark, 700, symbols=("A", "B"))
+    w, names = Frames("symbol"), ["m", "s", "b", "hi", "lo", "q", "e"]
+    sets = [{"n": n, "share": q} for n, q in ((5, 0.05), (17, 0.4), (64, 0.333), (100, 0.05), (31, 0.99))]
+
+    def find(b, p):
+        n = p["n"]
+        return dict(zip(names, (b.mean("close", n), b.std("close", n, True), b.slope("close", n), b.extreme("high", n, True, True), b.extreme("low", n, False), b.quantile("close", n, p["share"]), b.expanding("close", p["share"], "whole"))))
+
+    ready = bars.withColumn("whole", F.lit(1))
+    near = blocks.earlier_near(ready, ["symbol"], "close", sorted({p["share"] for p in sets}), bucket=32)
+    rows = blocks.frame_rows(ready, ["symbol"], ["close", "high", "low", "whole"], [], sets, 101, names, find, near, "share").collect()
+    got = {(r.set_id, r.symbol, r.bar_idx): tuple(r[n] for n in names) for r in rows}
+    assert len(got) == len(rows) == 1400 * len(sets)
+    for i, p in enumerate(sets):
+        n = p["n"]
+        df = bars.withColumns({"m": mean("close", n, w.own(n)), "s": std("close", n, w.prior(n)), "b": slope("close", n, w.own(n)), "hi": highest("high", n, w.prior(n)), "lo": lowest("low", n, w.own(n))})
+        df = signals.expanding_quantile(with_quantile(df, "close", p["share"], n, w, "q"), "close", p["share"], w, "e")
+        for r in df.collect():
+            assert got[i, r.symbol, r.bar_idx] == tuple(r[x] for x in names), (p, r.bar_idx)
+
+
+def test_one_plan_a_rule_and_no_bars_by_experiment(spark):
+    """A thousand experiments with frames of their own: one branch, and the only exchange of bars is by block."""
+    bars, _ = random_bars(spark, 300)
+    rows = [(f"x{i}", "atr_percentile_regime", {"lookback": 10.0 + i % 180, "percentile": round(0.5 + i / 2500, 5)}) for i in range(1000)]
+    found = signals.evaluate_table(bars, spark.createDataFrame(rows, "experiment_id string, strategy string, params map<string,double>"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Union" not in plan and "hashpartitioning(experiment_id" not in plan
+    assert found.select("experiment_id").distinct().count() == 1000
+
+
 def test_bad_experiments_are_rows_with_errors(spark):
     good = {"lookback": 9.0, "slope_horizon": 1.0}
     table = [

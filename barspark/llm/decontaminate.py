@@ -2,8 +2,12 @@
 
 Tokens are runs of letters and digits, lower-cased. A seed is the hash of the tokens that a fixed mask keeps; it ignores the
 positions between. ``MASKS`` are such that every window of 13 tokens with at most two substituted ones holds a seed of one of
-them, wherever the two are. Seeds of documents and items are joined; each hit gives a diagonal (offset between document and
-item), along which the tokens are compared: a leak is a window of 13 tokens inside both, of which at least 11 are the same.
+them, wherever the two are. Seeds of documents and items are joined, and around each hit the windows of 13 tokens that hold
+the seed are compared: a leak is a window of 13 tokens inside both, of which at least 11 are the same.
+
+What the windows around a place can come to depends on its seed and the few tokens beside it only (its context). Contexts
+that a document or the benchmark has more than once are compared once, so a text of a million equal tokens, or of a short
+phrase over and over, costs little more than its tokens. Long texts are cut into segments before contexts are taken.
 
 Defined results: null texts have no tokens; items and documents of fewer than 13 tokens are never reported (too little to tell);
 rows that are equal in id and text are reported once; a null doc_id is reported as null; empty tables give no
@@ -20,9 +24,13 @@ from barspark.llm.shared import kept, row_key
 WINDOW, SAME = 13, 11
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 TOKEN = r"[\p{L}\p{N}]+"
-#: The seeds of so many rows are broadcast (some 50 MB); more are joined by shuffle. An item of n tokens has 2n - 15 seeds, so the items themselves,
-#: of at least WINDOW tokens each, are then of at most 1.2 million tokens (some 10 MB).
-MOST_BROADCAST = 1_000_000
+#: A window that holds a seed of the shorter mask begins at most so many tokens before it.
+BEFORE = WINDOW - min(m[-1] + 1 for m in MASKS)
+CONTEXT = BEFORE + WINDOW
+#: Tokens of a segment of a text.
+SEGMENT = 4096
+#: Contexts of the benchmark, of some 200 bytes each, that are broadcast (some 50 MB); more are joined by shuffle, each in SALTS copies, among which the documents' rows are dealt.
+MOST_BROADCAST, SALTS = 250_000, 16
 
 
 def token_hashes(text: Column) -> Column:
@@ -45,32 +53,53 @@ def seeds_of(rows: DataFrame, *columns: str) -> DataFrame:
     return each.select(*columns, F.when(F.col("at") < F.col("first"), F.col("at")).otherwise(F.col("at") - F.col("first")).alias("place"), "seed")
 
 
+def contexts_of(hits: DataFrame, *columns: str) -> DataFrame:
+    """The distinct (columns, seed, context) of rows (columns, hashes, hits: array of place and seed). A context is the tokens from BEFORE places before the seed on; null outside of the text."""
+    around = lambda hit: F.transform(F.sequence(F.lit(-BEFORE), F.lit(WINDOW - 1)), lambda o: F.get("hashes", hit["place"] + o))
+    each = F.explode(F.transform("hits", lambda hit: F.struct(hit["seed"].alias("seed"), around(hit).alias("context"))))
+    return hits.select(*columns, each.alias("hit")).select(*columns, "hit.seed", "hit.context").distinct()
+
+
+def item_contexts(items: DataFrame) -> DataFrame:
+    """The distinct (item_id, seed, item_context) of items (item_id, hashes)."""
+    keyed = items.withColumn("item_key", F.xxhash64("item_id", "hashes"))
+    hits = seeds_of(keyed, "item_key").groupBy("item_key").agg(F.collect_list(F.struct("place", "seed")).alias("hits"))
+    return contexts_of(keyed.join(hits, "item_key"), "item_id").withColumnRenamed("context", "item_context")
+
+
+def best_window(mine: Column, other: Column) -> Column:
+    """The most equal tokens of a window of two contexts that lies inside both texts; less than 0 if none does."""
+    same = [F.coalesce((F.get(mine, F.lit(i)) == F.get(other, F.lit(i))).cast("int"), F.lit(-WINDOW)) for i in range(CONTEXT)]
+    return F.greatest(*(sum(same[s + 1 : s + WINDOW], same[s]) for s in range(BEFORE + 1)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_key, doc_id, item_id, same (tokens of the best window) of each document that holds a window of an item."""
     rows = docs.select("doc_id", "text", row_key().alias("row_key"))
-    items = kept(benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).filter(F.size("item") >= WINDOW).dropDuplicates(), "items")
-    item_seeds = seeds_of(items.select("item_id", F.col("item").alias("hashes")), "item_id").select("item_id", F.col("place").alias("item_place"), "seed")
-    small = item_seeds.count() <= MOST_BROADCAST
-    hashed = rows.select("row_key", token_hashes(F.col("text")).alias("hashes"))
-    doc_seeds = seeds_of(hashed.select("row_key", F.size("hashes").alias("length"), "hashes"), "row_key", "length")
-    hits = doc_seeds.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    hits = hits.select("row_key", "length", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-
-    # The stretch where document and item lie side by side; the item's part of it goes along.
-    pairs = hits.join(F.broadcast(items) if small else items, "item_id").withColumn("lo", F.greatest(F.lit(0), -F.col("shift")))
-    pairs = pairs.withColumn("m", F.least(F.size("item"), F.col("length") - F.col("shift")) - F.col("lo")).filter(F.col("m") >= WINDOW)
-    ask = F.struct("item_id", (F.col("lo") + F.col("shift") + 1).alias("at"), "m", F.slice("item", F.col("lo") + 1, F.col("m")).alias("item"))
-    asked = kept(pairs.groupBy("row_key").agg(F.collect_list(ask).alias("asks")), "asked")
-    # The list grows with the corpus, so it is always joined by shuffle, and the plan is the same at every size.
-    beside = rows.join(asked.hint("merge"), "row_key").select("row_key", "doc_id", "asks", token_hashes(F.col("text")).alias("hashes"))
-
-    def best(ask: Column, hashes: Column) -> Column:
-        same = F.zip_with(F.slice(hashes, ask["at"], ask["m"]), ask["item"], lambda a, b: (a == b).cast("int"))
-        starts = F.sequence(F.lit(1), ask["m"] - WINDOW + 1)
-        return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), lambda x, y: x + y)))
-
-    scored = beside.select("row_key", "doc_id", F.explode(F.transform("asks", lambda a: F.struct(a["item_id"].alias("item_id"), best(a, F.col("hashes")).alias("same")))).alias("hit"))
-    scored = scored.select("row_key", "doc_id", "hit.item_id", "hit.same").filter(F.col("same") >= SAME)
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("hashes")).filter(F.size("hashes") >= WINDOW).dropDuplicates()
+    contexts = kept(item_contexts(kept(items, "items")), "contexts")
+    small = contexts.count() <= MOST_BROADCAST
+    wanted = contexts.select("seed").distinct()
+    found = seeds_of(rows.select("row_key", token_hashes(F.col("text")).alias("hashes")), "row_key")
+    found = found.join(F.broadcast(wanted) if small else wanted, "seed", "left_semi")
+
+    # The places of a document, in a list for each segment, go to its text. The lists grow with the corpus, so they are always joined by shuffle, and the plan is the same at every size.
+    segment = F.floor(F.col("place") / SEGMENT)
+    lists = found.groupBy("row_key", segment.alias("segment")).agg(F.collect_list(F.struct((F.col("place") % SEGMENT + BEFORE).cast("int").alias("place"), "seed")).alias("hits"))
+    asked = kept(lists.groupBy("row_key").agg(F.collect_list(F.struct("segment", "hits")).alias("segments")), "asked")
+    beside = rows.join(asked.hint("merge"), "row_key").select("row_key", "doc_id", "segments", token_hashes(F.col("text")).alias("hashes"))
+    # BEFORE nulls stand before a text, so that a segment's tokens begin BEFORE places before its first one.
+    padded = beside.withColumn("hashes", F.concat(F.array_repeat(F.lit(None).cast("long"), BEFORE), "hashes"))
+    part = lambda s: F.slice("hashes", (s["segment"] * SEGMENT + 1).cast("int"), F.lit(SEGMENT + CONTEXT))
+    cut = padded.select("row_key", "doc_id", F.explode(F.transform("segments", lambda s: F.struct(s["hits"].alias("hits"), part(s).alias("hashes")))).alias("segment"))
+    mine = contexts_of(cut.select("row_key", "doc_id", "segment.hits", "segment.hashes"), "row_key", "doc_id")
+
+    if small:
+        pairs = mine.join(F.broadcast(contexts), "seed")
+    else:
+        salted = contexts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = mine.withColumn("_salt", F.pmod(F.xxhash64("row_key", "context"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "_salt"])
+    scored = pairs.withColumn("same", best_window(F.col("context"), F.col("item_context"))).filter(F.col("same") >= SAME)
     return scored.groupBy("row_key", "doc_id", "item_id").agg(F.max("same").cast("long").alias("same"))
 
 

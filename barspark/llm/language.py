@@ -8,8 +8,8 @@ is exact and does not depend on other texts. The language of least code length w
 Texts are lower-cased, and each run of other than letters (Unicode category L) is one space, with one space before and behind. ``ORDER`` zero bytes
 stand before each text as the contexts of its first bytes, so that every byte is charged, the first ones too.
 
-The trees are learned from at most ``TRAIN_DOCS`` labelled documents of each language, chosen by a hash of id and text (whole texts), so the model is
-of bounded size for a fixed set of languages; every document is scored. Documents whose crc32(doc_id as text) mod 5 is 0, that have no label, or no id, are never learned from.
+The trees are learned from at most ``TRAIN_DOCS`` labelled documents of each language, chosen by a hash of id, text and the number of the copy (whole texts), so the model is
+of bounded size for a fixed set of languages and rows that share an id, or all they have, are chosen one by one; every document is scored. Documents whose crc32(doc_id as text) mod 5 is 0, that have no label, or no id, are never learned from.
 
 Defined results: null texts and texts without a letter (½, Ⅷ and ² are none) are ``und`` with score 0; a null id counts as held out; rows are scored one by one, so ids
 may repeat; without any labelled document every prediction is ``und``; an empty table gives no rows. Other columns are ignored.
@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.llm.shared import kept, number_copies
+
 ORDER = 3
 TRAIN_DOCS = 1500
 HELD_OUT = 5
@@ -66,15 +68,15 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches):
-    """Counts of the grams of each order, by language."""
+    """Counts of the grams of each order, by language; a text counts as often as it was chosen."""
     for batch in batches:
-        for lang in set(batch["lang"].to_pylist()):
-            rows = batch.filter(pc.equal(batch["lang"], lang))
+        for lang, copies in set(zip(batch["lang"].to_pylist(), batch["copies"].to_pylist())):
+            rows = batch.filter(pc.and_(pc.equal(batch["lang"], lang), pc.equal(batch["copies"], copies)))
             raw, at = _join([b for t in rows["text"].to_pylist() if (b := normal(t))])
             if len(raw) <= ORDER:
                 continue
             code, n = np.unique(grams(raw, at[:-1], ORDER), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(code), "code": pa.array(code.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(code), "code": pa.array(code.astype(np.int64)), "n": pa.array(n.astype(np.int64) * copies)})
 
 
 class Model:
@@ -140,17 +142,29 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0, F.lit(True))
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from docs (doc_id, text, lang). What comes to the driver are the counts of the bounded sample."""
+def training_texts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """lang, text, copies: the train_docs rows of each language that come first by a hash of id, text and number of the copy; equal texts of an id are one row.
+
+    Languages, hashes and numbers stand for the rows until they are chosen. A bound on the hash comes first, at which a language of n rows keeps train_docs of them with ten
+    standard deviations to spare, so a window takes a bounded number of rows; what it keeps is in the same order.
+    """
     rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keyed = rows.select("lang", "text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("text").alias("h2"))
-    # The first documents by hash are wanted. So that no other text is moved, a bound is put on the hash first, at which a language of n
-    # documents keeps train_docs of them with ten standard deviations to spare; what it keeps is in the same order.
+    name = [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", "doc_id").alias("h2")]
+    keyed = number_copies(rows.select("lang", *name), ["lang", "h1", "h2"], "copy").withColumn("drawn", F.xxhash64("h1", "h2", "copy"))
     share = F.least(F.lit(1.0), F.lit(train_docs + 10 * train_docs**0.5) / F.count("*"))
     bounds = rows.groupBy("lang").agg(share.alias("share"))  # a row for each language
-    near = keyed.join(F.broadcast(bounds), "lang").filter(F.col("h1") / float(1 << 64) + 0.5 <= F.col("share"))
-    picked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2"))).filter(F.col("place") <= train_docs)
-    counts = picked.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    near = keyed.join(F.broadcast(bounds), "lang").filter(F.col("drawn") / float(1 << 64) + 0.5 <= F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "h1", "h2"))
+    picked = near.withColumn("place", place).filter(F.col("place") <= train_docs).groupBy("lang", "h1", "h2").agg(F.count("*").alias("copies"))
+    # No more than train_docs rows for each language; copies of a text are put together before the shuffle.
+    found = rows.select("lang", "text", *name).join(F.broadcast(kept(picked, "picked")), ["lang", "h1", "h2"])
+    return found.groupBy("lang", "h1", "h2").agg(F.first("text").alias("text"), F.first("copies").alias("copies")).select("lang", "text", "copies")
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """Learn from docs (doc_id, text, lang). What comes to the driver are the counts of the bounded sample."""
+    picked = training_texts(docs, train_docs)
+    counts = picked.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     per_lang = []

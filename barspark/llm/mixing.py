@@ -5,10 +5,10 @@ the others by weight. A document is taken floor(f) times for sure, f = target /
 f - floor(f). Which ones is chosen by the cube method: the vector of probabilities moves along the null space of the
 constraints (number of documents and number of words of the source), to one of the two ends of its line by chance, so that
 both totals stay what they are while more and more probabilities become 0 or 1. Each move is led by the largest open document and made up for by all the others,
-so the large ones are decided first and small ones are left. Groups of a few thousand
-documents of a source fly apart from each other; the two documents at most that each leaves open fly again in groups of such, until one
-group for each source is left. Its last ``LANDING`` open documents, the smallest that the flight can leave, are taken or left in the way that brings the words nearest to the target; a last group that
-still lands too far off, as one of its few large documents was left open, flies again.
+so the large ones are decided first and small ones are left. Groups of a few thousand documents of a source fly apart from each other; the two documents at most that
+each leaves open fly again in groups of such, until one group for each source is left. For its last ``LANDING`` documents the number of documents is let go: they move
+with their words kept, and the last one open is taken by chance. So every document is taken floor(f) or floor(f) + 1 times with mean f, whatever the size of its source, and a
+source's words miss the target by no more than one document's, mostly a small one's, unless one document outweighs what the others can make up for.
 
 Defined results: a null or blank text has size 0 and is taken 0 words; null sources are one source, which comes last; a
 source without words has target 0; rows that are equal in id and text are separate documents of equal chances; an empty table gives no rows. Other columns are
@@ -17,8 +17,6 @@ ignored. Equal tables and seeds give equal results.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +29,6 @@ from barspark.llm.shared import kept, number_copies
 
 MOST_REPEATS, WEIGHTS = 3, (1, 2, 3)
 GROUP, LANDING = 2048, 10
-#: The last group of a source flies again, so often at most, where its words land farther off than this share of them.
-FLIGHTS, NEAR = 20, 0.002
 
 
 def _places(df: DataFrame, column: str) -> DataFrame:
@@ -81,8 +77,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
     return rows.select("source", "source_size", "n_docs", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = 1) -> np.ndarray:
-    """Move probabilities along the null space of (1, size) until no more than ``leave`` are open, or none can move (then two at most are). Each move is led by the largest document that can move; the others make up for it in proportion to p (1 - p)."""
+def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = 1, documents: bool = True) -> np.ndarray:
+    """Move probabilities along the null space of (1, size), or of size alone, until no more than ``leave`` are open or none can move (then two at most are). Each move is led by the largest document that can move; the others make up for it in proportion to p (1 - p)."""
     chance = chance.astype(float).copy()
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
     open_ = open_[np.argsort(-size[open_], kind="stable")]
@@ -96,6 +92,8 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave
         for lead in range(min(len(open_), 3)):
             if alike:
                 move = -w / s0
+            elif not documents:
+                move = -w * x[lead] / s1
             else:
                 move = -w * ((s2 - s1 * x[lead]) + (s0 * x[lead] - s1) * x) / det
             move[lead] += 1
@@ -118,13 +116,11 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave
     return chance
 
 
-def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of all ways to decide what is still open, the one that is nearest in words, then in documents."""
-    chance = chance.copy()
-    open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    p, x = chance[open_], size[open_].astype(float)
-    ways = itertools.product((0.0, 1.0), repeat=len(open_))
-    chance[open_] = min(ways, key=lambda way: (abs(((way - p) * x).sum()), abs((way - p).sum())))
+def land(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide what a flight has left open: the documents move with their words kept, whatever their number, and the last one is taken with its probability."""
+    chance = flight(chance, size, rng, documents=False)
+    for k in np.flatnonzero((chance > 0) & (chance < 1)):
+        chance[k] = float(rng.random() < chance[k])
     return chance
 
 
@@ -133,17 +129,9 @@ def _fly(seed: int, last: bool):
         pdf = pdf.sort_values(["order", "doc", "size"], kind="stable")
         key = [seed + 1_000_000 * last, int(pdf["source_hash"].iloc[0]) & 0xFFFFFFFF, int(pdf["grp"].iloc[0]), len(pdf)]
         size, start = pdf["size"].to_numpy(), pdf["chance"].to_numpy()
-        if not last:
-            return pdf.assign(chance=flight(start, size, np.random.default_rng(key)))[_COLUMNS]
-        least, best = np.inf, start
-        for again in range(FLIGHTS):  # a flight that leaves only large ones open can't land well
-            landed = land(flight(start, size, np.random.default_rng([*key, again]), LANDING), size)
-            miss = abs(((landed - start) * size).sum())
-            if miss < least:
-                least, best = miss, landed
-            if miss <= NEAR * (start * size).sum():
-                break
-        return pdf.assign(chance=best)[_COLUMNS]
+        rng = np.random.default_rng(key)
+        flown = land(flight(start, size, rng, LANDING), size, rng) if last else flight(start, size, rng)
+        return pdf.assign(chance=flown)[_COLUMNS]
 
     return fly
 

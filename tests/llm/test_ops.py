@@ -170,12 +170,31 @@ def test_flights_balance():
     assert (flown * size).sum() == pytest.approx((chance * size).sum(), rel=1e-6)
     often = np.mean([mixing.flight(np.full(30, 0.3), size[:30], np.random.default_rng(k)) for k in range(600)], axis=0)
     assert abs(often - 0.3).max() < 0.1
-    landed = mixing.land(np.array([0.4, 0.0, 0.6, 1.0]), np.array([10, 9, 30, 8]))
-    assert landed.tolist() == [0.0, 0.0, 1.0, 1.0]
-    big = np.array([5000, *range(40, 0, -1)])
-    for k in range(50):
-        flown = mixing.land(mixing.flight(np.full(41, 0.5), big, np.random.default_rng(k)), big)
-        assert abs((flown * big).sum() - (0.5 * big).sum()) <= 2500 + 820
+    flown = mixing.flight(chance, size, np.random.default_rng(2), mixing.LANDING)
+    landed = mixing.land(flown, size, np.random.default_rng(3))
+    assert set(landed) == {0.0, 1.0} and (landed * size).sum() == pytest.approx((chance * size).sum(), abs=size.min() * 20)
+
+
+@pytest.mark.parametrize("sizes", [[5, 9, 20, 33, 70, 400], [1], [7, 7, 7], list(range(1, 41))])
+def test_mixing_keeps_the_chances(sizes):
+    """Over 3,000 seeds, each document is taken as often as its chance says, also in sources of few documents; four standard deviations are allowed."""
+    size, chance = np.array(sizes, dtype=float), np.linspace(0.2, 0.7, len(sizes))
+    taken = np.zeros(len(sizes))
+    for seed in range(3000):
+        rng = np.random.default_rng(seed)
+        taken += mixing.land(mixing.flight(chance, size, rng, mixing.LANDING), size, rng)
+    assert (np.abs(taken / 3000 - chance) < 4 * (chance * (1 - chance) / 3000) ** 0.5).all()
+
+
+def test_many_tiny_sources(spark):
+    """Sources of a few documents each: the targets hold over all of them together, as each is met by chance."""
+    rows = [(i, "w " * (i * 7 % 23 + 1), f"s{i // 4}") for i in range(2400)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 2400 and sum(r.taken for r in got) == pytest.approx(sum(r.size for r in got), rel=0.03)
+    off = collections.Counter()
+    for r in got:
+        off[r.source] += r.taken - r.size * r.target / r.source_size
+    assert all(abs(x) <= 23 for x in off.values())
 
 
 def test_many_groups(spark):

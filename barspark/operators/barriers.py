@@ -27,12 +27,10 @@ REASONS = ("stop_same_bar_ambiguous", "trail", "stop", "target", "time", "end_of
 
 
 class Pyramid:
-    """Lows and highs of stretches of 1, 16, 256 and 4,096 bars, with and without the spread (a short is closed at the ask)."""
+    """Lows and highs of stretches of 1, 16, 256 and 4,096 bars, or blocks, or ticks, of the bid and of the ask, at which a short is closed."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, gap: np.ndarray):
-        self.size = len(high)
-        base = {"high": high, "low": low, "ask_high": high + gap, "ask_low": low + gap}
-        self.levels = [base]
+    def __init__(self, high: np.ndarray, low: np.ndarray, ask_high: np.ndarray, ask_low: np.ndarray):
+        self.levels = [{"high": high, "low": low, "ask_high": ask_high, "ask_low": ask_low}]
         for _ in range(LEVELS - 1):
             self.levels.append({k: self._coarser(v, k.endswith("high")) for k, v in self.levels[-1].items()})
 
@@ -122,7 +120,7 @@ def _ends(table: pa.Table, trades: pa.Table, digits: int) -> pa.Table:
     long_ = t["direction"] == 1
     still = np.flatnonzero(~moving)
     if len(still):
-        at[still] = Pyramid(b["high"], b["low"], b["gap"]).first(t["start"][still], until[still], long_[still], stop[still], t["target_price"][still])
+        at[still] = Pyramid(b["high"], b["low"], b["high"] + b["gap"], b["low"] + b["gap"]).first(t["start"][still], until[still], long_[still], stop[still], t["target_price"][still])
     moves = np.flatnonzero(moving)
     if len(moves):
         at[moves], stop[moves] = _follow(b, {k: v[moves] for k, v in t.items()}, until[moves], digits)
@@ -203,3 +201,90 @@ def first_barrier(trades: DataFrame, bars: DataFrame, key: list[str], time: Colu
         after = after.withColumn("_block", F.get(F.filter("_blocks", lambda x: (x["_block"] * BLOCK >= b("from_idx")) & can(x)), F.lit(0))["_block"]).filter("_block is not null")
         left = after.withColumn("from_idx", F.greatest("from_idx", F.col("_block") * BLOCK)).drop("_blocks")
 
+
+#: Milliseconds of a block of ticks.
+STRETCH = 3_600_000
+_HIT = ["trade_id", "trigger_msc", "kind"]
+
+
+def _levels(trades: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(long, stop, target) of trades."""
+    stop, target = (trades[c].cast(pa.float64()).to_numpy() for c in ("stop_price", "target_price"))
+    return trades["direction"].to_numpy() == 1, stop, target
+
+
+def _tick_hits(trades: pa.Table, ticks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of trades that a block's ticks trigger, when, how)."""
+    ticks = ticks.sort_by("time_msc")
+    time, bid, ask = ticks["time_msc"].to_numpy(), *(ticks[c].cast(pa.float64()).to_numpy() for c in ("bid", "ask"))
+    long_, stop, target = _levels(trades)
+    start = np.searchsorted(time, trades["anchor_msc"].to_numpy(), side="right")
+    at = Pyramid(bid, bid, ask, ask).first(start, np.full(len(start), len(time) - 1), long_, stop, target)
+    hit = np.flatnonzero(at < len(time))
+    at, long_, stop, target = at[hit], long_[hit], stop[hit], target[hit]
+    when, by_stop, by_target = time[at], np.zeros(len(hit), dtype=bool), np.zeros(len(hit), dtype=bool)
+    same = np.arange(len(hit))  # if both levels are reached in one millisecond, the order is not known
+    while len(same):
+        price = np.where(long_[same], bid[at[same]], ask[at[same]])
+        by_stop[same] |= np.where(long_[same], price <= stop[same], price >= stop[same])
+        by_target[same] |= np.where(long_[same], price >= target[same], price <= target[same])
+        at[same] += 1
+        same = same[at[same] < len(time)]
+        same = same[time[at[same]] == when[same]]
+    return hit, when, np.where(by_stop & by_target, "AMBIGUOUS", np.where(by_stop, "SL", "TP"))
+
+
+def first_trigger(trades: DataFrame, ticks: DataFrame) -> DataFrame:
+    """trade_id, trigger_msc, kind (SL, TP or AMBIGUOUS): the first tick after the anchor at which a level is reached; longs are closed at the bid, shorts at the ask.
+
+    trades: trade_id, symbol, direction, stop_price, target_price, anchor_msc. Ticks are cut into hours. A trade is held against the rest of its hour; else against the extremes
+    of all later hours, of which the first that reaches a level holds the tick. No trade meets the ticks between.
+    """
+    keys = ["trade_id", "symbol", "direction", "stop_price", "target_price", "anchor_msc"]
+    block = lambda x: F.floor(F.col(x) / STRETCH)
+    side = ticks.select(F.col("symbol").alias("_symbol"), "time_msc", "bid", "ask", block("time_msc").alias("_hour"))
+    hours = checkpointed(side.groupBy("_symbol", "_hour").agg(F.max("bid").alias("high"), F.min("bid").alias("low"), F.max("ask").alias("ask_high"), F.min("ask").alias("ask_low")))
+    asked = checkpointed(trades.select(*keys).filter("anchor_msc is not null").withColumn("_block", block("anchor_msc")))
+    kinds = {f.name: f for f in asked.schema.fields}
+    out = T.StructType([*(kinds[k] for k in keys), T.StructField("_block", T.LongType()), T.StructField("trigger_msc", T.LongType()), T.StructField("kind", T.StringType())])
+    arrow = to_arrow_schema(out)
+
+    def table(rows: pa.Table, block: np.ndarray, when: np.ndarray, how: np.ndarray, known: np.ndarray) -> pa.Table:
+        columns = [*(rows[k] for k in keys), pa.array(block), pa.array(when, mask=~known), pa.array(how.astype(object), mask=~known)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def in_hour(rows: pa.Table, ticks: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return arrow.empty_table()
+        when, how, known = np.zeros(rows.num_rows, dtype=np.int64), np.full(rows.num_rows, "", dtype=object), np.zeros(rows.num_rows, dtype=bool)
+        if ticks.num_rows:
+            hit, when[hit], how[hit] = _tick_hits(rows, ticks)
+            known[hit] = True
+        return table(rows, rows["_block"].to_numpy(), when, how, known)
+
+    def next_hour(rows: pa.Table, hours: pa.Table) -> pa.Table:
+        if not rows.num_rows or not hours.num_rows:
+            return arrow.empty_table()
+        hours = hours.sort_by("_hour")
+        number = hours["_hour"].to_numpy()
+        x = {c: hours[c].cast(pa.float64()).to_numpy() for c in ("high", "low", "ask_high", "ask_low")}
+        start = np.searchsorted(number, rows["_block"].to_numpy(), side="right")
+        at = Pyramid(**x).first(start, np.full(len(start), len(number) - 1), *_levels(rows))
+        rows, at = rows.filter(pa.array(at < len(number))), at[at < len(number)]
+        none = np.zeros(len(at), dtype=bool)
+        return table(rows, number[at], np.zeros(len(at), dtype=np.int64), np.full(len(at), "", dtype=object), none)
+
+    def dealt(rows: DataFrame, beside: DataFrame, group: dict[str, str], run) -> DataFrame:
+        """run over the groups, of which those with many trades are dealt to several tasks."""
+        parts = rows.groupBy(*group).agg(F.ceil(F.count("*") / TRADES).cast("int").alias("_parts"))
+        own = rows.join(F.broadcast(parts), [*group]).withColumn("_part", F.pmod(F.xxhash64("trade_id"), F.col("_parts")).cast("int")).drop("_parts")
+        renamed = parts.toDF(*(group.get(c, c) for c in parts.columns))
+        copies = beside.join(F.broadcast(renamed), [*group.values()]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        own, copies = own.toDF(*own.columns), copies.toDF(*copies.columns)
+        return checkpointed(own.groupBy(*group, "_part").cogroup(copies.groupBy(*group.values(), "_part")).applyInArrow(run, out))
+
+    by_hour = {"symbol": "_symbol", "_block": "_hour"}
+    first = dealt(asked, side, by_hour, in_hour)
+    left = first.filter("kind is null").select(*keys, "_block")
+    later = dealt(left, hours, {"symbol": "_symbol"}, next_hour).select(*keys, "_block")
+    return first.filter("kind is not null").select(*_HIT).unionByName(dealt(later, side, by_hour, in_hour).filter("kind is not null").select(*_HIT))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.barriers import first_trigger  # noqa: F401
 from barspark.operators.scan import asof
 
 POINT = 0.01
@@ -95,29 +96,6 @@ def entry_tick(trades: DataFrame, ticks: DataFrame) -> DataFrame:
     return near.groupBy("trade_id").agg(F.min("time_msc").alias("tick_msc"))
 
 
-def first_trigger(trades: DataFrame, ticks: DataFrame, horizon_msc: int) -> DataFrame:
-    """trade_id, trigger_msc, kind (SL, TP or AMBIGUOUS): the first tick after the anchor at which a level is reached; longs are closed at the bid, shorts at the ask. Trades without one up to the horizon are asked again over ranges four times as long, up to the end of the ticks."""
-    last = ticks.agg(F.max("time_msc").alias("m")).first()["m"]
-    left, done, span = trades, None, horizon_msc
-    while True:
-        whole = F.lit(last) if span is None else F.least(F.lit(last), c("anchor_msc") + span)
-        rows = left.withColumns({"_lo": c("anchor_msc") + 1, "_hi": whole}).filter("_lo <= _hi")
-        price = F.when(c("direction") == 1, c("bid")).otherwise(c("ask"))
-        way = c("direction")
-        stop, target = (price - c("stop_price")) * way <= 0, (price - c("target_price")) * way >= 0
-        kind = F.when(stop & target, "AMBIGUOUS").when(stop, "SL").when(target, "TP")
-        hits = in_range(rows, ticks, "_lo", "_hi").withColumn("kind", kind).filter("kind is not null")
-        # Several ticks may share a millisecond: if both levels are reached in it, the order is not known.
-        at = hits.groupBy("trade_id", "time_msc").agg(F.when(F.count_distinct("kind") > 1, "AMBIGUOUS").otherwise(F.min("kind")).alias("kind"))
-        found = at.groupBy("trade_id").agg(F.min("time_msc").alias("trigger_msc"), F.min_by("kind", "time_msc").alias("kind"))
-        done = found if done is None else done.unionByName(found)
-        if last is None or span is None or left.agg(F.max(F.lit(last) - c("anchor_msc"))).first()[0] <= span:
-            return done
-        left, span = left.join(found.select("trade_id"), "trade_id", "left_anti"), span * 4
-        if left.isEmpty():
-            return done
-
-
 def delay_endpoints(events: DataFrame, ticks: DataFrame, delay_msc: int) -> DataFrame:
     """events (event_id, symbol, time_msc, fill) with the last tick at or before, and the first at or after, time + delay, and which of them explains the fill."""
     at = events.withColumn("due", c("time_msc") + delay_msc).drop("time_msc")

@@ -50,23 +50,28 @@ def rolling_folds(rows: DataFrame, research: int = 12, validation: int = 3, step
     return _fold_rows("rolling", spans, found).unionByName(_short(found, "rolling", research + validation))
 
 
-def expanding_folds(rows: DataFrame, validation: int = 3, least: int = 12) -> DataFrame:
-    found = months(rows)
+def expanding_folds(rows: DataFrame, validation: int = 3, least: int = 12, length: int = 7) -> DataFrame:
+    found = months(rows, length=length)
     n = found.agg(F.count("*").alias("n")).filter(c("n") >= least + validation)
     ends = n.select(F.explode(F.sequence(F.lit(least), c("n") - validation, F.lit(validation))).alias("e"))
     spans = ends.select(((c("e") - least) / validation + 1).cast("int").alias("number"), F.lit(1).alias("research_from"), c("e").alias("research_to"), (c("e") + validation).alias("validation_to"))
     return _fold_rows("expanding", spans, found).unionByName(_short(found, "expanding", least + validation))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, checkpointed, with a number of its own for each row."""
+    return checkpointed(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def _each_segment(everyone: DataFrame, folds: DataFrame) -> DataFrame:
     """Each row of everyone in each fold and segment, of which there are few."""
     return everyone.distinct().crossJoin(F.broadcast(folds.select("fold_id", "segment").distinct()))
 
 
-def fold_metrics(trades: DataFrame, folds: DataFrame, keys: list[str], everyone: DataFrame | None = None) -> DataFrame:
-    """Metrics of the trades of each fold and segment, for each key of everyone (or of the trades), also where it had no trades. folds is small: one row for each fold and month."""
+def fold_metrics(trades: DataFrame, folds: DataFrame, keys: list[str], everyone: DataFrame | None = None, length: int = 7) -> DataFrame:
+    """Metrics of the trades of each fold and segment, for each key of everyone (or of the trades), also where it had no trades. folds is small: one row for each fold and month, or day with a length of 10."""
     everyone = trades if everyone is None else everyone
-    rows = trades.withColumn("month", F.substring("broker_date", 1, 7)).join(F.broadcast(folds), "month")
+    rows = trades.withColumn("month", F.substring("broker_date", 1, length)).join(F.broadcast(folds), "month")
     own = [*keys, "fold_id", "segment"]
     out = metrics.totals(rows, own).join(metrics.drawdowns(rows, own), own).join(metrics.positive_day_fraction(rows, own), own)
     out = metrics.with_idle(out, _each_segment(everyone.select(*keys), folds), own)
@@ -78,13 +83,13 @@ def walk_forward(signals: DataFrame, bars: DataFrame, settings: DataFrame, folds
     from barspark.operators.trades import signals_to_trades
 
     dated = bars.withColumn("month", F.date_format("bar_ts", period)).join(F.broadcast(folds), "month")
-    part = F.concat_ws("|", "symbol", "fold_id", "segment")
+    # Each slice is a series of its own, named by a number.
+    parts = numbered(dated.select("symbol", "fold_id", "segment").distinct(), "part")
     w = Window.partitionBy("part").orderBy("bar_idx")
-    sliced = dated.withColumn("part", part).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    sliced = dated.join(parts, ["symbol", "fold_id", "segment"]).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     own = signals.join(sliced.select("symbol", "bar_idx", "part", "idx"), ["symbol", "bar_idx"]).select("experiment_id", c("part").alias("symbol"), c("idx").alias("bar_idx"), "signal")
     market = sliced.drop("symbol", "bar_idx", "month", "fold_id", "segment").withColumnsRenamed({"part": "symbol", "idx": "bar_idx"})
-    t = signals_to_trades(own, market, settings)
-    t = t.withColumn("fold_id", F.split_part("symbol", F.lit("|"), F.lit(2))).withColumn("segment", F.split_part("symbol", F.lit("|"), F.lit(3)))
+    t = signals_to_trades(own, market, settings).withColumnRenamed("symbol", "part").join(parts, "part").drop("part")
     keys = ["experiment_id", "fold_id", "segment"]
     seq = F.row_number().over(Window.partitionBy(*keys).orderBy("entry_ts", "symbol"))
     return metrics.summarize(t.withColumn("trade_seq", seq), keys, everyone=_each_segment(settings.select("experiment_id"), folds))
@@ -113,40 +118,71 @@ def cost_scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label string, slippage_new double, commission_new double, spread_multiplier double")
 
 
-def cost_stress(signals: DataFrame, bars: DataFrame, settings: DataFrame) -> DataFrame:
-    """Metrics of each experiment of settings under each scenario, also without trades; all scenarios run as one job. A scenario's spreads are rounded half to even."""
+def _run_metrics(signals: DataFrame, bars: DataFrame, runs: DataFrame) -> DataFrame:
+    """runs with metrics, also without trades. runs: run (a number), variant, settings, spread_multiplier; signals has the variant as experiment_id. Spreads are rounded half to even."""
     from barspark.operators.trades import signals_to_trades
 
-    scenarios = cost_scenarios(bars.sparkSession)
-    label = lambda df: df.withColumn("_e", F.concat_ws("|", "experiment_id", "label")).drop("experiment_id", "label").withColumnRenamed("_e", "experiment_id")
-    own = settings.crossJoin(F.broadcast(scenarios)).withColumn("slippage", F.coalesce("slippage_new", "slippage")).withColumn("commission", F.coalesce("commission_new", "commission"))
-    out = None
+    out, settings = None, runs.select(c("run").alias("experiment_id"), *SETTINGS, "spread_multiplier")
+    named = signals.withColumnRenamed("experiment_id", "variant").join(runs.select("variant", "run", "spread_multiplier"), "variant")
     for m in SPREAD:
+        mine = named.filter(c("spread_multiplier") == m).select(c("run").alias("experiment_id"), "symbol", "bar_idx", "signal")
         stressed = bars.withColumn("spread", F.rint(c("spread") * m))
-        mine = own.filter(c("spread_multiplier") == m)
-        s = signals.join(mine.select("experiment_id", "label"), "experiment_id")
-        t = signals_to_trades(label(s), stressed, label(mine.drop("slippage_new", "commission_new", "spread_multiplier")))
+        t = signals_to_trades(mine, stressed, settings.filter(c("spread_multiplier") == m).drop("spread_multiplier"))
         out = t if out is None else out.unionByName(t)
-    out = out.withColumn("label", F.split_part("experiment_id", F.lit("|"), F.lit(2))).withColumn("experiment_id", F.split_part("experiment_id", F.lit("|"), F.lit(1)))
-    keys = ["experiment_id", "label"]
-    found = metrics.totals(out, keys).join(metrics.drawdowns(out, keys), keys)
-    return metrics.with_idle(found, settings.select("experiment_id").crossJoin(F.broadcast(scenarios.select("label"))), keys)
+    out = checkpointed(out)
+    found = metrics.totals(out, ["experiment_id"]).join(metrics.drawdowns(out, ["experiment_id"]), "experiment_id")
+    found = metrics.with_idle(found, settings, ["experiment_id"]).withColumnRenamed("experiment_id", "run")
+    return runs.drop(*SETTINGS, "spread_multiplier", "variant").join(found, "run").drop("run")
 
 
-def parameter_stress(bars: DataFrame, experiments: DataFrame, settings: DataFrame, domains: DataFrame) -> DataFrame:
-    """experiment_id, param, value and the metrics of each experiment (experiment_id, strategy, params) with one parameter moved at a time (see parameter_neighbors), also without trades."""
+#: The columns of settings that a run may change or keep.
+SETTINGS = ["stop_atr", "target_r", "time_exit_minutes", "atr_trail", "commission", "slippage", "preferred_risk", "hard_risk", "max_lot"]
+
+
+def _cost_runs(settings: DataFrame) -> DataFrame:
+    """Each experiment of settings under each scenario: experiment_id, label, settings, spread_multiplier."""
+    own = settings.crossJoin(F.broadcast(cost_scenarios(settings.sparkSession)))
+    own = own.withColumns({"slippage": F.coalesce("slippage_new", "slippage"), "commission": F.coalesce("commission_new", "commission")})
+    return own.select("experiment_id", "label", *SETTINGS, "spread_multiplier")
+
+
+def cost_stress(signals: DataFrame, bars: DataFrame, settings: DataFrame) -> DataFrame:
+    """experiment_id, label and the metrics of each experiment of settings under each scenario, also without trades."""
+    return _run_metrics(signals, bars, numbered(_cost_runs(settings).withColumn("variant", c("experiment_id")), "run"))
+
+
+def _variants(experiments: DataFrame, domains: DataFrame) -> DataFrame:
+    """experiment_id, param, value, strategy, params and variant (a number) of the neighbours of experiments (see parameter_neighbors)."""
     from barspark.operators.experiments import parameter_neighbors
+
+    return numbered(parameter_neighbors(experiments, domains).join(experiments.select("experiment_id", "strategy"), "experiment_id"), "variant")
+
+
+def parameter_stress(bars: DataFrame, experiments: DataFrame, settings: DataFrame, domains: DataFrame) -> DataFrame:
+    """experiment_id, param, value and the metrics of each experiment (experiment_id, strategy, params) with one parameter moved at a time, also without trades."""
     from barspark.operators.signals import evaluate_table
-    from barspark.operators.trades import signals_to_trades
 
-    near = parameter_neighbors(experiments, domains).join(experiments.select("experiment_id", "strategy"), "experiment_id")
-    near = checkpointed(near.withColumn("run", F.concat_ws("|", c("experiment_id").cast("string"), "param", c("value").cast("string"))))
-    signals = evaluate_table(bars, near.select(c("run").alias("experiment_id"), "strategy", "params"))
-    own = settings.join(near.select("experiment_id", "run"), "experiment_id").drop("experiment_id").withColumnRenamed("run", "experiment_id")
-    t = signals_to_trades(signals, bars, own)
-    found = metrics.totals(t, ["experiment_id"]).join(metrics.drawdowns(t, ["experiment_id"]), "experiment_id")
-    found = metrics.with_idle(found, near.select(c("run").alias("experiment_id")), ["experiment_id"]).withColumnRenamed("experiment_id", "run")
-    return near.select("experiment_id", "param", "value", "run").join(found, "run").drop("run")
+    near = _variants(experiments, domains)
+    signals = evaluate_table(bars, near.select(c("variant").alias("experiment_id"), "strategy", "params"))
+    runs = near.select("experiment_id", "param", "value", "variant").join(settings, "experiment_id").withColumns({"run": c("variant"), "spread_multiplier": F.lit(1.0)})
+    return _run_metrics(signals, bars, checkpointed(runs))
+
+
+def stress_runs(signals: DataFrame, bars: DataFrame, experiments: DataFrame, settings: DataFrame, domains: DataFrame) -> DataFrame:
+    """experiment_id, stress_type (cost or parameter), label (scenario or parameter=value) and metrics: one table of runs, keyed by experiment and scenario, which one job fills.
+
+    signals are those of the experiments; their neighbours' are found here, all in one table.
+    """
+    from barspark.operators.signals import evaluate_table
+
+    base = numbered(settings.select("experiment_id").distinct(), "variant").withColumn("variant", -1 - c("variant"))  # the neighbours' numbers are not below 0
+    near = _variants(experiments, domains)
+    moved = evaluate_table(bars, near.select(c("variant").alias("experiment_id"), "strategy", "params"))
+    own = signals.join(base, "experiment_id").select(c("variant").alias("experiment_id"), "symbol", "bar_idx", "signal")
+    label = F.concat("param", F.lit("="), c("value").cast("string")).alias("label")
+    param_runs = near.select("experiment_id", label, "variant").join(settings.select("experiment_id", *SETTINGS), "experiment_id").withColumns({"spread_multiplier": F.lit(1.0), "stress_type": F.lit("parameter")})
+    cost_runs = _cost_runs(settings).join(base, "experiment_id").withColumn("stress_type", F.lit("cost"))
+    return _run_metrics(own.unionByName(moved), bars, numbered(cost_runs.unionByName(param_runs), "run"))
 
 
 def stress_report(stressed: DataFrame) -> DataFrame:
@@ -171,15 +207,21 @@ def _quantiles(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataF
 
 #: Of the samples and values of a key, about so many are in memory at once.
 _DRAWN = 2_000_000
-_PRIME = (1 << 31) - 1
+_WORD = 1 << 32
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit word with every bit spread over all of them (the finalizer of a public hash; fixed values)."""
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B) % np.uint64(_WORD)
+    x = (x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35) % np.uint64(_WORD)
+    return x ^ (x >> np.uint64(16))
 
 
-def _draws(base: np.ndarray | int, sample: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A pseudo-random integer below _PRIME for each sample and place, by integer arithmetic that SQL has too."""
-    x = (base * 1_000_003 + sample) % _PRIME
-    x = (x * 48_271 + place) % _PRIME
-    x = (x ^ (x >> 13)) * 69_621 % _PRIME
-    return (x ^ (x >> 11)) * 16_807 % _PRIME
+def _draws(base: int, sample: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number below _WORD for each sample and place: a counter-based generator, keyed by the sample's own word, in arithmetic that SQL has too."""
+    words = lambda x: x.astype(np.uint64)
+    key = _mixed((np.uint64(base) + words(sample) * np.uint64(0x9E3779B9)) % np.uint64(_WORD))
+    return _mixed(_mixed((key + words(place) * np.uint64(0x7FEB352D)) % np.uint64(_WORD)) ^ key)
 
 
 def _resampled(values: DataFrame, keys: list[str], n: int, seed: int, columns: list[str], one: Callable) -> DataFrame:
@@ -210,8 +252,8 @@ def bootstrap_days(trades: DataFrame, keys: list[str], n: int = 5000, seed: int
     listed = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("broker_date", "d"))).alias("x")).select(*keys, c("x.d").alias("values"))
 
     def one(d: np.ndarray, base: int, sample: np.ndarray):
-        place = _draws(base, sample[:, None], np.arange(len(d))[None, :]) * len(d) // _PRIME
-        drawn = d[place]
+        place = _draws(base, sample[:, None], np.arange(len(d))[None, :]) * np.uint64(len(d)) // np.uint64(_WORD)
+        drawn = d[place.astype(np.int64)]
         return drawn.mean(axis=1), drawn.sum(axis=1)
 
     return _quantiles(_resampled(listed, keys, n, seed, ["m", "t"], one), keys, {"m": "mean_daily", "t": "total_pnl"})

@@ -327,7 +327,7 @@ f AS (SELECT trade_id, min(time_msc) AS time_msc FROM h WHERE s OR g GROUP BY 1)
 def l8_whole(spark, sf):
     t, way = fx.ticks(spark, sf), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
     trades = t.select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("anchor_msc"), way.alias("direction"), (F.col("bid") - way * 40).alias("stop_price"), (F.col("bid") + way * 60).alias("target_price"))
-    return reconcile.first_trigger(trades, t, 6 * 3_600_000)
+    return reconcile.first_trigger(trades, t)
 
 
 @query("l9_delay_endpoints", f"WITH {TICKS_SQL}, t AS (SELECT symbol, time_msc, min(bid) AS bid FROM ticks GROUP BY 1, 2), e AS (SELECT event_id, symbol, time_msc + 600000 AS due FROM ticks), b AS (SELECT e.*, t.time_msc AS before_msc FROM e ASOF LEFT JOIN t ON e.symbol = t.symbol AND e.due >= t.time_msc) SELECT b.event_id, before_msc, t.time_msc AS after_msc FROM b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.due <= t.time_msc")

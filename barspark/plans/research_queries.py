@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.operators import bookkeeping, metrics, signals, trades, validation
+from barspark.operators import bookkeeping, campaign, metrics, signals, trades, validation
 from barspark.operators import experiments as ex
 from barspark.plans import fixtures as fx
 from barspark.plans.bar_queries import r, rs
@@ -282,43 +282,70 @@ def v9(spark, sf):
     return validation.stress_report(stressed(spark, sf)).select("experiment_id", *r("parameter_stability_pct", "cost_stability_pct", "stress_max_drawdown_pct"))
 
 
-def draws_sql(base: str, sample: str, place: str) -> str:
-    """The operators' pseudo-random integer."""
-    p = 2**31 - 1
-    x = f"((({base}) * 1000003 + {sample}) % {p} * 48271 + {place}) % {p}"
-    x = f"(xor({x}, ({x}) >> 13) * 69621 % {p})"
-    return f"(xor({x}, {x} >> 11) * 16807 % {p})"
+def mixed_sql(x: str) -> str:
+    """validation._mixed of an unsigned number."""
+    for step in ("(xor(v, v >> 16) * 2246822507) % 4294967296", "(xor(v, v >> 13) * 3266489909) % 4294967296", "xor(v, v >> 16)"):
+        x = f"list_transform([{x}], lambda v: CAST({step} AS UBIGINT))[1]"
+    return x
 
 
-KEY_BASE = "('0x' || substr(md5('5|' || experiment_id), 1, 7))::BIGINT"
-BOOT = f"""{TRADES_SQL}, dd AS (SELECT experiment_id, broker_date, sum(net_pnl) AS d FROM trades GROUP BY 1, 2), pd AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY broker_date) - 1 AS k, count(*) OVER (PARTITION BY experiment_id) AS n FROM dd),
-dr AS (SELECT experiment_id, i AS sample, {draws_sql(KEY_BASE, 'i', 'k')} * n // 2147483647 AS k FROM pd, range(20) t(i)),
+def key_sql(base: str, sample: str) -> str:
+    """The word of a sample."""
+    return mixed_sql(f"CAST((({base}) + {sample} * 2654435769) % 4294967296 AS UBIGINT)")
+
+
+def draw_sql(key: str, place: str) -> str:
+    """The operators' random number of a place, from the word of its sample."""
+    return mixed_sql(f"CAST(xor({mixed_sql(f'CAST(({key} + {place} * 2146121005) % 4294967296 AS UBIGINT)')}, {key}) AS UBIGINT)")
+
+
+def key_base(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || experiment_id), 1, 7))::BIGINT"
+
+
+def booted(samples: int, seed: int) -> str:
+    """Means and totals of resampled days (sm)."""
+    return f"""{TRADES_SQL}, dd AS (SELECT experiment_id, broker_date, sum(net_pnl) AS d FROM trades GROUP BY 1, 2),
+pd AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY broker_date) - 1 AS k, count(*) OVER (PARTITION BY experiment_id) AS n FROM dd),
+ky AS (SELECT experiment_id, i AS sample, {key_sql(key_base(seed), 'i')} AS word FROM (SELECT DISTINCT experiment_id FROM dd), range({samples}) t(i)),
+dr AS (SELECT experiment_id, sample, CAST({draw_sql('word', 'k')} * n // 4294967296 AS BIGINT) AS k FROM pd JOIN ky USING (experiment_id)),
 sm AS (SELECT dr.experiment_id, sample, avg(d) AS m, sum(d) AS t FROM dr JOIN pd ON pd.experiment_id = dr.experiment_id AND pd.k = dr.k GROUP BY 1, 2)"""
+
+
+def shuffled(samples: int, seed: int) -> str:
+    """The deepest fall of shuffled trades (g)."""
+    w = "WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)"
+    return f"""{TRADES_SQL}, ky AS (SELECT experiment_id, i AS sample, {key_sql(key_base(seed), 'i')} AS word FROM (SELECT DISTINCT experiment_id FROM trades), range({samples}) t(i)),
+h AS (SELECT experiment_id, trade_seq, net_pnl, sample, {draw_sql('word', '(trade_seq - 1)')} AS h FROM trades JOIN ky USING (experiment_id)),
+e AS (SELECT *, sum(net_pnl) OVER w AS eq FROM h {w}), f AS (SELECT experiment_id, sample, greatest(0, max(eq) OVER w) - eq AS fall FROM e {w}), g AS (SELECT experiment_id, sample, max(fall) AS dd FROM f GROUP BY 1, 2)"""
+
+
 BOOTED = [f"{n}_p{q}" for n in ("mean_daily", "total_pnl") for q in (5, 50, 95)]
+BOOTED_SQL = rs(*(f"quantile_cont({x}, {q / 100}) AS {n}_p{q}" for x, n in (("m", "mean_daily"), ("t", "total_pnl")) for q in (5, 50, 95)))
+FALLEN = [f"max_drawdown_p{q}" for q in (5, 50, 95)]
+FALLEN_SQL = rs(*(f"quantile_cont(dd, {q / 100}) AS max_drawdown_p{q}" for q in (5, 50, 95)))
+#: The seed and the number of samples of the operators, as the reference has them.
+SEED, SAMPLES = 9216000, 5000
 
 
-@query("v10_bootstrap_days", f"WITH {BOOT} SELECT experiment_id, {rs(*(f'quantile_cont({x}, {q / 100}) AS {n}_p{q}' for x, n in (('m', 'mean_daily'), ('t', 'total_pnl')) for q in (5, 50, 95)))} FROM sm GROUP BY 1")
+@query("v10_bootstrap_days", f"WITH {booted(20, 5)} SELECT experiment_id, {BOOTED_SQL} FROM sm GROUP BY 1")
 def v10(spark, sf):
     return validation.bootstrap_days(lines(spark, sf), ["experiment_id"], 20, 5).select("experiment_id", *r(*BOOTED))
 
 
-@query("v11_order_monte_carlo", f"""WITH {TRADES_SQL}, h AS (SELECT experiment_id, trade_seq, net_pnl, i AS sample, {draws_sql(KEY_BASE, 'i', '(trade_seq - 1)')} AS h FROM trades, range(10) t(i)), e AS (SELECT *, sum(net_pnl) OVER w AS eq FROM h WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT experiment_id, sample, greatest(0, max(eq) OVER w) - eq AS fall FROM e WINDOW w AS (PARTITION BY experiment_id, sample ORDER BY h, trade_seq ROWS UNBOUNDED PRECEDING)), g AS (SELECT experiment_id, sample, max(fall) AS dd FROM f GROUP BY 1, 2) SELECT experiment_id, {rs(*(f'quantile_cont(dd, {q / 100}) AS max_drawdown_p{q}' for q in (5, 50, 95)))} FROM g GROUP BY 1""")
+@query("v11_order_monte_carlo", f"WITH {shuffled(10, 5)} SELECT experiment_id, {FALLEN_SQL} FROM g GROUP BY 1")
 def v11(spark, sf):
-    return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"], 10, 5).select("experiment_id", *r(*(f"max_drawdown_p{q}" for q in (5, 50, 95))))
-
+    return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"], 10, 5).select("experiment_id", *r(*FALLEN))
 
-# The resampling over the reference's 5,000 samples, which the twins of v10 and v11 (20 and 10) can't follow.
 
-
-@query("v10_bootstrap_days_5000")
+@query("v10_bootstrap_days_5000", f"WITH {booted(SAMPLES, SEED)} SELECT experiment_id, {BOOTED_SQL} FROM sm GROUP BY 1")
 def v10_whole(spark, sf):
     return validation.bootstrap_days(lines(spark, sf), ["experiment_id"]).select("experiment_id", *r(*BOOTED))
 
 
-@query("v11_order_monte_carlo_5000")
+@query("v11_order_monte_carlo_5000", f"WITH {shuffled(SAMPLES, SEED)} SELECT experiment_id, {FALLEN_SQL} FROM g GROUP BY 1")
 def v11_whole(spark, sf):
-    return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"]).select("experiment_id", *r(*(f"max_drawdown_p{q}" for q in (5, 50, 95))))
+    return validation.order_monte_carlo(lines(spark, sf), ["experiment_id"]).select("experiment_id", *r(*FALLEN))
 
 
 PFX = "sum(CASE WHEN net_pnl > 0 AND {w} THEN net_pnl ELSE 0 END) / nullif(abs(sum(CASE WHEN net_pnl < 0 THEN net_pnl ELSE 0 END)), 0)"
@@ -398,6 +425,58 @@ def v17(spark, sf):
     return df.select("experiment_id", F.array_join("robust_reasons", ";").alias("reasons"), *r("robustness_component"))
 
 
+# The same from the experiments' own runs: folds of days, costs and parameters traded anew, 5,000 samples.
+
+
+def _own_trades(econ: str) -> str:
+    return f"{econ}, trades AS (SELECT experiment_id, broker_date, trade_seq, net_pnl FROM econ)"
+
+
+def _of_days(sql: str) -> str:
+    """A chain of parts that begins with TRADES_SQL, over the settings' trades and their days."""
+    return sql.replace(TRADES_SQL, _own_trades(ECON)).replace("broker_date, 7)", "broker_date, 10)")
+
+
+def stress_sql(econ: str, kind: str) -> str:
+    """stress_type, profit_factor, expectancy_usd, max_drawdown_pct of each setting in one run of the trades."""
+    return f"(WITH RECURSIVE {econ}{ECON_DD} SELECT s.experiment_id, '{kind}' AS stress_type, {PFX.format(w='true')} AS profit_factor, avg(net_pnl) AS expectancy_usd, coalesce(max((peak - equity) / peak * 100), 0) AS max_drawdown_pct FROM settings s LEFT JOIN fall f ON f.experiment_id = s.experiment_id GROUP BY 1)"
+
+
+OWN_ECON = lambda econ: econ.replace(", ('E6', 1000.0, 1.0, NULL, NULL)", "")
+RUNS = " UNION ALL ".join([stress_sql(OWN_ECON(e), "cost") for _, e in COST_RUNS] + [stress_sql(OWN_ECON(lookback_econ(n)), "parameter") for n in (16, 18, 22, 24)])
+OWN_EVID = f"""{_of_days(FSUM)}, {EXPANDED.replace("broker_date, 7)", "broker_date, 10)")}, {REMOVED[len(TRADES_SQL) + 1 :].lstrip()}, {booted(SAMPLES, SEED)[len(TRADES_SQL) + 1 :].lstrip()},
+bt AS (SELECT experiment_id, quantile_cont(m, 0.05) AS mean_daily_p5 FROM sm GROUP BY 1), runs AS ({RUNS}),
+rep AS (SELECT experiment_id, 100.0 * count(*) FILTER (stress_type = 'parameter' AND profit_factor > 1 AND expectancy_usd > 0) / count(*) FILTER (stress_type = 'parameter') AS parameter_stability_pct,
+  100.0 * count(*) FILTER (stress_type = 'cost' AND profit_factor > 1) / count(*) FILTER (stress_type = 'cost') AS cost_stability_pct, max(max_drawdown_pct) AS stress_max_drawdown_pct FROM runs GROUP BY 1),
+five AS (SELECT experiment_id, net_profit AS five_net FROM rm WHERE removed = 5),
+ev AS (SELECT * FROM fsum JOIN rep USING (experiment_id) JOIN five USING (experiment_id) JOIN bt USING (experiment_id) JOIN (SELECT experiment_id, validation_joint_stability_fraction AS expanding_joint FROM xfsum) USING (experiment_id))"""
+EVIDENCE_COLUMNS = ["expanding_validation_joint_stability_fraction", "rolling_validation_joint_stability_fraction", "median_validation_pf", "parameter_stability_pct", "cost_stability_pct", "stress_max_drawdown_pct", "top_five_removal_net_profit", "mean_daily_p5"]
+
+
+def own_evidence(spark, sf):
+    """Evidence of the settings' experiments, and their trades."""
+    market, s = breakouts(spark, sf)
+    own = settings(spark)
+    t = trades.checkpointed(trades.signals_to_trades(s, market, own))
+    base = own.select("experiment_id", F.lit("nbar_breakout").alias("strategy"), F.create_map(F.lit("lookback"), F.lit(20.0)).alias("params"))
+    return campaign.evidence(s, t, market, base, own, ex.domains_table(spark, signals.RULES), length=10), t
+
+
+@query("v16_evidence_of_runs", f"WITH RECURSIVE {OWN_EVID} SELECT experiment_id, {rs('expanding_joint AS expanding_validation_joint_stability_fraction', 'validation_joint_stability_fraction AS rolling_validation_joint_stability_fraction', 'median_validation_pf', 'parameter_stability_pct', 'cost_stability_pct', 'stress_max_drawdown_pct', 'five_net AS top_five_removal_net_profit', 'mean_daily_p5')} FROM ev")
+def v16_runs(spark, sf):
+    return own_evidence(spark, sf)[0].select("experiment_id", *r(*EVIDENCE_COLUMNS))
+
+
+OWN_ROBUST = f"{OWN_EVID}, {ROBUST[len(EVID) + 1 :].lstrip()}"
+
+
+@query("v17_decision_of_runs", f"WITH RECURSIVE {OWN_ROBUST} SELECT experiment_id, array_to_string(reasons, ';') AS reasons, {rs('robustness_component')} FROM rd")
+def v17_runs(spark, sf):
+    found, t = own_evidence(spark, sf)
+    df = validation.robust_decision(found.join(metrics.totals(t, ["experiment_id"]).select("experiment_id", "profit_factor"), "experiment_id"))
+    return df.select("experiment_id", F.array_join("robust_reasons", ";").alias("reasons"), *r("robustness_component"))
+
+
 def _eased(spark, sf):
     """Metrics with drawdowns eased, so that some candidates pass."""
     return summary(spark, sf).withColumn("max_drawdown_pct", F.col("max_drawdown_pct") / 15)

@@ -27,8 +27,8 @@ from barspark.llm.shared import kept, new_folder
 FRAME_BYTES, FILE_BYTES = 1 << 20, 1 << 30
 ENTRY = np.dtype([("id", "<i8"), ("known", "u1"), ("width", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("count", "<u8")])
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
-#: Ids of pieces that a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Ids of pieces that a Python worker remembers within a task, and from one task to the next: a worker may serve other operators then.
+REMEMBERED, REMEMBERED_AFTER = 1_000_000, 200_000
 
 
 class PieceIds(dict):
@@ -52,6 +52,12 @@ class PieceIds(dict):
         self[piece] = ids
         return ids
 
+    def end_task(self) -> None:
+        """Give the memory of many pieces back."""
+        for known in (self, self.first):
+            if len(known) > REMEMBERED_AFTER:
+                known.clear()
+
     def start(self, piece: str) -> bytes:
         """Ids of a piece that has no space before it."""
         if piece not in self.first:
@@ -86,6 +92,7 @@ def _encoder(path: str):
             return pieces.encode(text) if len(text) > 40 else pieces.start(text)
         return pieces.start(parts[0]) + b"".join(map(pieces.__getitem__, parts[1:]))
 
+    encode.end_task = pieces.end_task
     return encode, width
 
 
@@ -130,6 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     yield done()
         if out:
             yield done()
+        encode.end_task()
 
     return kept(rows.mapInArrow(write, MANIFEST), "manifest")
 

@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.llm.contraction import subtree_totals
-from barspark.llm.shared import kept
+from barspark.llm.shared import join_frequent, kept
 
 #: A conversation begins with turns of the first of its family of so many; how many is a hash modulo this.
 FAMILY, SHARED_TURNS = 100, 6
-#: Keys with more than one in so many of all rows are joined by a broadcast, so that has fewer rows than this.
-FREQUENT = 1000
 #: Characters of a piece of a list of members.
 PIECE_CHARS = 1 << 16
 
@@ -79,17 +77,6 @@ def scan(df: DataFrame, key: str, order: list[Column], mixed: tuple[str, ...] =
     return whole.withColumns({c: F.col(c).bitwiseXOR(F.coalesce(f"_x_{c}", F.lit(0))) for c in mixed}).drop("_range", "_n", *(f"_x_{c}" for c in mixed))
 
 
-def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """left with the one row that right has for its keys, or nulls. Keys that more than one in FREQUENT rows of left have, fewer than FREQUENT, are joined by a broadcast,
-    the others by a shuffle, so no key fills a task. counts: keys and their rows (n) in left, if known."""
-    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    limit = counts.agg((F.sum("n") / FREQUENT).alias("_limit"))
-    often = kept(counts.join(F.broadcast(limit), F.col("n") > F.col("_limit")).select(*keys, F.lit(True).alias("_often")), "frequent")
-    marked = left.join(F.broadcast(often), keys, "left")
-    hot = marked.filter("_often").drop("_often").join(F.broadcast(right.join(F.broadcast(often.select(*keys)), keys)), keys, "left")
-    return hot.unionByName(marked.filter("_often is null").drop("_often").join(right, keys, "left"))
-
-
 def shared_turns(conv_id: Column) -> Column:
     """How many turns of its family's first conversation a conversation begins with."""
     return F.crc32(conv_id.cast("string")) % SHARED_TURNS

@@ -69,3 +69,21 @@ def number_copies(df: DataFrame, key: list[str], name: str) -> DataFrame:
         same = same & F.col(c).eqNullSafe(F.col(c + "_k"))
     placed = rows.withColumn("_nth", F.row_number().over(own)).join(starts, same, "left")
     return placed.withColumn(name, (F.col("_nth") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
+
+
+#: Keys that more than one in so many rows have are joined by a broadcast, which so has fewer rows than this.
+FREQUENT = 1000
+
+
+def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """left with the one row that right has for its keys; where it has none, with nulls, or (how: inner) not at all.
+
+    Keys that more than one in FREQUENT rows of left have are joined by a broadcast, the others by a shuffle, so no key fills a task. left and right are tables, as they are read
+    twice. counts: keys and their rows (n) in left, if known.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    limit = counts.agg((F.sum("n") / FREQUENT).alias("_limit"))
+    often = kept(counts.join(F.broadcast(limit), F.col("n") > F.col("_limit")).select(*keys, F.lit(True).alias("_often")), "frequent")
+    marked = left.join(F.broadcast(often), keys, "left")
+    hot = marked.filter("_often").drop("_often").join(F.broadcast(right.join(F.broadcast(often.select(*keys)), keys)), keys, how)
+    return hot.unionByName(marked.filter("_often is null").drop("_often").join(right.hint("merge"), keys, how))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm.arrays import U64, Words, chunks, covered, gram_hashes, gram_starts, mix, signed
-from barspark.llm.shared import kept, row_key
+from barspark.llm.shared import join_frequent, kept, row_key
 
 LENGTH, ANCHOR = 35, 8
 #: Of a 64-bit order, the low bits hold the place: of equal hashes the last one wins.
@@ -103,22 +103,20 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     rows = docs.select("row_key", "text")
     found = kept(rows.mapInArrow(_occurrences(length, anchor), "row_key long, span long, anchor long, run long"), "anchors")
     seeds = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("least"), F.max("run").alias("most")).filter("n > 1")
-    seeds = kept(seeds.select("anchor", (F.col("least") == F.col("most")).alias("alike")), "seeds")
-    # Both sides are read from tables, so that the one with a frequent anchor can be split; a seed is one row.
-    shared = kept(found.join(seeds.hint("merge"), "anchor"), "shared-anchors")
+    seeds = kept(seeds.select("anchor", "n", (F.col("least") == F.col("most")).alias("alike")), "seeds")
+    shared = kept(join_frequent(found, seeds.select("anchor", "alike"), ["anchor"], seeds.select("anchor", "n"), "inner"), "shared-anchors")
 
     unlike = shared.filter(~F.col("alike"))
     runs = unlike.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.first("row_key").alias("row_key"), F.first("span").alias("span"))
     runs = kept(runs, "runs")
     opened = runs.groupBy("row_key").agg(F.collect_list(F.struct("span", "anchor", "run")).alias("runs"))
     windows = kept(opened.join(rows, "row_key").select("text", "runs").mapInArrow(_open_windows(length), "anchor long, run long, place long, window long").distinct(), "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    masks = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
+    twice = kept(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-windows")
+    masks = join_frequent(windows, twice.drop("n"), ["anchor", "window"], twice, "inner").groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
     marks = masks.unionByName(runs.filter("n > 1").select("anchor", "run", F.lit(-1).cast("long").alias("mask")))
     marks = kept(marks.groupBy("anchor", "run").agg(F.bit_or("mask").alias("mask")), "marks")
     alike = shared.filter("alike").select("row_key", "span", F.lit(-1).cast("long").alias("mask"))
-    # A table on both sides, so that a run of many occurrences can be split; its mark is one row.
-    return unlike.join(marks.hint("merge"), ["anchor", "run"]).select("row_key", "span", "mask").unionByName(alike)
+    return join_frequent(unlike, marks, ["anchor", "run"], runs.select("anchor", "run", "n"), "inner").select("row_key", "span", "mask").unionByName(alike)
 
 
 def _cut(length: int):

@@ -148,25 +148,34 @@ def normal_name(x: Column) -> Column:
 
 
 def historical_matches(experiments: DataFrame, history: DataFrame) -> DataFrame:
-    """experiment_id, matches: ids of history (historical_id, strategy_name, params) of the same normalised name whose shared parameters are equal or missing."""
-    left = experiments.select("experiment_id", normal_name(c("strategy")).alias("name"), "params")
-    right = history.filter("historical_id is not null").select("historical_id", normal_name(c("strategy_name")).alias("name"), c("params").alias("past"))
+    """experiment_id, matches: ids of history (historical_id, strategy_name, params) of the same normalised name whose shared parameters are equal or missing.
+
+    History is an inverted index from (name, set of parameters, parameter, value) to its rows. Of the parameters that an experiment shares with a set, the one whose value is
+    rarest there is looked up, so a pair meets once, and values that many rows have are looked up only where nothing rarer is shared.
+    """
+    given = lambda m: F.map_filter(m, lambda k, v: v.isNotNull())
+    names = lambda m: F.array_sort(F.map_keys(given(m)))
+    left = experiments.select("experiment_id", normal_name(c("strategy")).alias("name"), "params", names("params").alias("has"))
+    right = history.filter("historical_id is not null").select("historical_id", normal_name(c("strategy_name")).alias("name"), c("params").alias("past"), names("params").alias("had"))
     close = lambda k: F.coalesce(F.abs(c("past")[k] - c("params")[k]) <= F.greatest(F.lit(1e-12), 1e-10 * F.greatest(F.abs(c("past")[k]), F.abs(c("params")[k]))), F.lit(True))
-    # Pairs that share a parameter meet on one of equal value, in narrow steps of its logarithm; what is small is one step.
+    # Equal values meet in narrow steps of the logarithm, or one step beside; what is small is one step.
     step = lambda x: F.when(F.abs(x) < 1e-3, F.lit(0)).otherwise(F.signum(x) * F.floor(F.log(F.abs(x)) * 1e8)).cast("long")
-    key = F.map_filter("params", lambda k, v: v.isNotNull())
-    own = left.select("*", F.explode(key).alias("param", "value"))
     steps = F.when(F.abs("value") < 1e-3, F.array(F.lit(0).cast("long"))).otherwise(F.array(*(step(c("value")) + d for d in (-1, 0, 1)), *([F.when(F.abs("value") < 1.1e-3, F.lit(0).cast("long"))])))
-    own = own.withColumn("step", F.explode(F.array_distinct(F.array_compact(steps)))).drop("value")
-    shown = right.select("*", F.explode(F.map_filter("past", lambda k, v: v.isNotNull())).alias("param", "value")).withColumn("step", step(c("value"))).drop("value")
-    shared = own.join(shown, ["name", "param", "step"]).filter(F.forall(F.map_keys("params"), close)).select("experiment_id", "historical_id")
-    # Pairs that share none match by name alone: all of two sets of parameter names that do not meet.
-    names = lambda m: F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull())))
-    left, right = left.withColumn("has", names("params")), right.withColumn("had", names("past"))
-    kinds = left.select("name", "has").distinct().join(right.select("name", "had").distinct(), "name").filter(~F.arrays_overlap("has", "had"))
-    apart = left.join(kinds, ["name", "has"]).join(right, ["name", "had"]).select("experiment_id", "historical_id")
-    found = shared.unionByName(apart)
-    return found.groupBy("experiment_id").agg(F.array_sort(F.collect_set("historical_id")).alias("matches"))
+    place = ["name", "had", "param", "step"]
+    shown = right.select("*", F.explode(given("past")).alias("param", "value")).withColumn("step", step(c("value"))).drop("value")
+    sizes = shown.groupBy(*place).agg(F.count("*").alias("n"))
+
+    # Every experiment with the few sets of parameters that its name has in history.
+    kinds = left.join(right.select("name", "had").distinct(), "name")
+    asked = kinds.withColumn("param", F.explode(F.array_intersect("has", "had"))).withColumn("value", c("params")[c("param")])
+    asked = asked.withColumn("step", F.explode(F.array_distinct(F.array_compact(steps)))).drop("value")
+    found = asked.join(sizes, place, "left")
+    rarest = found.groupBy("experiment_id", "name", "had", "param").agg(F.sum(F.coalesce("n", F.lit(0))).alias("rows")).groupBy("experiment_id", "name", "had").agg(F.min_by("param", F.struct("rows", "param")).alias("param"))
+    chosen = found.filter("n > 0").join(rarest, ["experiment_id", "name", "had", "param"]).drop("n")
+    shared = chosen.join(shown, place).filter(F.forall(F.map_keys("params"), close)).select("experiment_id", "historical_id")
+    # Pairs that share no parameter match by name alone.
+    apart = kinds.filter(~F.arrays_overlap("has", "had")).join(right, ["name", "had"]).select("experiment_id", "historical_id")
+    return shared.unionByName(apart).groupBy("experiment_id").agg(F.array_sort(F.collect_set("historical_id")).alias("matches"))
 
 
 def parameter_neighbors(experiments: DataFrame, domains: DataFrame, shifts: tuple[float, ...] = (-0.2, -0.1, 0.1, 0.2)) -> DataFrame:

@@ -109,6 +109,49 @@ def signal_sql(name: str) -> str:
     return f"WITH {MARKET_SQL}{ctes}\nSELECT symbol, bar_idx, signal FROM (SELECT symbol, bar_idx, CAST(CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END AS INTEGER) AS signal FROM {last}) WHERE signal <> 0"
 
 
+def retest_sql(p: dict, per_root: bool) -> str:
+    """Bar by bar, as a recursion over all series at once: phase 0 waits for quiet, 1 for a break, 2 for a return and its confirmation."""
+    n, scale = p["compression_lookback"], p["compression_lookback"] ** 0.5 if per_root else 1.0
+    tol, conf, buffer, body = (f"{p[k]}::DOUBLE * {{}}" for k in ("retest_tolerance_atr", "confirmation_atr", "breakout_buffer_atr", "breakout_body_atr"))
+    return f"""WITH RECURSIVE {MARKET_SQL}, b0 AS (SELECT symbol, bar_idx AS i, open AS o, high AS h, low AS l, close AS c, lag(atr) OVER (PARTITION BY symbol ORDER BY bar_idx) AS a1,
+  CASE WHEN bar_idx >= {n} THEN max(high) OVER p END AS hi, CASE WHEN bar_idx >= {n} THEN min(low) OVER p END AS lo FROM market WINDOW p AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)),
+b AS MATERIALIZED (SELECT *, coalesce(a1 > 0 AND (hi - lo) / (a1 * {scale}) <= {p["compression_atr_ratio"]}, false) AS quiet FROM b0),
+s AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, 0 AS phase, true AS fresh, CAST(0 AS BIGINT) AS since, 0 AS way, 0::DOUBLE AS level, 0::DOUBLE AS top, 0::DOUBLE AS bottom, 0::DOUBLE AS a, false AS touched, 0 AS sig FROM (SELECT DISTINCT symbol FROM b)
+UNION ALL SELECT symbol, i, CASE WHEN phase = 2 THEN CASE WHEN ended OR hit THEN 0 ELSE 2 END WHEN brk <> 0 THEN 2 WHEN arm AND quiet THEN 1 ELSE 0 END,
+  CASE WHEN phase = 2 THEN NOT (ended OR hit) AND fresh WHEN brk <> 0 THEN fresh WHEN quiet THEN fresh ELSE true END,
+  CASE WHEN phase < 2 AND brk <> 0 THEN i ELSE since END, CASE WHEN phase < 2 AND brk <> 0 THEN brk ELSE way END, CASE WHEN phase < 2 AND brk <> 0 THEN CASE WHEN brk > 0 THEN top2 ELSE bottom2 END ELSE level END,
+  top2, bottom2, CASE WHEN phase = 2 THEN a ELSE a2 END, phase = 2 AND touched2, CASE WHEN phase = 2 AND hit AND NOT ended THEN way ELSE 0 END
+FROM (SELECT *, CASE WHEN NOT arm THEN 0 WHEN c > top2 + {buffer.format("a2")} AND c > o AND abs(c - o) >= {body.format("a2")} THEN 1 WHEN c < bottom2 - {buffer.format("a2")} AND c < o AND abs(c - o) >= {body.format("a2")} THEN -1 ELSE 0 END AS brk,
+    touched2 AND CASE WHEN way > 0 THEN c >= level + {conf.format("a")} AND c > o ELSE c <= level - {conf.format("a")} AND c < o END AS hit
+  FROM (SELECT s.symbol, b.i, o, h, l, c, quiet, phase, fresh, since, way, level, a, phase = 1 OR (phase = 0 AND quiet AND fresh) AS arm, CASE WHEN phase = 1 THEN top ELSE hi END AS top2, CASE WHEN phase = 1 THEN bottom ELSE lo END AS bottom2,
+      CASE WHEN phase = 1 THEN a ELSE a1 END AS a2, b.i - since > {p["retest_window_bars"]} OR CASE WHEN way > 0 THEN c < level - {tol.format("a")} ELSE c > level + {tol.format("a")} END AS ended,
+      touched OR CASE WHEN way > 0 THEN l <= level + {tol.format("a")} ELSE h >= level - {tol.format("a")} END AS touched2 FROM s JOIN b ON b.symbol = s.symbol AND b.i = s.i + 1)))
+SELECT symbol, i AS bar_idx, sig AS signal FROM s WHERE sig <> 0"""
+
+
+def sweep_sql(p: dict) -> str:
+    """Each start of a target session with its reference range, and the first bars at which something happens."""
+    asia = p["transition"] == "asia_to_london"
+    source, target = ("session_asia", "session_london") if asia else ("session_london", "session_new_york")
+    refs = (
+        "ends AS (SELECT symbol, i AS e FROM r WHERE was_s AND NOT s), near AS (SELECT st.symbol, st.i, st.t_run, max(e) AS e FROM st JOIN ends ON ends.symbol = st.symbol AND e <= st.i GROUP BY ALL), ref AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY symbol, e ORDER BY i) = 1)"
+        if asia
+        else "ref AS (SELECT symbol, i, t_run, i AS e FROM st WHERE was_s)"
+    )
+    sweep, depth = f"{p['sweep_atr']}::DOUBLE * a", f"{p['reclaim_depth_atr']}::DOUBLE * a"
+    return f"""WITH {MARKET_SQL}, m AS (SELECT symbol, bar_idx AS i, open AS o, high AS h, low AS l, close AS c, atr, {source} AS s, {target} AS t, coalesce(lag({source}) OVER w, false) AS was_s, coalesce(lag({target}) OVER w, false) AS was_t FROM market WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+r AS (SELECT *, sum(CASE WHEN s AND NOT was_s THEN 1 ELSE 0 END) OVER w AS s_run, sum(CASE WHEN t AND NOT was_t THEN 1 ELSE 0 END) OVER w AS t_run FROM m WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)),
+st AS (SELECT * FROM r WHERE t AND NOT was_t), {refs},
+ranged AS (SELECT ref.symbol, ref.i AS start, ref.t_run, max(x.h) AS top, min(x.l) AS bottom FROM ref JOIN r last ON last.symbol = ref.symbol AND last.i = ref.e - 1 JOIN r x ON x.symbol = ref.symbol AND x.s AND x.s_run = last.s_run AND x.i < ref.e GROUP BY ALL),
+armed AS (SELECT ranged.*, (SELECT max_by(atr, i) FROM r WHERE r.symbol = ranged.symbol AND r.i < start AND atr > 0) AS a FROM ranged WHERE top > bottom),
+seen AS (SELECT armed.*, r.i, r.o, r.c, r.h > top + {sweep} AS up, r.l < bottom - {sweep} AS down FROM armed JOIN r ON r.symbol = armed.symbol AND r.t AND r.t_run = armed.t_run AND r.i < start + {p["entry_window_bars"]} WHERE a IS NOT NULL),
+swept AS (SELECT *, min(i) FILTER (up) OVER g AS fu, min(i) FILTER (down) OVER g AS fd FROM seen WINDOW g AS (PARTITION BY symbol, start)),
+told AS (SELECT *, fu IS NOT NULL AND (fd IS NULL OR fu < fd) AS high_first, least(fu, fd) AS since FROM swept WHERE fu IS DISTINCT FROM fd),
+hits AS (SELECT symbol, start, high_first, min(i) FILTER (i > since AND CASE WHEN high_first THEN down ELSE up END) AS other,
+  min(i) FILTER (i BETWEEN since AND since + {p["max_reclaim_bars"]} AND CASE WHEN high_first THEN c < top - {depth} AND c < o ELSE c > bottom + {depth} AND c > o END) AS back FROM told GROUP BY ALL)
+SELECT symbol, back AS bar_idx, CASE WHEN high_first THEN -1 ELSE 1 END AS signal FROM hits WHERE back IS NOT NULL AND (other IS NULL OR back < other)"""
+
+
 def _query(name: str, params: dict):
     def run(spark, sf_dir):
         return signals.evaluate(market(spark, sf_dir), name, params).filter("signal != 0").select("symbol", "bar_idx", "signal")
@@ -122,7 +165,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"sig_{name}": signal_sql(name) for name in CASES}
+    more = {label: sweep_sql(p) if "transition" in p else retest_sql(p, name.endswith("v2")) for label, (name, p) in MORE.items()}
+    return {f"sig_{name}": signal_sql(name) for name in CASES} | {f"sig_{label}": sql for label, sql in more.items()}
 
 
 def flagship(spark, sf_dir):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.functions import prices
-from barspark.operators import features, metrics, quality, scan, signals, trades, validation
+from barspark.operators import barriers, features, metrics, quality, scan, signals, trades, validation
 from barspark.operators.frames import Frames
 
 BAR = "symbol string, bar_ts timestamp_ntz, bar_idx long, open double, high double, low double, close double, tick_volume long, spread long, real_volume long, atr double, session_asia boolean, session_london boolean, session_new_york boolean"
@@ -298,7 +298,7 @@ def loop_trades(rows, sig, s):
 
 
 def test_trades_against_a_loop(spark, monkeypatch):
-    monkeypatch.setattr(trades, "HORIZONS", (4, 16))
+    monkeypatch.setattr(barriers, "BLOCK", 64)
     df, rows = random_bars(spark, 500, seed=6)
     rng = np.random.default_rng(2)
     sig = {int(i): int(rng.choice([-1, 1])) for i in rng.choice(499, 160, replace=False)}

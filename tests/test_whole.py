@@ -151,12 +151,16 @@ def test_resampling_has_the_full_number_of_samples(spark, sf, monkeypatch):
     rows_ = [(1, i + 1, f"2024-01-{1 + i // 2:02d}", float(np.round(rng.normal(5, 50), 2))) for i in range(12)]
     small = spark.createDataFrame(rows_, "experiment_id long, trade_seq long, broker_date string, net_pnl double")
     monkeypatch.setattr(research_queries, "lines", lambda *_: small)
-    base, p = int(hashlib.md5(f"{seed}|1".encode()).hexdigest()[:7], 16), 2**31 - 1
+    base, p = int(hashlib.md5(f"{seed}|1".encode()).hexdigest()[:7], 16), 2**32
+
+    def mixed(x):
+        x = (x ^ x >> 16) * 2_246_822_507 % p
+        x = (x ^ x >> 13) * 3_266_489_909 % p
+        return x ^ x >> 16
 
     def draw(sample, place):
-        x = ((base * 1_000_003 + sample) % p * 48_271 + place) % p
-        x = (x ^ x >> 13) * 69_621 % p
-        return (x ^ x >> 11) * 16_807 % p
+        key = mixed((base + sample * 2_654_435_769) % p)
+        return mixed(mixed((key + place * 2_146_121_005) % p) ^ key)
 
     days = [rows_[2 * k][3] + rows_[2 * k + 1][3] for k in range(6)]
     drawn = np.array([[days[draw(i, k) * 6 // p] for k in range(6)] for i in range(n)])

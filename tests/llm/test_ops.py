@@ -172,7 +172,7 @@ def test_flights_balance():
     assert abs(often - 0.3).max() < 0.1
     flown = mixing.flight(chance, size, np.random.default_rng(2), mixing.LANDING)
     landed = mixing.land(flown, size, np.random.default_rng(3))
-    assert set(landed) == {0.0, 1.0} and (landed * size).sum() == pytest.approx((chance * size).sum(), abs=size.min() * 20)
+    assert set(landed) == {0.0, 1.0} and (landed * size).sum() == pytest.approx((chance * size).sum(), abs=float(size.min() * 20))
 
 
 @pytest.mark.parametrize("sizes", [[5, 9, 20, 33, 70, 400], [1], [7, 7, 7], list(range(1, 41))])

@@ -80,10 +80,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     row = F.struct(*left.columns)
     one = left.select(*keys, F.col(left_time).alias("_t"), F.lit(0 if forward else 1).alias("_side"), row.alias("_row"), F.lit(None).cast(kind).alias("_seen"))
     two = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1 if forward else 0).alias("_side"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), taken.alias("_seen"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first("_seen", ignorenulls=True) if forward else F.last("_seen", ignorenulls=True)
-    both = one.unionByName(two).withColumn("_found", pick.over(frame)).filter(F.col("_row").isNotNull())
+    # Forward the rows are run past from the last one on: a frame that ends with the series would be read again for every row.
+    w = Window.partitionBy(*keys).orderBy(*((F.desc("_t"), F.desc("_side")) if forward else ("_t", "_side")))
+    seen = F.last("_seen", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    both = one.unionByName(two).withColumn("_found", seen).filter(F.col("_row").isNotNull())
     return both.select("_row.*", F.col("_found._at").alias(right_time if right_time not in left.columns else f"{right_time}_found"), *(F.col(f"_found.{v}").alias(v) for v in values))
 
 

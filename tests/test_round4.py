@@ -19,3 +19,82 @@ def test_forward_asof_reads_each_row_once(spark):
     assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
     at = [bisect.bisect_left(right, t) for _, t in left]
     assert sorted((r.t, r.at) for r in df.collect() if r.at is not None) == sorted((t, right[i]) for (_, t), i in zip(left, at) if i < len(right))
+
+
+def test_day_sums_do_not_depend_on_where_rows_lie(spark):
+    """0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1 in doubles; experiments with equal trades tie all the same."""
+    rows = [(k, seq, "2024-01-01", x) for k in range(40) for seq, x in enumerate((0.1, 0.2, 0.3))] + [(99, seq, "2024-01-0" + "123"[seq], x) for seq, x in enumerate((0.3, -0.1, -0.2))]
+    random.Random(1).shuffle(rows)
+    found = metrics.calendar_rollup(spark.createDataFrame(rows, "experiment_id int, trade_seq int, broker_date string, net_pnl double").repartition(7), ["experiment_id"])
+    placed = validation.tie_averaged_percentile(found, "median_profit_per_active_day")
+    assert {r.experiment_id: r.daily_percentile for r in placed.collect()} == {k: 20.5 / 40 for k in range(40)} | {99: 0.0}
+    last = found.filter("experiment_id = 99").first()
+    assert (last.positive_day_fraction, last.positive_month_fraction, last.positive_year_fraction, last.profit_per_active_day) == (1 / 3, 0, 0, 0)
+
+
+def test_walk_forward_query_has_rows_of_those_that_trade(spark, tmp_path):
+    """Bars whose every stop is too wide for experiment E5: the twin groups trades, so it has no row there."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    for k in range(4):
+        duckdb.execute(f"COPY (SELECT * REPLACE (event_id + {k} * 100000 AS event_id) FROM '/root/testdata/sf0.1/events.parquet') TO '{tmp_path}/{k}.parquet'")
+    duckdb.execute(f"COPY (SELECT * FROM '{tmp_path}/*.parquet') TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(oracle_sql()["v5_walk_forward"]).fetchall()
+    assert sorted(map(tuple, queries()["v5_walk_forward"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) < 5
+
+
+def test_resampling_of_spread_and_whole_keys_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, seq, f"2024-01-{seq % 9 + 1:02d}", float(x)) for k in range(3) for seq, x in enumerate(rng.normal(0, 100, 1 + 20 * k).round(2))]
+    t = spark.createDataFrame(rows, "experiment_id int, trade_seq int, broker_date string, net_pnl double")
+    for f, n in ((validation.bootstrap_days, 200), (validation.order_monte_carlo, 200)):
+        monkeypatch.undo()
+        whole = f(t, ["experiment_id"], n)
+        assert "Exchange hashpartitioning(experiment_id#" in whole._jdf.queryExecution().toString()
+        whole = {r.experiment_id: list(r)[1:] for r in whole.collect()}
+        monkeypatch.setattr(validation, "_TOGETHER", 500)
+        parts = {r.experiment_id: list(r)[1:] for r in f(t, ["experiment_id"], n).collect()}
+        assert whole.keys() == parts.keys() == {0, 1, 2}
+        for k in whole:
+            assert np.allclose(whole[k], parts[k], rtol=0, atol=1e-9)
+
+
+def test_small_keys_are_no_rows_of_samples(spark):
+    """5,000 samples of each of many small keys are summed up in the task that drew them."""
+    t = spark.range(50).selectExpr("id as experiment_id", "1L as trade_seq", "'2024-01-01' as broker_date", "cast(id as double) as net_pnl")
+    df = validation.order_monte_carlo(t, ["experiment_id"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "max_drawdown_p50" in [x for x in plan.split("MapInArrow")[1].split("true")[0].replace("#", ",").replace(" ", "").split(",")] + df.columns
+    assert {r.experiment_id: r.max_drawdown_p95 for r in df.collect()} == {k: 0.0 for k in range(50)}
+
+
+def test_folds_send_no_fanned_rows(spark):
+    """One shuffle by days and one by keys: folds are met behind them, and those without trades come along."""
+    rows = [(k, seq, f"2024-{m:02d}-0{seq % 2 + 1}", float((-1) ** seq * (k + m))) for k in range(3) for seq, m in enumerate(range(1, 13)) if m % (k + 1) == 0]
+    t = spark.createDataFrame(rows, "experiment_id int, trade_seq int, broker_date string, net_pnl double")
+    folds = spark.createDataFrame([(f"f{i}", "research" if m < 3 + i else "validation", f"2024-{m:02d}") for i in range(4) for m in range(1 + i, 6 + i)], "fold_id string, segment string, month string")
+    df = validation.summarize_folds(validation.fold_metrics(t, folds, ["experiment_id"], falls=False), ["experiment_id"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning(experiment_id#") == 2
+    got = {(r.experiment_id, r.fold_id, r.segment): r for r in validation.fold_metrics(t, folds, ["experiment_id"]).collect()}
+    for (k, fold, part), r in got.items():
+        i = int(fold[1])
+        mine = [x for e, _, d, x in rows if e == k and 1 + i <= int(d[5:7]) < 6 + i and (int(d[5:7]) < 3 + i) == (part == "research")]
+        equity, peak, fall = 5000.0, 5000.0, 0.0
+        for x in mine:
+            equity += x
+            peak = max(peak, equity)
+            fall = max(fall, (peak - equity) / peak * 100)
+        loss = -sum(x for x in mine if x < 0)
+        assert (r.completed_trades, r.net_profit, r.expectancy_usd) == (len(mine), sum(mine), sum(mine) / len(mine) if mine else None)
+        assert r.profit_factor == (sum(x for x in mine if x > 0) / loss if loss else None) and abs(r.max_drawdown_pct - fall) < 1e-9
+        assert r.positive_day_fraction == (sum(x > 0 for x in mine) / len(mine) if mine else None)
+    assert len(got) == 24

@@ -106,7 +106,11 @@ def snapshot_writer(path: str, key: list[str]) -> Callable[[DataFrame, int], Non
 
 
 def signals_with_ticks(signals: DataFrame, ticks: DataFrame, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Each signal (symbol, signal_ts, direction) beside the ticks (symbol, ts, value) of the time behind it."""
-    s, t = signals.withWatermark("signal_ts", late).alias("s"), ticks.withWatermark("ts", late).alias("t")
-    near = (F.col("s.symbol") == F.col("t.symbol")) & (F.col("t.ts") >= F.col("s.signal_ts")) & (F.col("t.ts") <= F.col("s.signal_ts") + F.expr(f"interval {within}"))
+    """Each signal (symbol, signal_ts, direction) beside the ticks (symbol, ts, value) of the time behind it. They meet by symbol and stretch of that length, so a row is held against two stretches and not all of its symbol's."""
+    length = F.unix_micros(F.expr(f"timestamp '1970-01-01 00:00:00' + interval {within}")) - F.unix_micros(F.expr("timestamp '1970-01-01 00:00:00'"))
+    stretch = lambda t: F.floor(F.unix_micros(t) / length)
+    both = F.sequence(stretch("signal_ts"), stretch("signal_ts") + 1)
+    s = signals.withWatermark("signal_ts", late).withColumn("_stretch", F.explode(both)).alias("s")
+    t = ticks.withWatermark("ts", late).withColumn("_stretch", stretch("ts")).alias("t")
+    near = (F.col("s.symbol") == F.col("t.symbol")) & (F.col("s._stretch") == F.col("t._stretch")) & (F.col("t.ts") >= F.col("s.signal_ts")) & (F.col("t.ts") <= F.col("s.signal_ts") + F.expr(f"interval {within}"))
     return s.join(t, near).select("s.symbol", "signal_ts", "direction", "ts", "value")

@@ -36,7 +36,7 @@ class PieceIds(dict):
 
     def __init__(self, tokenizer, width: np.dtype):
         super().__init__()
-        self.tokenizer, self.width = tokenizer, width
+        self.tokenizer, self.model, self.width = tokenizer, tokenizer.model, width
         self.first: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -47,6 +47,9 @@ class PieceIds(dict):
             self.clear()
         if len(piece) > 1 and piece[-1] in ",." and piece[:-1].isalpha():
             ids = self[piece[:-1]] + self.start(piece[-1])
+        elif piece.isascii() and piece.isalpha():
+            # A space and letters are one piece to the tokenizer, too, so its model takes them as they are.
+            ids = np.array([t.id for t in self.model.tokenize("\u0120" + piece)], dtype=self.width).tobytes()
         else:
             ids = self.encode(piece if piece[:1] == "\n" else " " + piece)
         self[piece] = ids

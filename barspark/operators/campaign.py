@@ -60,7 +60,7 @@ def evidence(signals: DataFrame, trades: DataFrame, bars: DataFrame, experiments
     def over(folds: DataFrame) -> DataFrame:
         if again:
             return validation.walk_forward(signals, bars, settings, folds, "yyyy-MM-dd"[:length])
-        return validation.fold_metrics(trades, folds, key, ids, length)
+        return validation.fold_metrics(trades, folds, key, ids, length, falls=False)
 
     rolling = checkpointed(over(validation.rolling_folds(trades, length=length)))
     expanding = over(validation.expanding_folds(trades, length=length))

@@ -98,3 +98,27 @@ def test_folds_send_no_fanned_rows(spark):
         assert r.profit_factor == (sum(x for x in mine if x > 0) / loss if loss else None) and abs(r.max_drawdown_pct - fall) < 1e-9
         assert r.positive_day_fraction == (sum(x > 0 for x in mine) / len(mine) if mine else None)
     assert len(got) == 24
+
+
+def test_signals_meet_ticks_of_their_stretches_only(spark):
+    import datetime as dt
+
+    from barspark.streaming import streams
+
+    start, rng = dt.datetime(2024, 1, 1), random.Random(4)
+    s = [("a", start + dt.timedelta(minutes=m), m) for m in (0, 5, 29, 30, 61, 600)]
+    t = [("a", start + dt.timedelta(seconds=x), float(x)) for x in [rng.randrange(40000) for _ in range(300)] + [0, 300, 1800, 3540]]
+    df = streams.signals_with_ticks(spark.createDataFrame(s, "symbol string, signal_ts timestamp, direction int"), spark.createDataFrame(t, "symbol string, ts timestamp, value double"), "30 minutes")
+    assert "_stretch" in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    want = sorted((m, v) for _, at, m in s for _, ts, v in t if at <= ts <= at + dt.timedelta(minutes=30))
+    assert sorted((r.direction, r.value) for r in df.collect()) == want
+
+
+def test_alike_experiments_look_history_up_once(spark):
+    from barspark.operators import experiments as ex
+
+    e = spark.range(200).selectExpr("id as experiment_id", "'SMA slope' as strategy", "map('lookback', double(id % 2), 'threshold', id / 10.0D) as params")
+    past = spark.createDataFrame([(1, "sma-slope", {"lookback": 0.0}), (2, "sma-slope", {"lookback": 1.0}), (3, "sma slope", {"lookback": None})], "historical_id int, strategy_name string, params map<string,double>")
+    df = ex.historical_matches(e, past)
+    assert "struct(name" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.experiment_id: r.matches for r in df.collect()} == {k: [1 + k % 2, 3] for k in range(200)}

@@ -1,14 +1,12 @@
 """Near-duplicate documents: Jaccard join of word 5-gram sets by an LSH forest of MinHash signatures, with exact verification.
 
-Equal texts are one class from the start. A signature has ``TREES`` sequences of ``DEPTH`` labels, a byte of a minimum each. A tree of the forest is
+Equal texts are one class from the start. A signature has ``TREES`` sequences of labels, a byte of a minimum each. A tree of the forest is
 the trie of its sequences, kept as their sorted order (a range partition of sorted rows): the texts under one node of the trie are a run of neighbours
-in it that share a prefix, and two texts meet at depth d if such a run of some tree holds both.
+in it that share a prefix, and two texts meet if such a run of some tree holds both.
 
 Texts are spread over groups by their number of grams, each into its own and into the next one if a similar text can lie there, so that texts too
-unlike in size never meet. In each group the prefixes are shortened from DEPTH on until the recall is reached: from a bounded sample of ``SAMPLE``
-texts, each with a random neighbour of its run, come exact similarities; these, weighted by how seldom such a pair is drawn, and one more pair at
-the threshold, give the share of similar pairs that meet at each depth, 1 - (1 - s**d)**TREES for a pair of similarity s. The longest prefix at which
-it is ``RECALL`` or more is taken. At the shortest one it holds for every pair, so a group without evidence takes that.
+unlike in size never meet. A pair of similarity s meets at depth d with a chance of 1 - (1 - s**d)**TREES. The depth is the longest one, up to ``DEPTH``, at
+which this is ``RECALL`` or more for a pair at the threshold, and so for every similar pair, whatever the data. Nothing is drawn or fitted.
 
 Texts that meet, directly or by way of others, are a cluster. They are put in the order of cluster and first tree and cut into blocks of ``BLOCK`` texts or
 ``BLOCK_BYTES`` at most. Each text goes to its block once; there, all pairs of a cluster are verified. For a cluster of several blocks, the gram sets of each are
@@ -32,14 +30,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barspark.llm.arrays import U64, Words, chunks, gram_hashes, mix, signed
 from barspark.llm.frames import place
 from barspark.llm.shared import kept, new_folder, row_key
 
-GRAM, SIMILAR, TREES, DEPTH, RECALL, BLOCK, SAMPLE = 5, 0.8, 40, 10, 0.9999, 512, 2000
+GRAM, SIMILAR, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 40, 10, 0.9999, 512
 #: A block of long texts holds fewer of them: about so many bytes.
 BLOCK_BYTES = 1 << 24
 
@@ -145,7 +143,7 @@ def _runs(least: int, depth: int, share: float):
             for k, d in enumerate(levels):
                 begins = np.maximum.accumulate(np.where(met < d, at, -1))
                 firsts.append(np.where(begins >= 0, node[np.maximum(begins, 0)], heads[k] if heads else 0))
-                if d == least:  # draw other texts of the runs of the shortest prefix
+                if d == least and share > 0:  # draw other texts of the runs of the shortest prefix
                     starts = np.maximum(begins, 0)
                     new = np.append(np.flatnonzero(starts[1:] != starts[:-1]) + 1, n)
                     ends = new[np.searchsorted(new, at, side="right")]
@@ -193,7 +191,10 @@ def _similarities(batches):
 
 
 def fit_depths(forest: DataFrame, texts: DataFrame, similar: float, trees: int, least: int, depth: int, recall: float) -> list[int]:
-    """The depth of each group: of the longest prefixes at which the similar pairs of the sample meet with the wanted recall."""
+    """The depth of each group: of the longest prefixes at which the similar pairs of the sample meet with the wanted recall.
+
+    For studies of a corpus only: ``near_duplicates`` takes ``least_depth``, which needs no sample.
+    """
     drawn = forest.filter(F.col("kind") == _DRAWN)
     # One tree of each drawn text, by hash. Its weight makes up for the trees and texts that were not chosen.
     pairs = drawn.groupBy("grp", "a").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a", "tree").alias("h"), "b", "m")).alias("x"))
@@ -385,13 +386,9 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return table, (found["n"], found["h"])
 
 
-def _depth_of(depths: list[int]) -> Column:
-    return F.element_at(F.array(*map(F.lit, depths)), F.col("grp") + 1)
-
-
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """row_key, doc_id, group, class_id (least doc_id of its group), text_id (least doc_id of its text), n_links (other texts that its text is similar to)."""
-    spark, least = docs.sparkSession, least_depth(similar, trees, depth, recall)
+    spark, depth = docs.sparkSession, least_depth(similar, trees, depth, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", row_key().alias("row_key"), F.xxhash64("text").alias("node"), F.octet_length("text").cast("long").alias("size"))
     placed = kept(rows.mapInArrow(_sign(trees, depth, similar), "doc_id long, row_key long, node long, size long, small int, large int, labels binary"), "signatures")
@@ -403,9 +400,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREE
     sequences = entered.select("grp", "node", F.posexplode(cut).alias("tree", "key"))
     order = ["grp", "tree", "key", "node"]
     forest = sequences.repartitionByRange(*order).sortWithinPartitions(*order)
-    forest = kept(forest.mapInArrow(_runs(least, depth, sample / max(1, classes.count())), _FOREST), "forest")
-    depths = fit_depths(forest, rows.select("node", "text"), similar, trees, least, depth, recall)
-    edges = forest.filter(F.col("kind") == _EDGE).unionByName(_ends_met(forest, least)).filter(_depth_of(depths).between(F.col("lo"), F.col("hi")))
+    forest = kept(forest.mapInArrow(_runs(depth, depth, 0), _FOREST), "forest")
+    edges = forest.filter(F.col("kind") == _EDGE).unionByName(_ends_met(forest, depth))
 
     clusters = components(edges.select("a", "b"))
     heads = clusters.select(F.col("cluster").alias("node"), "cluster").distinct()
@@ -422,8 +418,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREE
 
     # Blocks of one cluster that hold texts of one run.
     seated = seated.filter("wide").select("cluster", "node", "block")
-    prefix = F.substring("key", F.lit(1), _depth_of(depths))
-    in_run = edges.select("grp", "tree", prefix.alias("run"), F.explode(F.array("a", "b")).alias("node"))
+    in_run = edges.select("grp", "tree", F.col("key").alias("run"), F.explode(F.array("a", "b")).alias("node"))
     runs = in_run.join(seated, "node").select("grp", "tree", "run", "cluster", "block").distinct()
     runs = runs.groupBy("grp", "tree", "run", "cluster").agg(F.array_sort(F.collect_list("block")).alias("blocks")).filter(F.size("blocks") > 1)
     later = F.transform("blocks", lambda x: F.struct(x.alias("lo"), F.filter("blocks", lambda y: y > x).alias("his")))

@@ -615,6 +615,16 @@ def test_depths_reach_the_recall(spark):
         assert min(depths) == least and (max(depths) > least) == deeper
 
 
+def test_pairs_at_the_threshold_meet_beside_many_closer_ones(spark):
+    """The depth holds for every pair: 79,800 pairs of similarity 44/46 do not cost links of 300 pairs of similarity 40/50."""
+    rows = [(k, " ".join([*(f"c{i}" for i in range(48)), f"e{k}"])) for k in range(400)]
+    for k in range(300):
+        own = [f"p{k}x{i}" for i in range(49)]
+        rows += [(1000 + 2 * k, " ".join(own)), (1001 + 2 * k, " ".join([*own[:24], "other", *own[25:]]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, 0, 399) if i < 1000 else (i, i - i % 2, 1) for i, _ in rows}
+
+
 def test_hashes_are_the_same_for_equal_slices():
     raw = np.frombuffer(b"abc abc xabc abc", dtype=np.uint8)
     w = arrays.Words(raw, np.array([0, 7, 16]))

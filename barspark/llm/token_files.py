@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspark.llm.arrays import chunks
 from barspark.llm.frames import FrameReader, FrameWriter
 from barspark.llm.shared import kept, new_folder
 
@@ -29,14 +31,30 @@ ENTRY = np.dtype([("id", "<i8"), ("known", "u1"), ("width", "u1"), ("frame", "<u
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 #: Ids of pieces that a Python worker remembers within a task, and from one task to the next: a worker may serve other operators then.
 REMEMBERED, REMEMBERED_AFTER = 1_000_000, 200_000
+#: Bytes of texts whose new words go to the tokenizer's model in one call.
+LEARNED_BYTES = 1 << 20
+#: Latin letters, and marks after them. Every version of Unicode has these as letters, so with the space before them they are one piece to the tokenizer, and the
+#: marks are another. An apostrophe may be part of a contraction and is no such mark.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+#: The characters by which a byte-level vocabulary writes the bytes: printable ones of Latin-1 as they are, the others from U+0100 on. A line feed stays, to part words.
+_BYTE_CHARS = np.arange(256)
+_BYTE_CHARS[[b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]] = range(256, 324)
+_BYTE_CHARS[10] = 10
 
 
 class PieceIds(dict):
     """Ids of text pieces, made by the tokenizer at first sight. A piece is a word with the space before it, which is left out, or with a line feed."""
 
     def __init__(self, tokenizer, width: np.dtype):
+        from tokenizers import pre_tokenizers
+
         super().__init__()
-        self.tokenizer, self.model, self.width = tokenizer, tokenizer.model, width
+        self.tokenizer, self.width = tokenizer, width
+        self.plain = type(tokenizer)(tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocab.items() if token[:1] == "\u0120"]] = True
         self.first: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -45,21 +63,38 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(piece) > 1 and piece[-1] in ",." and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self.start(piece[-1])
-        elif piece.isascii() and piece.isalpha():
-            # A space and letters are one piece to the tokenizer, too, so its model takes them as they are.
-            ids = np.array([t.id for t in self.model.tokenize("\u0120" + piece)], dtype=self.width).tobytes()
+        if piece[:1] == "\n" and _WORD(piece, 1):
+            ids = self.start("\n") + self.start(piece[1:])
         else:
             ids = self.encode(piece if piece[:1] == "\n" else " " + piece)
         self[piece] = ids
         return ids
 
+    def learn(self, new: set[str]) -> None:
+        """Have the model make the ids of all new words of letters in one call; they are told apart by the mark of the space before each."""
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = [m for m in map(_WORD, new) if m]
+        words = [w for w in {m[1] for m in found} if w not in self]
+        if not words:
+            return
+        raw = np.frombuffer((" " + "\n ".join(words)).encode(), dtype=np.uint8)
+        shown = _BYTE_CHARS[raw].astype("<u2").tobytes().decode("utf-16-le")
+        ids = np.array(self.plain.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.width)
+        at = np.flatnonzero(self.begins[ids]) * self.width.itemsize
+        if len(at) == len(words):  # else the vocabulary has no such marks, and words are encoded one by one
+            raw, at = ids.tobytes(), [*at.tolist(), None]
+            self.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
+            self.update((m[0], self[m[1]] + self.start(m[2])) for m in found if m[2])
+
     def end_task(self) -> None:
-        """Give the memory of many pieces back."""
-        for known in (self, self.first):
-            if len(known) > REMEMBERED_AFTER:
-                known.clear()
+        """Give the memory of many pieces back; the words seen first, which most of the frequent ones are among, stay."""
+        if len(self) > REMEMBERED_AFTER:
+            words = dict(islice(((p, ids) for p, ids in self.items() if p[-1:].isalpha()), REMEMBERED_AFTER))
+            self.clear()
+            self.update(words)
+        if len(self.first) > REMEMBERED_AFTER:
+            self.first.clear()
 
     def start(self, piece: str) -> bytes:
         """Ids of a piece that has no space before it."""
@@ -86,16 +121,27 @@ def _encoder(path: str):
     width = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     pieces = PieceIds(tokenizer, width)
 
-    def encode(text: str) -> bytes:
+    def cut(text: str) -> list[str]:
         """The tokenizer splits a text before every space or line feed that follows a non-space anyway, so the ids of the text are those of its pieces."""
         if _RUN.search(text) or any(name in text for name in added):
-            return pieces.encode(text)
-        parts = text.replace("\n", " \n").split(" ")
-        if len(parts) == 1:
-            return pieces.encode(text) if len(text) > 40 else pieces.start(text)
-        return pieces.start(parts[0]) + b"".join(map(pieces.__getitem__, parts[1:]))
+            return [text]
+        return text.replace("\n", " \n").split(" ")
+
+    def encode_all(texts: list[str]) -> Iterator[bytes]:
+        parts = [cut(text) for text in texts]
+        first = [own.pop(0) for own in parts]
+        known = [list(map(pieces.get, own)) for own in parts]
+        pieces.learn({p for own, found in zip(parts, known) for p, ids in zip(own, found) if ids is None})
+        for head, own, found in zip(first, parts, known):
+            if own:
+                yield pieces.start(head) + b"".join([pieces[p] if ids is None else ids for p, ids in zip(own, found)])
+            else:
+                yield pieces.encode(head) if len(head) > 40 else pieces.start(head)
+
+    def encode(text: str) -> bytes:
+        return next(encode_all([text]))
 
-    encode.end_task = pieces.end_task
+    encode.all, encode.end_task = encode_all, pieces.end_task
     return encode, width
 
 
@@ -124,11 +170,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             file, out, index, frame, filled, total = file + 1, None, [], [], 0, 0
             return row
 
-        for batch in batches:
-            for i, text in zip(batch["id"], batch["text"]):
+        runs = ((batch["id"].slice(lo, hi - lo), batch["text"].slice(lo, hi - lo)) for batch in batches for lo, hi, _, _ in chunks(batch["text"], LEARNED_BYTES))
+        for keys, texts in runs:
+            for i, ids in zip(keys.to_pylist(), encode.all(texts.to_pylist())):
                 out = out or FrameWriter(folder, f"tokens-{part:06d}-{file:04d}")
-                ids = encode(text.as_py()) + end
-                i = i.as_py()
+                ids += end
                 index.append((i or 0, i is not None, width.itemsize, len(out.table), filled, len(ids) // width.itemsize))
                 frame.append(ids)
                 filled += len(ids)

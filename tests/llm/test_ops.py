@@ -261,6 +261,28 @@ def test_pieces_match_the_tokenizer():
         assert np.frombuffer(encode(text), dtype=width).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_words_of_many_texts_are_encoded_in_one_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    token_files._encoder.cache_clear()
+    encode, width = token_files.encoded(queries.tokenizer_path())
+    pieces = next(c.cell_contents for c in encode.all.__closure__ if isinstance(c.cell_contents, token_files.PieceIds))
+    calls, plain = [], pieces.plain
+    monkeypatch.setattr(pieces, "plain", type("Counted", (), {"encode_batch_fast": lambda _, x, **k: calls.append(x) or plain.encode_batch_fast(x, **k)})())
+    texts = ["", "one", "Ein früher Tag, ça été; naïveté!\nStraße (hier) don't we're it's' they'", "zwölf\tRunden  weit\r\nhinaus \n", "mot??? dé-jà d'un œuvre… ªº ʼn ɏa Ω 字 a1b x_y ĠA\nàA. \u00a0b", "früher <|endoftext|> Tag", "a" * 300 + " " + "é," * 90]
+    texts += [f"wort{chr(97 + k % 26)}{'ü' * (k % 7)} tag{'.' * (k % 4)}\nNeu{'#' * (k % 3)}" for k in range(200)]
+    plain_call = Tokenizer.from_file(queries.tokenizer_path())
+    want = [plain_call.encode(t, add_special_tokens=False).ids for t in texts]
+    for known in (False, True):
+        assert [np.frombuffer(b, dtype=width).tolist() for b in encode.all(texts)] == want
+        assert len(calls) == 1
+    monkeypatch.setattr(token_files, "REMEMBERED_AFTER", 5)
+    encode.end_task()
+    assert len(pieces) == 5 and all(p.isalpha() for p in pieces)  # words stay for the next task
+    assert [np.frombuffer(encode(t), dtype=width).tolist() for t in texts] == want
+    token_files._encoder.cache_clear()
+
+
 def test_token_files_name_added_tokens_as_the_plain_call(spark):
     from tokenizers import Tokenizer
 

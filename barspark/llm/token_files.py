@@ -30,7 +30,7 @@ FRAME_BYTES, FILE_BYTES = 1 << 20, 1 << 30
 ENTRY = np.dtype([("id", "<i8"), ("known", "u1"), ("width", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("count", "<u8")])
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 #: Ids of pieces that a Python worker remembers within a task, and from one task to the next: a worker may serve other operators then.
-REMEMBERED, REMEMBERED_AFTER = 1_000_000, 200_000
+REMEMBERED, REMEMBERED_AFTER = 1_000_000, 300_000
 #: Bytes of texts whose new words go to the tokenizer's model in one call.
 LEARNED_BYTES = 1 << 20
 #: Latin letters, and marks after them. Every version of Unicode has these as letters, so with the space before them they are one piece to the tokenizer, and the
@@ -74,8 +74,15 @@ class PieceIds(dict):
         """Have the model make the ids of all new words of letters in one call; they are told apart by the mark of the space before each."""
         if len(self) >= REMEMBERED:
             self.clear()
-        found = [m for m in map(_WORD, new) if m]
-        words = [w for w in {m[1] for m in found} if w not in self]
+        words, marked, stems, marks = set(), [], [], []
+        for piece in new:
+            if m := _WORD(piece):
+                words.add(m[1])
+                if m[2]:
+                    marked.append(piece)
+                    stems.append(m[1])
+                    marks.append(m[2])
+        words = [w for w in words if w not in self]
         if not words:
             return
         raw = np.frombuffer((" " + "\n ".join(words)).encode(), dtype=np.uint8)
@@ -84,8 +91,8 @@ class PieceIds(dict):
         at = np.flatnonzero(self.begins[ids]) * self.width.itemsize
         if len(at) == len(words):  # else the vocabulary has no such marks, and words are encoded one by one
             raw, at = ids.tobytes(), [*at.tolist(), None]
-            self.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
-            self.update((m[0], self[m[1]] + self.start(m[2])) for m in found if m[2])
+            self.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])]))
+            self.update((piece, self[w] + self.start(x)) for piece, w, x in zip(marked, stems, marks))
 
     def end_task(self) -> None:
         """Give the memory of many pieces back; the words seen first, which most of the frequent ones are among, stay."""
@@ -107,6 +114,13 @@ class PieceIds(dict):
 
 #: White space before a space or line feed: there, pieces can't be cut.
 _RUN = re.compile("[\\s᠎﻿][ \n]")
+#: In a text of ASCII, these are all that such a run can begin with or be.
+_ASCII_RUNS = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f")
+
+
+def _may_have_runs(text: str) -> bool:
+    """False only where ``_RUN`` finds nothing; much quicker than that for ASCII."""
+    return not text.isascii() or any(run in text for run in _ASCII_RUNS)
 
 
 @lru_cache(maxsize=2)
@@ -123,7 +137,7 @@ def _encoder(path: str):
 
     def cut(text: str) -> list[str]:
         """The tokenizer splits a text before every space or line feed that follows a non-space anyway, so the ids of the text are those of its pieces."""
-        if _RUN.search(text) or any(name in text for name in added):
+        if _may_have_runs(text) and _RUN.search(text) or any(name in text for name in added):
             return [text]
         return text.replace("\n", " \n").split(" ")
 

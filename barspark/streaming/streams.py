@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -114,3 +115,58 @@ def signals_with_ticks(signals: DataFrame, ticks: DataFrame, within: str = "5 mi
     t = ticks.withWatermark("ts", late).withColumn("_stretch", stretch("ts")).alias("t")
     near = (F.col("s.symbol") == F.col("t.symbol")) & (F.col("s._stretch") == F.col("t._stretch")) & (F.col("t.ts") >= F.col("s.signal_ts")) & (F.col("t.ts") <= F.col("s.signal_ts") + F.expr(f"interval {within}"))
     return s.join(t, near).select("s.symbol", "signal_ts", "direction", "ts", "value")
+
+
+#: A stretch of time has so many lengths that a signal looks ahead: few enough keys, and few ticks that two stretches need.
+SPAN = 16
+
+
+class TicksBehind(StatefulProcessor):
+    """Of a stretch of time: its signals, and the ticks of it and of the start of the next. A row for each signal with the ticks that met it in this batch; pairs are never rows."""
+
+    def __init__(self, length: int) -> None:
+        self.length = length  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", "signals binary, ticks binary, numbers binary")
+
+    def _met(self, signals: np.ndarray, ticks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        order = np.argsort(ticks, kind="stable")
+        ticks, before = ticks[order], np.concatenate([[0], np.cumsum(numbers[order])])
+        return before[np.searchsorted(ticks, signals + self.length, "right")] - before[np.searchsorted(ticks, signals, "left")]
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows))
+        us, n, signal = (batch[k].to_numpy() for k in ("us", "n", "signal"))
+        fresh, ticks, numbers = np.unique(us[signal]), us[~signal], n[~signal]
+        known, old, old_numbers = (np.frombuffer(x, "<i8") for x in (self.state.get() if self.state.exists() else (b"", b"", b"")))
+        fresh = np.setdiff1d(fresh, known, assume_unique=True)
+        all_ticks, all_numbers = np.concatenate([old, ticks]), np.concatenate([old_numbers, numbers])
+        at = np.concatenate([fresh, known])
+        met = np.concatenate([self._met(fresh, all_ticks, all_numbers), self._met(known, ticks, numbers)])
+        self.state.update(tuple(x.astype("<i8").tobytes() for x in (at, all_ticks, all_numbers)))
+        self.handle.registerTimer(((int(key[1]) + 1) * SPAN + 1) * self.length // 1000 + 1)
+        yield pd.DataFrame({"symbol": key[0], "signal_us": at[met > 0], "n": met[met > 0]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()  # nothing that may still come is of this time
+        yield pd.DataFrame({"symbol": pd.Series(dtype=str), "signal_us": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def count_ticks(signals: DataFrame, ticks: DataFrame, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """symbol, signal_ts, n: the ticks (symbol, ts, n: their number) of the time behind each signal (symbol, signal_ts), counted without a row for each pair. Signals of one symbol and time are one.
+    A row tells what a batch adds to a signal; a signal's rows, summed up, are its count."""
+    length = signals.sparkSession.sql(f"select unix_micros(timestamp '1970-01-01 00:00:00Z' + interval {within})").first()[0]
+    us = F.unix_micros("ts")
+    stretch = F.floor(us / (length * SPAN))
+    ahead = F.floor((us - length) / (length * SPAN))  # another one at the start of a stretch, where signals before it look
+    s = signals.select("symbol", F.col("signal_ts").alias("ts"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("signal"))
+    both = s.unionByName(ticks.select("symbol", "ts", F.col("n").cast("long").alias("n"), F.lit(False).alias("signal"))).withWatermark("ts", late)
+    spread = F.when(F.col("signal"), F.array(stretch)).otherwise(F.array_distinct(F.array(ahead, stretch)))
+    rows = both.select("symbol", "ts", us.alias("us"), "n", "signal", F.explode(spread).alias("stretch"))
+    met = rows.groupBy("symbol", "stretch").transformWithStateInPandas(TicksBehind(length), "symbol string, signal_us long, n long", "Append", "EventTime")
+    return met.select("symbol", F.timestamp_micros("signal_us").alias("signal_ts"), "n")

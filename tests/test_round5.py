@@ -30,3 +30,23 @@ def test_ticks_are_counted_without_pairs(spark, tmp_path):
             lo, hi = bisect.bisect_left(mine, (at, 0)), bisect.bisect_right(mine, (at + dt.timedelta(minutes=30), 9))
             want[s, at] = sum(n for _, n in mine[lo:hi])
     assert found == {k: n for k, n in want.items() if n}
+
+
+def test_shuffles_abreast_are_those_one_by_one():
+    """Half words sort as whole ones do, equal upper bits and equal words included, and falls have the bits of sums from trade to trade."""
+    import numpy as np
+
+    from barspark.operators import validation as v
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 40, 600, 1300):
+        words = rng.integers(0, 1 << 32, (300, n), dtype=np.uint32)
+        words[::3] >>= np.uint32(26)  # many equal words
+        words[1::3, : n // 2] ^= (words[1::3, n - n // 2 :] ^ words[1::3, : n // 2]) & np.uint32(0xFFFFFF00)  # equal upper bits
+        assert (v._shuffled(words) == np.argsort(words, axis=1, kind="stable")).all()
+        net, sample = rng.normal(10, 900, n).round(2), np.arange(v._ABREAST)
+        falls = v._falls(net, 77, sample)
+        order = np.argsort(v._draws(77, sample[:, None], np.arange(n)[None, :]), axis=1, kind="stable")
+        equity = np.cumsum(net[order], axis=1)
+        assert (falls == (np.maximum(np.maximum.accumulate(equity, axis=1), 0) - equity).max(axis=1)).all()
+        assert (falls[:9] == v._falls(net, 77, sample[:9])).all()

@@ -50,3 +50,28 @@ def test_shuffles_abreast_are_those_one_by_one():
         equity = np.cumsum(net[order], axis=1)
         assert (falls == (np.maximum(np.maximum.accumulate(equity, axis=1), 0) - equity).max(axis=1)).all()
         assert (falls[:9] == v._falls(net, 77, sample[:9])).all()
+
+
+def test_gathered_trades_are_not_sent_again(spark):
+    """Folds, days and samples of trades in buckets of their key need no shuffle by experiment."""
+    from barspark.functions.store import gathered
+    from barspark.operators import metrics, validation
+
+    rows = [(k, seq, f"2024-{seq % 12 + 1:02d}-01", float((seq * 7 + k) % 11 - 5)) for k in range(9) for seq in range(30)]
+    plain = spark.createDataFrame(rows, "experiment_id int, trade_seq int, broker_date string, net_pnl double")
+    folds = spark.createDataFrame([(f"f{i}", "research" if m < 3 + i else "validation", f"2024-{m:02d}") for i in range(4) for m in range(1 + i, 6 + i)], "fold_id string, segment string, month string")
+    t, key = gathered(plain.repartition(4, "experiment_id"), "experiment_id", "trade_seq"), ["experiment_id"]
+    for part in (
+        lambda x, **lie: validation.summarize_folds(validation.fold_metrics(x, folds, key, falls=False, **lie), key),
+        lambda x, **lie: validation.bootstrap_days(x, key, 20, 5, **lie),
+        lambda x, **_: metrics.calendar_rollup(x, key),
+        lambda x, **_: validation.top_trade_removal(x, key),
+    ):
+        df = part(t, together=True)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = part(t, together=True)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert plan.count("Exchange hashpartitioning(experiment_id#") == (2 if "_from" in plan else 0)  # blocks of samples of large keys, of which there are none
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, part(plain).collect()))
